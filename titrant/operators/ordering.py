@@ -11,32 +11,33 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from titrant.session import keep, shared_root
+
 RANGES = 64
+# Up to this many distinct values in all, one window per group is cheaper than cutting into ranges.
+SMALL = 1_000_000
 
 
-def split_points(df: DataFrame, column: str, ranges: int = RANGES) -> list[float]:
-    """At most `ranges - 1` cut values, read once so that every later stage uses the same cuts.
+def split_points(counts: DataFrame, column: str = "value", ranges: int = RANGES) -> list[float]:
+    """Cut values over the distinct values of a kept table; none when they are few enough for one
+    window per group.
 
-    The result is a fixed-size list whatever the table size. Any cuts give right answers; close to
-    even ones only balance the work.
+    Read once, so every later stage uses the same cuts, and of fixed length whatever the table
+    size. Any cuts give right answers; close to even ones only balance the work.
     """
+    if counts.count() <= SMALL:
+        return []
     fractions = [i / ranges for i in range(1, ranges)]
-    row = df.agg(F.percentile_approx(F.col(column).cast("double"), fractions, 2000).alias("p")).first()
-    return sorted(set(row["p"] or []))
+    row = counts.agg(
+        F.percentile_approx(F.col(column).cast("double"), fractions, 2000).alias("p")
+    ).first()
+    return sorted(set(row["p"]))
 
 
 def range_of(column: Column, points: Sequence[float]) -> Column:
-    """Index of the range a value falls in, as a balanced tree of comparisons."""
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(column <= F.lit(float(points[middle])), tree(low, middle)).otherwise(
-            tree(middle + 1, high)
-        )
-
-    return tree(0, len(points)) if points else F.lit(0)
+    """Index of the range a value falls in: how many cut values lie below it."""
+    cuts = F.array(*[F.lit(float(p)) for p in points])
+    return F.size(F.filter(cuts, lambda p: p < column))
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -50,6 +51,11 @@ def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
 
 def running_weight(counts: DataFrame, groups: Sequence[str], points: Sequence[float]) -> DataFrame:
     """Adds `before` (weight of smaller values in the group) and `total` (weight of the group)."""
+    if not points:
+        group = W.partitionBy(*groups)
+        return counts.withColumn(
+            "before", F.sum("weight").over(group.orderBy("value")) - F.col("weight")
+        ).withColumn("total", F.sum("weight").over(group))
     ranged = counts.withColumn("_range", range_of(F.col("value").cast("double"), points))
     totals = ranged.groupBy(*groups, "_range").agg(F.sum("weight").alias("_in_range"))
     # One row per group and range, so at most RANGES rows per group meet in this window.
@@ -70,8 +76,8 @@ def running_weight(counts: DataFrame, groups: Sequence[str], points: Sequence[fl
 
 
 def positions(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    counts = value_counts(df, groups, value)
-    return running_weight(counts, groups, split_points(df, value))
+    counts = keep(value_counts(df, groups, value))
+    return running_weight(counts, groups, split_points(counts, "value"))
 
 
 def average_ranks(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -143,12 +149,23 @@ def hash_order(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"))
 
 
-def hash_index(df: DataFrame, groups: Sequence[str], key: Column, width: int = 2) -> DataFrame:
+def hash_index(
+    df: DataFrame, groups: Sequence[str], key: Column, width: int = 2, small: bool = False
+) -> DataFrame:
     """Dense zero-based `slot` per group in order of `key` (an md5 text), and group size `n`.
 
     Work splits by the first `width` hex digits, so a group of any size spreads over 16**width
-    tasks; raising `width` changes the split but not the order.
+    tasks; raising `width` changes the split but not the order. `small` is for groups whose size
+    the caller has checked: the same numbering from one plain window.
     """
+    if small:
+        group = W.partitionBy(*groups)
+        return (
+            df.withColumn("_key", key)
+            .withColumn("slot", (F.row_number().over(group.orderBy("_key")) - 1).cast("bigint"))
+            .withColumn("n", F.count(F.lit(1)).over(group))
+            .drop("_key")
+        )
     keyed = df.withColumn("_key", key).withColumn("_prefix", F.substring("_key", 1, width))
     totals = keyed.groupBy(*groups, "_prefix").agg(F.count(F.lit(1)).alias("_in_prefix"))
     in_order = W.partitionBy(*groups).orderBy("_prefix")
@@ -173,8 +190,6 @@ def ordered_index(df: DataFrame, order: Sequence[Column], name: str = "position"
     A range-partitioned sort written to the checkpoint folder fixes which row is where; after that
     only one count per partition is added up. Nothing passes through a single task.
     """
-    from titrant.session import shared_root
-
     shared_root(df.sparkSession)
     fixed = df.orderBy(*order).checkpoint()
     tagged = fixed.withColumn("_row", F.monotonically_increasing_id())

@@ -11,13 +11,19 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from titrant.operators.ordering import hash_index, hash_order, quantiles
+from titrant.session import keep
 
 # A unit row is a few dozen bytes; this many stay well under the broadcast limit.
 BROADCAST_UNITS = 1_000_000
 
 
 def _tag(seed: int, groups: Sequence[str]) -> list[Column]:
-    return [F.lit(str(seed)), *[F.col(g) for g in groups]]
+    return [F.lit(str(seed)), *[F.col(g) for g in groups if g != "_all"]]
+
+
+def _grouped(df: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The whole table as one named group, so grouped and pooled runs share one plan shape."""
+    return (df, list(groups)) if groups else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
@@ -64,7 +70,7 @@ def replicates(
     """(slots, replicate statistics). `statistic` is 'mean', 'median' or any column aggregate."""
     kept = df.where(F.col(value).isNotNull()).select(*groups, unit, F.col(value).cast("double").alias("v"))
     # Slots feed the draws, the lookup and the point estimate: kept so their input runs once.
-    slots = with_slots(kept, groups, unit, seed).drop(unit).persist()
+    slots = keep(with_slots(kept, groups, unit, seed).drop(unit))
     units = slots.count()
     picks = draws(slots, groups, n_resamples, seed)
     values = _values_for(slots.withColumnRenamed("slot", "pick"), [*groups, "pick", "v"], units)
@@ -93,17 +99,12 @@ def bootstrap_interval(
     """(groups, estimate, low, high, n, n_resamples, excludes_zero), resampling units."""
     if not 0.0 < confidence < 1.0:
         raise ValueError(f"confidence must lie in (0, 1), got {confidence}")
+    df, groups = _grouped(df, groups)
     slots, stats = replicates(df, groups, value, unit, n_resamples, seed, statistic)
     point = _aggregate(slots, groups, statistic).withColumnRenamed("stat", "estimate")
     sizes = slots.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
     interval = percentile_interval(stats, groups, confidence, n_resamples)
-    if groups:
-        out = point.join(sizes, list(groups)).join(interval, list(groups))
-    else:
-        one = F.lit(1).alias("_one")
-        out = point.select("*", one).join(sizes.select("*", one), "_one").join(
-            interval.select("*", one), "_one"
-        ).drop("_one")
+    out = point.join(sizes, groups).join(interval, groups).drop("_all")
     return out.withColumn("excludes_zero", excludes_zero())
 
 
@@ -142,10 +143,10 @@ def _ranked_pairs(pairs: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Attach average ranks of x and y; equal (x, y) pairs are already one weighted row."""
     from titrant.operators.ordering import running_weight, split_points
 
-    out = pairs
+    out = keep(pairs)
     for side in ("x", "y"):
         counts = pairs.groupBy(*groups, F.col(side).alias("value")).agg(F.sum("weight").alias("weight"))
-        ranked = running_weight(counts, groups, split_points(pairs, side))
+        ranked = running_weight(counts, groups, split_points(counts, "value"))
         ranks = ranked.select(
             *groups, F.col("value").alias(side),
             (F.col("before") + (F.col("weight") + 1) / 2).alias(f"rank_{side}"),
@@ -163,11 +164,8 @@ def spearman(df: DataFrame, groups: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def _rho(ranked: DataFrame, groups: Sequence[str]) -> DataFrame:
-    # Ranks are centred near the middle first so that the moment sums stay small.
     sums = ranked.groupBy(*groups).agg(
         F.sum("weight").alias("n"), _correlation("rank_x", "rank_y", "weight").alias("rho")
-    ) if groups else ranked.agg(
-        F.sum("weight").alias("n"), _correlation("rank_x", "rank_y", "weight").alias("rho")
     )
     return sums.select(*groups, "n", F.when(F.col("n") >= 3, F.col("rho")).alias("rho"))
 
@@ -176,9 +174,10 @@ def spearman_interval(
     df, groups, x: str, y: str, unit: str, *, n_resamples=10_000, confidence=0.95, seed=0
 ) -> DataFrame:
     """Pairs move together; replicates without variation are dropped and the rest counted."""
+    df, groups = _grouped(df, groups)
     kept = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *groups, unit, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    slots = with_slots(kept, groups, unit, seed).drop(unit).persist()
+    slots = keep(with_slots(kept, groups, unit, seed).drop(unit))
     units = slots.count()
     picks = draws(slots, groups, n_resamples, seed)
     values = _values_for(slots.withColumnRenamed("slot", "pick"), [*groups, "pick", "x", "y"], units)
@@ -187,39 +186,33 @@ def spearman_interval(
     stats = _rho(_ranked_pairs(pairs, inside), inside).withColumnRenamed("rho", "stat")
     interval = percentile_interval(stats, groups, confidence, n_resamples)
     point = spearman(kept, groups, "x", "y").withColumnRenamed("rho", "estimate")
-    if groups:
-        out = point.join(interval, list(groups))
-    else:
-        one = F.lit(1).alias("_one")
-        out = point.select("*", one).join(interval.select("*", one), "_one").drop("_one")
-    return out.withColumn("excludes_zero", excludes_zero())
+    return point.join(interval, groups).drop("_all").withColumn("excludes_zero", excludes_zero())
 
 
 def spearman_permutation(df, groups, x: str, y: str, unit: str, *, n_permutations=10_000, seed=0) -> DataFrame:
     """(groups, n, rho, p): two-sided, add-one. Ranks never change under a shuffle of one side, so
     they are computed once and only the pairing is redone."""
+    df, groups = _grouped(df, groups)
     kept = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *groups, unit, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     pairs = kept.groupBy(*groups, "x", "y").agg(F.count(F.lit(1)).alias("weight"))
     ranked = _ranked_pairs(pairs, groups)
     observed = _rho(ranked, groups)
     with_ranks = kept.join(ranked.select(*groups, "x", "y", "rank_x", "rank_y"), [*groups, "x", "y"])
-    slots = with_slots(with_ranks, groups, unit, seed).persist()
+    slots = keep(with_slots(with_ranks, groups, unit, seed))
     units = slots.count()
     inside = [*groups, "rep"]
     each = spread(slots.select(*groups, "slot", "rank_y"), *groups, "slot").withColumn(
         "rep", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
-    key = hash_order(*_tag(seed, groups), F.col("rep"), F.col("slot"))
-    shuffled = hash_index(each.withColumnRenamed("slot", "_from"), inside, key).select(*inside, "slot", "rank_y")
+    key = hash_order(*_tag(seed, groups), F.col("rep"), F.col("_from"))
+    shuffled = hash_index(
+        each.withColumnRenamed("slot", "_from"), inside, key, small=units <= BROADCAST_UNITS
+    ).select(*inside, "slot", "rank_y")
     fixed = _values_for(slots, [*groups, "slot", "rank_x"], units)
     paired = shuffled.join(fixed, [*groups, "slot"])
     stats = paired.groupBy(*inside).agg(_correlation("rank_x", "rank_y").alias("stat"))
-    one = F.lit(1).alias("_one")
-    keys = [*groups, "_one"]
-    joined = stats.select("*", one).join(
-        F.broadcast(observed.select("*", one)) if not groups else observed.select("*", one), keys)
     extreme = F.abs("stat") >= F.abs("rho") - 1e-12
-    return joined.groupBy(*groups).agg(
+    return stats.join(observed, groups).groupBy(*groups).agg(
         F.max("n").alias("n"), F.max("rho").alias("rho"),
         ((F.count_if(extreme) + 1) / (F.lit(n_permutations) + 1)).alias("p"),
-    )
+    ).drop("_all")

@@ -15,10 +15,11 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8, name: str = "tit
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
@@ -37,3 +38,18 @@ def shared_root(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder; nothing is created until a job writes there."""
     return f"{shared_root(spark).rstrip('/')}/titrant/{label}-{uuid.uuid4().hex}"
+
+
+_KEPT: list = []
+
+
+def keep(df):
+    """Persist a table that several branches of one plan read. Lost parts are recomputed from their
+    lineage; `release` frees everything kept so far."""
+    _KEPT.append(df.persist())
+    return df
+
+
+def release() -> None:
+    while _KEPT:
+        _KEPT.pop().unpersist()
