@@ -1,0 +1,421 @@
+"""Contacts, charged pairs, surface areas and regions."""
+
+from pyspark.sql import functions as F
+
+from titrant import constants as K
+from titrant.functions import bridge as BR
+from titrant.functions.charge import residue_charge
+from titrant.operators import regions as R, resample as B, spatial as S, surface as SA
+from titrant.operators.matching import match_chain
+from titrant.operators.ordering import medians, quantiles
+from titrant.plans import views as V
+from titrant.plans.registry import query
+from titrant.plans.sequence_queries import r6
+from titrant.plans.view_sql import resample_sql, sql
+from titrant.session import keep
+
+D2 = "(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)"
+
+
+def rounded(df, *names):
+    for n in names:
+        df = df.withColumn(n, r6(F.col(n)))
+    return df
+
+
+@query("J10_contact_join", sql("atoms", f"""
+    SELECT a.structure, count(*) AS n_atom_pairs, round(min(sqrt({D2})),6) AS closest, round(max(sqrt({D2})),6) AS farthest FROM heavy a JOIN heavy b
+      ON a.structure = b.structure AND a.chain='A' AND b.chain='B' WHERE {D2} <= 25.0 GROUP BY a.structure"""))
+def j10(spark, sf):
+    pairs = S.atom_contacts(V.atoms(spark, sf), "A", "B", 5.0)
+    return pairs.groupBy("structure").agg(
+        F.count(F.lit(1)).alias("n_atom_pairs"), F.round(F.min("distance"), 6).alias("closest"), F.round(F.max("distance"), 6).alias("farthest"))
+
+
+@query("A10_residue_pair_distance", sql("contacts", """
+    SELECT structure, left_pos AS pos, right_pos AS o_pos, round(distance,6) AS distance FROM contacts"""))
+def a10(spark, sf):
+    return S.residue_contacts(V.atoms(spark, sf), "A", "B", 5.0).select("structure", "pos", "o_pos", F.round("distance", 6).alias("distance"))
+
+
+@query("J11_contact_residues", sql("contacts", """
+    SELECT DISTINCT structure, 'A' AS chain, left_pos AS pos FROM contacts UNION ALL SELECT DISTINCT structure, 'B', right_pos FROM contacts"""))
+def j11(spark, sf):
+    return S.contact_residues(S.residue_contacts(V.atoms(spark, sf), "A", "B", 5.0))
+
+
+@query("J16_best_partner", sql("atoms", f"""
+    WITH t AS (SELECT DISTINCT a.structure, a.chain, b.chain AS o_chain, a.pos FROM heavy4 a JOIN heavy4 b ON a.structure=b.structure AND a.chain<>b.chain WHERE {D2} <= 9.0),
+    c AS (SELECT structure, chain, o_chain, count(*) AS n_contacts FROM t GROUP BY ALL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY structure, chain ORDER BY n_contacts DESC, o_chain) AS r FROM c)
+    SELECT h.structure, h.chain, o_chain AS partner, n_contacts FROM (SELECT DISTINCT structure, chain FROM heavy4) h LEFT JOIN (SELECT * FROM n WHERE r = 1) n ON h.structure=n.structure AND h.chain=n.chain"""))
+def j16(spark, sf):
+    return S.best_partner(V.atoms(spark, sf, chains=4), 3.0)
+
+
+@query("P12_other_chain", """
+    SELECT row_id, partner, count(*) OVER (PARTITION BY partner) AS n_same FROM (SELECT c_custkey AS row_id, CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'D' ELSE 'A' END
+      ELSE CASE WHEN c_custkey % 2 = 0 THEN 'B' ELSE 'B' END END AS partner FROM customer)""")
+def p12(spark, sf):
+    t = V.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("row_id"), F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("A"), F.lit("D"))).otherwise(F.array(F.lit("B"), F.lit("D"))).alias("chains"),
+        F.when((F.col("c_custkey") % 3 == 0) & (F.col("c_custkey") % 2 == 0), "A").otherwise("D").alias("designed"))
+    partner = F.get(F.filter("chains", lambda c: c != F.col("designed")), 0)
+    named = t.select("row_id", partner.alias("partner"))
+    return named.join(named.groupBy("partner").agg(F.count(F.lit(1)).alias("n_same")), "partner")
+
+
+CHARGED = """charged AS (SELECT *, CASE WHEN resname IN ('LYS','ARG') THEN 1 WHEN resname IN ('ASP','GLU') THEN -1 END AS sign FROM atoms WHERE altloc IN ('',' ','A') AND resname IN ('LYS','ARG','ASP','GLU')),
+    geo AS (SELECT * FROM charged WHERE (resname='LYS' AND atom='NZ') OR (resname='ARG' AND atom IN ('NE','NH1','NH2')) OR (resname='ASP' AND atom IN ('OD1','OD2')) OR (resname='GLU' AND atom IN ('OE1','OE2'))),
+    prox AS (SELECT * FROM charged WHERE atom='CB'),
+    pop AS (SELECT structure, count(*) FILTER (WHERE sign>0) AS n_cationic, count(*) FILTER (WHERE sign<0) AS n_anionic FROM (SELECT DISTINCT structure, chain, pos, sign FROM charged) GROUP BY structure)"""
+
+
+def bridge_sql(source, cutoff, cross, out):
+    extra = "AND a.chain <> b.chain" if cross else ""
+    return f"""{out}_p AS (SELECT DISTINCT a.structure, a.chain, a.pos, b.chain AS o_chain, b.pos AS o_pos FROM {source} a JOIN {source} b ON a.structure=b.structure AND a.sign>0 AND b.sign<0 WHERE {D2} <= {cutoff*cutoff} {extra}),
+    {out}_e AS (SELECT structure, count(*) AS n_engaged FROM (SELECT structure, chain, pos FROM {out}_p UNION SELECT structure, o_chain, o_pos FROM {out}_p) GROUP BY structure),
+    {out} AS (SELECT pop.*, n_cationic+n_anionic AS n_charged, n_cationic*n_anionic AS n_opportunities, coalesce(n_bridges,0) AS n_bridges, coalesce(n_engaged,0) AS n_engaged
+      FROM pop LEFT JOIN (SELECT structure, count(*) AS n_bridges FROM {out}_p GROUP BY structure) USING (structure) LEFT JOIN {out}_e USING (structure))"""
+
+
+@query("J14_charged_atoms", sql("atoms", f"WITH {CHARGED} SELECT structure, chain, pos, resname, atom, sign::BIGINT AS sign FROM geo"))
+def j14(spark, sf):
+    return S.charged_atoms(V.atoms(spark, sf)).select("structure", "chain", "pos", "resname", "atom", F.col("sign").cast("bigint").alias("sign"))
+
+
+@query("J12_bridge_pairs", sql("atoms", f"WITH {CHARGED}, {bridge_sql('geo', 4.0, False, 'g')} SELECT structure, chain, pos, o_chain, o_pos FROM g_p"))
+def j12(spark, sf):
+    return S.opposite_pairs(S.charged_atoms(V.atoms(spark, sf)), 4.0)
+
+
+COUNTS = "structure, n_cationic, n_anionic, n_charged, n_opportunities, n_bridges, n_engaged"
+
+
+@query("A12_bridge_counts", sql("atoms", f"""WITH {CHARGED}, {bridge_sql('geo', 4.0, False, 'g')}, {bridge_sql('geo', 4.0, True, 'x')}
+    SELECT 'all' AS scope, {COUNTS} FROM g UNION ALL SELECT 'cross_chain', {COUNTS} FROM x"""))
+def a12(spark, sf):
+    a = V.atoms(spark, sf)
+    pairs = S.opposite_pairs(S.charged_atoms(a), 4.0)
+    return S.scoped_counts(pairs, S.charged_population(S.signed_residues(a)))
+
+
+@query("A13_definitions_compared", sql("atoms", f"""WITH {CHARGED}, {bridge_sql('geo', 4.0, False, 'g')}, {bridge_sql('prox', 6.0, False, 'x')}
+    SELECT g.structure, g.n_bridges AS geometric, x.n_bridges AS cbeta_proxy, round(x.n_bridges/nullif(g.n_bridges,0),6) AS inflation FROM g JOIN x USING (structure)"""))
+def a13(spark, sf):
+    a = V.atoms(spark, sf)
+    one = lambda d: S.count_bridges(a, d).select("structure", F.col("n_bridges").alias(d))
+    out = one("geometric").join(one("cbeta_proxy"), "structure")
+    return out.withColumn("inflation", F.round(F.try_divide("cbeta_proxy", F.nullif("geometric", F.lit(0))), 6))
+
+
+@query("F18_bridge_ratios", sql("atoms", f"""WITH {CHARGED}, {bridge_sql('geo', 4.0, False, 'g')}
+    SELECT structure, coalesce(round(n_bridges/nullif(n_charged,0),6),0)::DOUBLE AS per_charged_residue, coalesce(round(n_bridges/nullif(n_opportunities,0),6),0)::DOUBLE AS per_opportunity,
+      coalesce(round(n_engaged/nullif(n_charged,0),6),0)::DOUBLE AS fraction_engaged, CASE WHEN area > 0 THEN round(1000.0::DOUBLE*n_bridges/area,6) END AS per_1000_area, CASE WHEN area > 0 THEN NULL ELSE 'area must be positive' END AS area_error
+    FROM (SELECT *, (structure % 4 * 250)::DOUBLE AS area FROM g)"""))
+def f18(spark, sf):
+    g = S.count_bridges(V.atoms(spark, sf)).withColumn("area", (F.col("structure") % 4 * 250).cast("double"))
+    names = ("per_charged_residue", "per_opportunity", "fraction_engaged", "per_1000_area")
+    return rounded(BR.normalised(g, "area"), *names).select("structure", *names, "area_error")
+
+
+@query("F19_expected_by_chance", sql("atoms", f"""WITH {CHARGED} SELECT structure, round(n_cationic*n_anionic*0.01::DOUBLE,6) AS expected FROM pop"""))
+def f19(spark, sf):
+    pop = S.charged_population(S.signed_residues(V.atoms(spark, sf)))
+    return pop.select("structure", F.round(BR.expected_by_chance(F.col("n_cationic"), F.col("n_anionic"), F.lit(0.01)), 6).alias("expected"))
+
+
+@query("A14_bridge_summary", sql("atoms", f"""WITH {CHARGED}, {bridge_sql('geo', 4.0, False, 'g')}, r AS (SELECT n_bridges::DOUBLE AS raw, coalesce(n_bridges/nullif(n_opportunities,0),0) AS per FROM g)
+    SELECT count(*) AS n, round(avg(raw),6) AS mean_raw, round(quantile_cont(raw,0.5),6) AS median_raw, round(avg(per),6) AS mean_per_opportunity, round(quantile_cont(per,0.5),6) AS median_per_opportunity FROM r"""))
+def a14(spark, sf):
+    g = keep(BR.normalised(S.count_bridges(V.atoms(spark, sf))).withColumn("raw", F.col("n_bridges").cast("double")))
+    means = g.agg(F.count(F.lit(1)).alias("n"), F.avg("raw").alias("mean_raw"), F.avg("per_opportunity").alias("mean_per_opportunity"), F.lit(1).alias("_k"))
+    m = medians(g, [], ["raw", "per_opportunity"]).groupBy(F.lit(1).alias("_k")).pivot("name", ["raw", "per_opportunity"]).agg(F.first("median"))
+    m = m.withColumnsRenamed({"raw": "median_raw", "per_opportunity": "median_per_opportunity"})
+    return rounded(means.join(m, "_k").drop("_k"), "mean_raw", "median_raw", "mean_per_opportunity", "median_per_opportunity")
+
+
+@query("V23_matched_composition", sql("residues", """
+    WITH c AS (SELECT doc_id, count(*) FILTER (WHERE aa IN ('K','R','D','E')) AS n FROM residues GROUP BY doc_id)
+    SELECT a.doc_id, a.n AS left_n, b.n AS right_n, CASE WHEN a.n=0 OR b.n=0 THEN 'no_charge' WHEN abs(a.n-b.n)/greatest(a.n,b.n) > 0.10 THEN 'unmatched' ELSE 'ok' END AS status
+    FROM c a JOIN c b ON b.doc_id = a.doc_id + 1"""))
+def v23(spark, sf):
+    c = BR.composition(V.seqs(spark, sf)).select("doc_id", "n_charged")
+    other = c.select((F.col("doc_id") - 1).alias("doc_id"), F.col("n_charged").alias("right_n"))
+    out = c.withColumnRenamed("n_charged", "left_n").join(other, "doc_id")
+    return out.withColumn("status", BR.composition_status(F.col("left_n"), F.col("right_n")))
+
+
+def native_letters(atoms):
+    return atoms.select("structure", "chain", "pos", SA.letters(F.col("resname")).alias("aa")).distinct()
+
+
+def designed_letters(spark, sf, atoms):
+    """A document threaded on chain A of the structure with its number; chain B stays native."""
+    native = native_letters(atoms)
+    s = V.seqs(spark, sf).select(F.col("doc_id").alias("structure"), F.posexplode(F.split("seq", "")).alias("pos", "aa"))
+    a = native.where("chain = 'A'").drop("aa").join(s.withColumn("pos", F.col("pos").cast("bigint")), ["structure", "pos"])
+    return a.select("structure", "chain", "pos", "aa").unionByName(native.where("chain = 'B'"))
+
+
+LETTERS_SQL = """aa_of AS (SELECT * FROM (VALUES ('LYS','K'),('ARG','R'),('HIS','H'),('ASP','D'),('GLU','E'),('GLY','G'),('ALA','A'),('SER','S'),('LEU','L'),('TRP','W')) t(resname, aa)),
+    native_l AS (SELECT DISTINCT structure, chain, pos, aa FROM atoms JOIN aa_of USING (resname)),
+    design_l AS (SELECT n.structure, n.chain, n.pos, r.aa FROM native_l n JOIN residues r ON r.doc_id = n.structure AND r.pos = n.pos WHERE n.chain='A' UNION ALL SELECT * FROM native_l WHERE chain='B')"""
+
+
+@query("P07_thread_sequence", sql("atoms residues", f"WITH {LETTERS_SQL} SELECT structure, chain, pos, aa FROM design_l"))
+def p07(spark, sf):
+    return designed_letters(spark, sf, V.atoms(spark, sf))
+
+
+def threaded_sql(letters, out, cross):
+    return f"""{out}_s AS (SELECT structure, chain, pos, CASE WHEN aa IN ('K','R') THEN 1 ELSE -1 END AS sign FROM {letters} WHERE aa IN ('K','R','D','E')),
+    {out}_cb AS (SELECT s.*, x, y, z FROM {out}_s s JOIN (SELECT * FROM atoms WHERE atom='CB' AND altloc IN ('',' ','A')) c USING (structure, chain, pos)),
+    {out}_pop AS (SELECT structure, count(*) FILTER (WHERE sign>0) AS n_cationic, count(*) FILTER (WHERE sign<0) AS n_anionic FROM {out}_s GROUP BY structure),
+    """ + bridge_sql(f"{out}_cb", 6.0, cross, out).replace("FROM pop", f"FROM {out}_pop").replace("pop.*", f"{out}_pop.*")
+
+
+@query("J13_threaded_bridges", sql("atoms residues", f"""WITH {LETTERS_SQL}, {threaded_sql('design_l', 'd', False)}, {threaded_sql('design_l', 'e', True)}
+    SELECT 'all' AS scope, {COUNTS} FROM d UNION ALL SELECT 'cross_chain', {COUNTS} FROM e"""))
+def j13(spark, sf):
+    a = V.atoms(spark, sf)
+    letters = designed_letters(spark, sf, a)
+    cb, signed = S.threaded(a, letters)
+    return S.scoped_counts(S.opposite_pairs(cb, 6.0), S.charged_population(signed))
+
+
+A47_PARTS = [("design", "design_l", "all", False), ("design", "design_l", "cross_chain", True), ("native", "native_l", "all", False), ("native", "native_l", "cross_chain", True)]
+
+
+@query("A47_design_against_native", sql("atoms residues", f"""WITH {LETTERS_SQL}, """ + ", ".join(threaded_sql(l, f"t{i}", c) for i, (_, l, _, c) in enumerate(A47_PARTS)) + """,
+    rows_all AS (""" + " UNION ALL ".join(f"SELECT '{lab}' AS label, '{scope}' AS scope, * FROM t{i}" for i, (lab, _, scope, _) in enumerate(A47_PARTS)) + """),
+    measures AS (SELECT label, structure, scope||' bridges' AS what, n_bridges::DOUBLE AS v FROM rows_all UNION ALL SELECT label, structure, scope||' per_opportunity', coalesce(n_bridges/nullif(n_opportunities,0),0) FROM rows_all
+      UNION ALL SELECT label, structure, scope||' n_charged', n_charged::DOUBLE FROM rows_all),
+    pairs AS (SELECT a.structure, a.what, a.v AS design, b.v AS native, a.v - b.v AS diff FROM measures a JOIN measures b ON a.structure=b.structure AND a.what=b.what AND a.label='design' AND b.label='native'),
+    """ + resample_sql("pairs", "what", "diff", "structure", n=100) + """
+    SELECT i.what, estimate, low, high, n, excludes_zero, mean_design, mean_native FROM intervals i JOIN (SELECT what, round(avg(design),6)+0.0 AS mean_design, round(avg(native),6)+0.0 AS mean_native FROM pairs GROUP BY what) m ON i.what=m.what"""))
+def a47(spark, sf):
+    a = V.atoms(spark, sf)
+    letters = native_letters(a).withColumn("label", F.lit("native")).unionByName(
+        designed_letters(spark, sf, a).withColumn("label", F.lit("design")))
+    case = F.concat_ws("|", "label", "structure")
+    both = a.withColumn("label", F.explode(F.array(F.lit("native"), F.lit("design")))).withColumn("case", case)
+    cb, signed = S.threaded(both, letters.withColumn("case", case), group="case")
+    t = BR.normalised(S.scoped_counts(S.opposite_pairs(cb, 6.0, "case"), S.charged_population(signed, "case"), "case"))
+    cells = F.array(*[
+        F.struct(F.concat_ws(" ", "scope", F.lit(name)).alias("what"), F.col(c).cast("double").alias("v"))
+        for name, c in (("bridges", "n_bridges"), ("per_opportunity", "per_opportunity"), ("n_charged", "n_charged"))])
+    parts = F.split("case", "[|]")
+    long = t.select(parts[0].alias("label"), parts[1].cast("bigint").alias("structure"), F.explode(cells).alias("c")).select(
+        "label", "structure", "c.what", "c.v")
+    wide = long.groupBy("structure", "what").pivot("label", ["design", "native"]).agg(F.first("v"))
+    wide = keep(wide.where("design IS NOT NULL AND native IS NOT NULL"))
+    interval = B.paired_interval(wide, ["what"], "design", "native", "structure", n_resamples=100).drop("n_resamples")
+    means = wide.groupBy("what").agg(F.avg("design").alias("mean_design"), F.avg("native").alias("mean_native"))
+    return rounded(interval.join(means, "what"), "estimate", "low", "high", "mean_design", "mean_native")
+
+
+# ---- charge products -----------------------------------------------------------------------
+
+PRODUCT_SQL = """aa_of AS (SELECT * FROM (VALUES ('LYS','K'),('ARG','R'),('HIS','H'),('ASP','D'),('GLU','E'),('GLY','G'),('ALA','A'),('SER','S'),('LEU','L'),('TRP','W')) t(resname, aa)),
+    len AS (SELECT structure, chain, max(pos) + 1 AS n FROM atoms GROUP BY ALL),
+    q AS (SELECT DISTINCT a.structure, a.chain, a.pos, d.q::DOUBLE AS qs, d.qph + CASE WHEN a.pos=0 THEN 1/(1+pow(10::DOUBLE,7.4-8.6)) ELSE 0 END + CASE WHEN a.pos=len.n-1 THEN -1/(1+pow(10::DOUBLE,3.6-7.4)) ELSE 0 END AS qp
+      FROM atoms a JOIN aa_of USING (resname) JOIN aa_dim d USING (aa) JOIN len ON a.structure=len.structure AND a.chain=len.chain),
+    prod AS (SELECT c.structure, c.left_pos, c.right_pos, distance, qa.qs*qb.qs AS simple, qa.qp*qb.qp AS ph FROM contacts c JOIN q qa ON c.structure=qa.structure AND qa.chain='A' AND qa.pos=c.left_pos
+      JOIN q qb ON c.structure=qb.structure AND qb.chain='B' AND qb.pos=c.right_pos)"""
+
+
+def products(spark, sf):
+    a = keep(V.atoms(spark, sf))
+    pairs = S.residue_contacts(a, "A", "B", 5.0)
+    n = a.groupBy("structure", "chain").agg((F.max("pos") + 1).alias("n"))
+    q = native_letters(a).join(n, ["structure", "chain"]).select(
+        "structure", "chain", "pos", *[residue_charge(d, F.col("aa"), F.col("pos"), F.col("n")).alias(f"q_{d}") for d in ("simple", "ph")])
+    other = q.select("structure", F.col("chain").alias("o_chain"), F.col("pos").alias("o_pos"), F.col("q_simple").alias("o_simple"), F.col("q_ph").alias("o_ph"))
+    return pairs.join(q, ["structure", "chain", "pos"]).join(other, ["structure", "o_chain", "o_pos"])
+
+
+@query("F14_pair_product", sql("contacts aa_dim", f"""WITH {PRODUCT_SQL}
+    SELECT structure, left_pos AS pos, right_pos AS o_pos, simple+0.0 AS simple, round(ph,9)+0.0 AS ph, round(ph/greatest(distance,1e-6),9)+0.0 AS ph_by_distance FROM prod"""))
+def f14(spark, sf):
+    d = F.col("distance")
+    p = lambda t, w="none": S.pair_product(F.col(f"q_{t}"), F.col(f"o_{t}"), d, w)
+    return products(spark, sf).select(
+        "structure", "pos", "o_pos", (p("simple") + F.lit(0.0)).alias("simple"), (F.round(p("ph"), 9) + F.lit(0.0)).alias("ph"),
+        (F.round(p("ph", "inverse_distance"), 9) + F.lit(0.0)).alias("ph_by_distance"))
+
+
+def ec_sql(t):
+    return f"""SELECT '{t}' AS definition, structure, round(sum({t}),6)+0.0 AS sum_product, count(*) AS n_pairs, count(*) FILTER (WHERE {t}<0) AS n_attractive, count(*) FILTER (WHERE {t}>0) AS n_repulsive, count(*) FILTER (WHERE {t}=0) AS n_neutral,
+      round(coalesce(sum({t})/nullif(count(*) FILTER (WHERE {t}<>0),0),0),6)+0.0 AS mean_product FROM prod GROUP BY structure"""
+
+
+@query("A11_complementarity", sql("contacts aa_dim", f"WITH {PRODUCT_SQL} {ec_sql('simple')} UNION ALL {ec_sql('ph')}"))
+def a11(spark, sf):
+    p = products(spark, sf)
+    one = lambda t: S.complementarity(
+        p.withColumn("product", S.pair_product(F.col(f"q_{t}"), F.col(f"o_{t}"), F.col("distance"))), "structure").withColumn("definition", F.lit(t))
+    return rounded(one("simple").unionByName(one("ph")), "sum_product", "mean_product")
+
+
+# ---- areas ----------------------------------------------------------------------------------
+
+def areas(spark, sf):
+    """Given isolated and bound areas per residue, straight from the embeddings."""
+    e = V.table(spark, sf, "embeddings")
+    slot = F.col("vec_id") % 50
+    get = lambda i: F.abs(F.get("embedding", F.lit(i)).cast("double"))
+    iso = F.round(get(0) * 1000, 3)
+    letters = F.array(*[F.lit(K.RESIDUE_LETTERS[r]) for r in V.RES_NAMES])
+    return e.select(
+        F.floor(F.col("vec_id") / 50).alias("structure"), F.when(slot % 2 == 0, "A").otherwise("B").alias("chain"), F.floor(slot / 2).alias("pos"),
+        F.get(letters, F.col("label")).alias("aa"), iso.alias("isolated"), F.round(iso * (1.02 - get(1) * 3), 3).alias("bound"),
+    ).withColumn("delta", F.round(F.greatest(F.lit(0.0), F.col("isolated") - F.col("bound")), 3))
+
+
+AREAS_SQL = """areas AS (SELECT *, round(greatest(0, isolated-bound),3) AS delta FROM (SELECT *, round(isolated*(1.02-e2*3),3) AS bound FROM (SELECT vec_id // 50 AS structure, CASE WHEN (vec_id % 50) % 2 = 0 THEN 'A' ELSE 'B' END AS chain, (vec_id % 50)//2 AS pos,
+      string_split('K R H D E G A S L W',' ')[label+1] AS aa, round(abs(embedding[1]::DOUBLE)*1000,3) AS isolated, abs(embedding[2]::DOUBLE) AS e2 FROM embeddings)))"""
+
+
+@query("A04_buried_area", sql("", f"WITH {AREAS_SQL} SELECT structure, chain, round(sum(delta),3)+0.0 AS buried_area FROM areas GROUP BY ALL"))
+def a04(spark, sf):
+    return areas(spark, sf).groupBy("structure", "chain").agg((F.round(F.sum("delta"), 3) + F.lit(0.0)).alias("buried_area"))
+
+
+@query("A05_delta_summary", sql("", f"""WITH {AREAS_SQL} SELECT structure, chain, round(sum(delta),3)+0.0 AS total, max(delta) AS largest, round(coalesce(avg(delta) FILTER (WHERE delta>0),0),6)+0.0 AS mean_nonzero,
+    count(*) FILTER (WHERE delta>0) AS n_nonzero FROM areas GROUP BY ALL"""))
+def a05(spark, sf):
+    out = SA.delta_summary(areas(spark, sf), ["structure", "chain"])
+    return out.withColumn("total", F.round("total", 3) + F.lit(0.0)).withColumn("mean_nonzero", r6(F.col("mean_nonzero")))
+
+
+@query("F11_relative_area", sql("aa_dim", f"WITH {AREAS_SQL} SELECT structure, chain, pos, round(isolated/max_asa,6) AS relative_area FROM areas JOIN aa_dim USING (aa)"))
+def f11(spark, sf):
+    return SA.relative_area(areas(spark, sf)).select("structure", "chain", "pos", F.round("relative_area", 6).alias("relative_area"))
+
+
+REGION_SQL = f"""{AREAS_SQL}, labelled AS (SELECT structure, chain, pos, CASE WHEN isolated/max_asa < 0.25 THEN 'core' WHEN delta > 1.0 THEN 'interface' ELSE 'surface' END AS region FROM areas JOIN aa_dim USING (aa))"""
+
+
+def labelled(spark, sf):
+    marked = SA.relative_area(areas(spark, sf)).withColumn("in_interface", F.col("delta") > 1.0)
+    return R.classify(marked).withColumn("label_source", F.lit("native"))
+
+
+@query("P08_classify_regions", sql("aa_dim", f"WITH {REGION_SQL} SELECT structure, chain, pos, region FROM labelled"))
+def p08(spark, sf):
+    return labelled(spark, sf).select("structure", "chain", "pos", "region")
+
+
+@query("P09_ids_in_region", sql("aa_dim", f"WITH {REGION_SQL} SELECT structure, chain, pos FROM labelled WHERE region='interface'"))
+def p09(spark, sf):
+    return labelled(spark, sf).where("region = 'interface'").select("structure", "chain", "pos")
+
+
+@query("V24_native_labels_only", sql("aa_dim", f"WITH {REGION_SQL} SELECT structure, region, count(*) AS n FROM labelled GROUP BY ALL"))
+def v24(spark, sf):
+    checked = SA.require_native(labelled(spark, sf)).where(F.col("label_source").isNotNull())
+    return checked.groupBy("structure", "region").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("J09_positive_area_join", sql("", f"""WITH {AREAS_SQL}, b AS (SELECT structure, chain, sum(delta) AS area FROM areas GROUP BY ALL HAVING sum(delta) > 0)
+    SELECT r.structure, r.chain, r.pos, round(b.area,3) AS area FROM areas r LEFT JOIN b ON r.structure=b.structure AND r.chain=b.chain"""))
+def j09(spark, sf):
+    a = areas(spark, sf)
+    buried = a.groupBy("structure", "chain").agg(F.sum("delta").alias("area")).where("area > 0")
+    return a.select("structure", "chain", "pos").join(buried, ["structure", "chain"], "left").withColumn("area", F.round("area", 3))
+
+
+@query("A06_definition_agreement", sql("contacts", f"""WITH {AREAS_SQL}, d AS (SELECT structure, chain, pos FROM areas WHERE delta > 1.0),
+    c AS (SELECT DISTINCT structure, 'A' AS chain, left_pos AS pos FROM contacts UNION SELECT DISTINCT structure, 'B', right_pos FROM contacts),
+    f AS (SELECT coalesce(d.structure,c.structure) AS structure, d.pos IS NOT NULL AS a, c.pos IS NOT NULL AS b FROM d FULL JOIN c ON d.structure=c.structure AND d.chain=c.chain AND d.pos=c.pos)
+    SELECT structure, count(*) FILTER (WHERE a) AS n_first, count(*) FILTER (WHERE b) AS n_second, count(*) FILTER (WHERE a AND b) AS n_both, count(*) FILTER (WHERE a AND NOT b) AS n_first_only,
+      count(*) FILTER (WHERE b AND NOT a) AS n_second_only, round(count(*) FILTER (WHERE a AND b)/count(*),6) AS jaccard FROM f GROUP BY structure"""))
+def a06(spark, sf):
+    return agreement_table(spark, sf).withColumn("jaccard", F.round("jaccard", 6))
+
+
+def agreement_table(spark, sf):
+    delta = SA.by_delta(areas(spark, sf)).select("structure", "chain", "pos")
+    touch = S.contact_residues(S.residue_contacts(V.atoms(spark, sf), "A", "B", 5.0))
+    return SA.agreement(delta, touch, ["structure", "chain", "pos"], "structure")
+
+
+@query("U02_residue_set_operations", sql("contacts", f"""WITH {AREAS_SQL}, d AS (SELECT structure, chain, pos FROM areas WHERE delta > 1.0),
+    c AS (SELECT DISTINCT structure, 'A' AS chain, left_pos AS pos FROM contacts UNION SELECT DISTINCT structure, 'B', right_pos FROM contacts)
+    SELECT 'both' AS part, * FROM (SELECT * FROM d INTERSECT SELECT * FROM c) UNION ALL SELECT 'only first', * FROM (SELECT * FROM d EXCEPT SELECT * FROM c) UNION ALL SELECT 'either', * FROM (SELECT * FROM d UNION SELECT * FROM c)"""))
+def u02(spark, sf):
+    d = SA.by_delta(areas(spark, sf)).select("structure", "chain", "pos")
+    c = S.contact_residues(S.residue_contacts(V.atoms(spark, sf), "A", "B", 5.0))
+    part = lambda name, df: df.select(F.lit(name).alias("part"), "structure", "chain", "pos")
+    return part("both", d.intersect(c)).unionByName(part("only first", d.exceptAll(c))).unionByName(part("either", d.union(c).distinct()))
+
+
+@query("A54_agreement_bins", sql("contacts", f"""WITH {AREAS_SQL}, d AS (SELECT structure, chain, pos FROM areas WHERE delta > 1.0),
+    c AS (SELECT DISTINCT structure, 'A' AS chain, left_pos AS pos FROM contacts UNION SELECT DISTINCT structure, 'B', right_pos FROM contacts),
+    f AS (SELECT coalesce(d.structure,c.structure) AS structure, d.pos IS NOT NULL AND c.pos IS NOT NULL AS h FROM d FULL JOIN c ON d.structure=c.structure AND d.chain=c.chain AND d.pos=c.pos),
+    j AS (SELECT structure, count(*) FILTER (WHERE h)/count(*) AS jaccard FROM f GROUP BY structure)
+    SELECT least(floor(jaccard*20)::BIGINT + 1, 21) AS bin, count(*) AS n, (SELECT round(quantile_cont(jaccard,0.5),6) FROM j) AS median FROM j GROUP BY bin"""))
+def a54(spark, sf):
+    j = keep(agreement_table(spark, sf))
+    middle = quantiles(j, [], "jaccard", {"median": 0.5}).select(F.round("median", 6).alias("median"), F.lit(1).alias("_k"))
+    bins = j.groupBy(F.width_bucket("jaccard", F.lit(0.0), F.lit(1.0), F.lit(20)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return bins.withColumn("_k", F.lit(1)).join(middle, "_k").drop("_k")
+
+
+# ---- areas from coordinates -----------------------------------------------------------------
+
+_LATTICE = ", ".join(f"({x}::DOUBLE,{y}::DOUBLE,{z}::DOUBLE)" for x, y, z in SA.lattice(100))
+AREA_SQL = f"""u AS (SELECT * FROM (VALUES {_LATTICE}) t(ux,uy,uz)),
+    sized AS (SELECT *, CASE element WHEN 'H' THEN 1.2 WHEN 'C' THEN 1.7 WHEN 'N' THEN 1.55 WHEN 'O' THEN 1.52 ELSE 1.8 END::DOUBLE AS r FROM heavy),
+    pairs_near AS (SELECT a.structure, a.chain, a.pos, a.atom, a.r, a.x, a.y, a.z, list({{'x':b.x,'y':b.y,'z':b.z,'far':b.r+1.4,'same':a.chain=b.chain}}) AS near
+      FROM sized a JOIN sized b ON a.structure=b.structure AND NOT (a.vec_id=b.vec_id AND a.atom=b.atom) AND {D2} < (a.r+b.r+2.8)*(a.r+b.r+2.8) GROUP BY ALL),
+    pts AS (SELECT structure, chain, pos, atom, r, x+ux*(r+1.4) AS px, y+uy*(r+1.4) AS py, z+uz*(r+1.4) AS pz, near FROM pairs_near, u),
+    seen AS (SELECT structure, chain, pos, r,
+      NOT list_bool_or(list_transform(near, lambda n: (n.x-px)*(n.x-px)+(n.y-py)*(n.y-py)+(n.z-pz)*(n.z-pz) < n.far*n.far)) AS bound_free,
+      NOT coalesce(list_bool_or(list_transform(list_filter(near, lambda n: n.same), lambda n: (n.x-px)*(n.x-px)+(n.y-py)*(n.y-py)+(n.z-pz)*(n.z-pz) < n.far*n.far)), false) AS alone_free FROM pts),
+    sasa AS (SELECT structure, chain, pos, sum(CASE WHEN alone_free THEN (r+1.4)*(r+1.4)*4*pi()/100 ELSE 0 END) AS isolated, sum(CASE WHEN bound_free THEN (r+1.4)*(r+1.4)*4*pi()/100 ELSE 0 END) AS bound FROM seen GROUP BY ALL)"""
+
+
+@query("A07_accessible_area", sql("atoms", f"WITH {AREA_SQL} SELECT structure, chain, pos, round(bound,4) AS area FROM sasa"))
+def a07(spark, sf):
+    h = S.heavy(V.atoms(spark, sf))
+    return SA.residue_area(h, ["structure"], ["structure", "chain", "pos"]).withColumn("area", F.round("area", 4))
+
+
+@query("A08_delta_area_interface", sql("atoms", f"WITH {AREA_SQL} SELECT structure, chain, pos, round(greatest(0, isolated-bound),4)+0.0 AS delta FROM sasa WHERE greatest(0, isolated-bound) > 1.0"))
+def a08(spark, sf):
+    b = SA.by_delta(SA.burial(S.heavy(V.atoms(spark, sf))))
+    return b.select("structure", "chain", "pos", (F.round("delta", 4) + F.lit(0.0)).alias("delta"))
+
+
+@query("A09_define_regions", sql("contacts aa_dim", f"""WITH {AREA_SQL}, aa_of AS (SELECT * FROM (VALUES ('LYS','K'),('ARG','R'),('HIS','H'),('ASP','D'),('GLU','E'),('GLY','G'),('ALA','A'),('SER','S'),('LEU','L'),('TRP','W')) t(resname, aa)),
+    res AS (SELECT DISTINCT structure, chain, pos, aa FROM heavy JOIN aa_of USING (resname)),
+    touch AS (SELECT DISTINCT structure, 'A' AS chain, left_pos AS pos FROM contacts UNION SELECT DISTINCT structure, 'B', right_pos FROM contacts)
+    SELECT s.structure, s.chain, s.pos, CASE WHEN isolated/max_asa < 0.25 THEN 'core' WHEN isolated-bound > 1.0 THEN 'interface' ELSE 'surface' END AS region, t.pos IS NOT NULL AS in_contact, 'native' AS label_source
+    FROM sasa s JOIN res r ON s.structure=r.structure AND s.chain=r.chain AND s.pos=r.pos JOIN aa_dim USING (aa) LEFT JOIN touch t ON s.structure=t.structure AND s.chain=t.chain AND s.pos=t.pos"""))
+def a09(spark, sf):
+    regions, touching = SA.define_regions(V.atoms(spark, sf))
+    seen = touching.withColumn("_t", F.lit(True))
+    out = regions.join(seen, ["structure", "chain", "pos"], "left")
+    return out.select("structure", "chain", "pos", "region", F.coalesce("_t", F.lit(False)).alias("in_contact"), "label_source")
+
+
+# ---- which chain an export came from ---------------------------------------------------------
+
+@query("J15_match_chain", sql("seqs natives", """
+    WITH c AS (SELECT n.source, n.lang, s.doc_id, length(s.seq)-length(n.native_seq) AS gap, CASE WHEN length(s.seq)=length(n.native_seq) THEN
+        list_sum(list_transform(range(1, length(s.seq)+1), lambda k: (s.seq[k]=n.native_seq[k])::INTEGER))/length(s.seq) END AS id
+      FROM natives n JOIN seqs s ON s.source=n.source AND s.lang=n.lang AND s.doc_id<>n.native_id),
+    best AS (SELECT source, lang, max(id) AS id FROM c GROUP BY ALL),
+    tied AS (SELECT c.source, c.lang, count(*) AS n, min(doc_id) AS first_id FROM c JOIN best USING (source, lang) WHERE c.id = best.id GROUP BY ALL),
+    near AS (SELECT source, lang, doc_id AS nearest_chain, gap AS nearest_gap FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY abs(gap), doc_id) AS r FROM c) WHERE r = 1)
+    SELECT n.source, n.lang, CASE WHEN b.id IS NULL THEN 'no chain of that length' WHEN b.id < 0.95 THEN 'identity too low' WHEN t.n = 1 THEN 'matched' ELSE 'tie, first chain' END AS status,
+      CASE WHEN b.id >= 0.95 THEN t.first_id::VARCHAR END AS chain_id, b.id AS identity, t.n AS n_best, CASE WHEN b.id IS NULL THEN nearest_chain END AS nearest_chain, CASE WHEN b.id IS NULL THEN nearest_gap END AS nearest_gap
+    FROM natives n LEFT JOIN best b ON n.source=b.source AND n.lang=b.lang LEFT JOIN tied t ON n.source=t.source AND n.lang=t.lang LEFT JOIN near ON n.source=near.source AND n.lang=near.lang"""))
+def j15(spark, sf):
+    s = V.seqs(spark, sf)
+    exports = V.natives(s)
+    first = exports.select(F.col("native_id").alias("doc_id"))
+    chains = s.join(first, "doc_id", "left_anti").select("source", "lang", F.col("doc_id").alias("chain_id"), "seq")
+    return match_chain(exports.drop("native_id"), chains, ["source", "lang"], policy="first")
