@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 BACKBONE = ("N", "CA", "C", "O")
 
@@ -25,7 +25,7 @@ def paired_atoms(native: DataFrame, predicted: DataFrame, pairs: DataFrame, grou
     return both.join(whole, [group, "chain", "pos"], "left_semi")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _rotation(cross: pd.Series) -> pd.Series:
     """Best proper rotation for each 3x3 cross-moment matrix; a row per structure, never its atoms."""
     m = np.stack([np.asarray(c, dtype=float).reshape(3, 3) for c in cross]) if len(cross) else np.empty((0, 3, 3))

@@ -68,8 +68,8 @@ VIEWS = {
             embedding AS e, a, unnest(range(21)) AS k FROM embeddings, atom_names),
         atoms_any AS (SELECT structure, slot, resname, vec_id, a[k+1] AS atom,
             CASE k WHEN 18 THEN 'B' WHEN 17 THEN 'A' ELSE '' END AS altloc, a[k+1][1] AS element,
-            round(e[1]::DOUBLE*60 + e[3*k+1]::DOUBLE*8, 3) AS x, round(e[2]::DOUBLE*60 + e[3*k+2]::DOUBLE*8, 3) AS y,
-            round(e[3]::DOUBLE*60 + e[3*k+3]::DOUBLE*8, 3) AS z FROM atom_rows
+            round(e[1]::DOUBLE*60 + e[3*k+1]::DOUBLE*8, 3)+0.0 AS x, round(e[2]::DOUBLE*60 + e[3*k+2]::DOUBLE*8, 3)+0.0 AS y,
+            round(e[3]::DOUBLE*60 + e[3*k+3]::DOUBLE*8, 3)+0.0 AS z FROM atom_rows
             WHERE NOT (r_gly(resname) AND a[k+1] = 'CB')),
         atoms AS (SELECT *, CASE slot % 2 WHEN 0 THEN 'A' ELSE 'B' END AS chain, slot // 2 AS pos FROM atoms_any),
         atoms4 AS (SELECT *, ['A','B','C','D'][slot % 4 + 1] AS chain, slot // 4 AS pos FROM atoms_any),
@@ -78,6 +78,25 @@ VIEWS = {
             "r_gly(resname)", "resname = 'GLY'"
         ),
     ),
+    "polymer": (
+        ["atoms"],
+        """polymer AS (SELECT structure, chain, pos + 1 AS seqid, vec_id, atom, altloc, element, x, y, z,
+            CASE WHEN vec_id % 29 = 0 THEN 'MSE' WHEN vec_id % 31 = 0 THEN 'HOH' WHEN vec_id % 37 = 0 THEN 'SEP' WHEN vec_id % 41 = 0 THEN 'UNK' ELSE resname END AS resname,
+            CASE WHEN vec_id % 29 = 0 OR vec_id % 31 = 0 OR vec_id % 37 = 0 THEN 'HETATM' ELSE 'ATOM' END AS record,
+            (vec_id % 50)*21 + list_position(a, atom) AS serial FROM atoms, atom_names),
+          tagged AS (SELECT *, CASE resname WHEN 'MSE' THEN 'M' WHEN 'SEP' THEN 'S' WHEN 'LYS' THEN 'K' WHEN 'ARG' THEN 'R' WHEN 'HIS' THEN 'H' WHEN 'ASP' THEN 'D' WHEN 'GLU' THEN 'E'
+              WHEN 'GLY' THEN 'G' WHEN 'ALA' THEN 'A' WHEN 'SER' THEN 'S' WHEN 'LEU' THEN 'L' WHEN 'TRP' THEN 'W' END AS letter,
+              resname = 'HOH' AS skipped, CASE WHEN resname = 'SEP' THEN 'charge-altering residue' WHEN resname = 'UNK' THEN 'unknown residue' END AS problem
+            FROM (SELECT structure, chain, seqid, resname, min(serial) AS first_serial FROM polymer GROUP BY ALL)),
+          extracted AS (SELECT structure, chain, seqid, resname, skipped, problem, resname = 'MSE' AS modified, first_serial, CASE WHEN NOT skipped AND problem IS NULL THEN letter END AS aa,
+              CASE WHEN NOT skipped AND problem IS NULL THEN count(*) FILTER (WHERE NOT skipped AND problem IS NULL) OVER (PARTITION BY structure, chain ORDER BY first_serial) - 1 END AS pos FROM tagged),
+          rendered AS (SELECT structure, serial, printf('%-6s%5d %-4s%1s%3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s', record, serial, atom, altloc, resname, chain, seqid, ' ', x, y, z, 1.0::DOUBLE, 0.0::DOUBLE, element) AS one,
+              printf('%-6s%5d %-4s%1s%3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s', record, serial, atom, altloc, resname, chain, seqid, ' ', x + 1, y, z, 1.0::DOUBLE, 0.0::DOUBLE, element) AS two FROM polymer),
+          file_lines AS (SELECT structure, 0 AS ord, 'MODEL        1' AS value FROM (SELECT DISTINCT structure FROM polymer) UNION ALL SELECT structure, serial, one FROM rendered
+            UNION ALL SELECT structure, 5000, 'ENDMDL' FROM (SELECT DISTINCT structure FROM polymer) UNION ALL SELECT structure, 6000, 'MODEL        2' FROM (SELECT DISTINCT structure FROM polymer)
+            UNION ALL SELECT structure, 10000 + serial, two FROM rendered UNION ALL SELECT structure, 20000, 'ENDMDL' FROM (SELECT DISTINCT structure FROM polymer)),
+          file_digest AS (SELECT structure, sha256(string_agg(value, chr(10) ORDER BY ord)||chr(10)) AS sha256, sum(length(value)+1)::BIGINT AS bytes FROM file_lines GROUP BY structure)""",
+    ),
     "contacts": (
         ["atoms"],
         """contacts AS (SELECT a.structure, a.vec_id AS left_id, b.vec_id AS right_id,

@@ -133,6 +133,20 @@ def atoms(spark, sf_dir, chains: int = 2) -> DataFrame:
     return out.where(~((F.col("resname") == "GLY") & (F.col("atom") == "CB")))
 
 
+def polymer(spark, sf_dir) -> DataFrame:
+    """Atom records as a structure file holds them, with modified, foreign and unknown residues."""
+    a = atoms(spark, sf_dir)
+    v = F.col("vec_id")
+    het = (v % 29 == 0) | (v % 31 == 0) | (v % 37 == 0)
+    names = F.array(*[F.lit(n) for n in ATOM_NAMES])
+    return a.select(
+        "structure", "chain", (F.col("pos") + 1).alias("seqid"), F.lit("").alias("icode"), "vec_id", "atom", "altloc", "element", "x", "y", "z",
+        F.when(v % 29 == 0, "MSE").when(v % 31 == 0, "HOH").when(v % 37 == 0, "SEP").when(v % 41 == 0, "UNK").otherwise(F.col("resname")).alias("resname"),
+        F.when(het, "HETATM").otherwise("ATOM").alias("record"),
+        (v % RESIDUES_PER_STRUCTURE * len(ATOM_NAMES) + F.array_position(names, F.col("atom"))).cast("int").alias("serial"),
+    )
+
+
 MATRIX_SIDE, FIRST_CHAIN = 32, 20
 
 

@@ -30,7 +30,11 @@ def header_problems(spark: SparkSession, path: str, spec: TableSpec, allow_extra
     kinds = [("duplicate", repeated), ("missing", F.array_except(expected, "h"))]
     if not allow_extra:
         kinds.append(("unexpected", F.array_except("h", expected)))
-    cells = F.flatten(F.array(*[F.transform(a, lambda c, k=k: F.struct(F.lit(k).alias("kind"), c.alias("column_name"))) for k, a in kinds]))
+
+    def labelled(kind, names):
+        return F.transform(names, lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("column_name")))
+
+    cells = F.flatten(F.array(*[labelled(kind, columns) for kind, columns in kinds]))
     return seen.select("file", F.explode(cells).alias("p")).select("file", "p.*")
 
 
