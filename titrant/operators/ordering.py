@@ -150,7 +150,7 @@ def hash_order(*parts: Column) -> Column:
 
 
 def hash_index(
-    df: DataFrame, groups: Sequence[str], key: Column, width: int = 2, small: bool = False
+    df: DataFrame, groups: Sequence[str], key: Column, width: int = 3, small: bool = False
 ) -> DataFrame:
     """Dense zero-based `slot` per group in order of `key` (an md5 text), and group size `n`.
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from titrant.functions import charge as Q
+from titrant.operators.joins import measured
 from titrant.params import ChargeParams
 
 REGIONS = ("interface", "surface", "core")
@@ -45,7 +46,7 @@ def shift_from(
     """Adds charge_shift_<region>_<definition> against the native row of the same keys."""
     names = [f"{r}_{d}" for d in definitions for r in (*REGIONS, "total")]
     reference = native.select(*keys, *[F.col(f"charge_{n}").alias(f"_native_{n}") for n in names])
-    joined = table.join(reference, list(keys), "left")
+    joined = table.join(measured(reference), list(keys), "left")
     shifts = [(F.col(f"charge_{n}") - F.col(f"_native_{n}")).alias(f"charge_shift_{n}") for n in names]
     return joined.select(*table.columns, *shifts)
 

@@ -78,8 +78,8 @@ def replicates(
     return slots, _aggregate(joined, [*groups, "rep"], statistic)
 
 
-def percentile_interval(stats: DataFrame, groups: Sequence[str], confidence: float, n_resamples: int) -> DataFrame:
-    """Low and high over at most `n_resamples` rows per group."""
+def percentile_interval(stats: DataFrame, groups: Sequence[str], confidence: float) -> DataFrame:
+    """Low and high over one row per replicate, so at most the number of resamples per group."""
     tail = (1.0 - confidence) / 2.0
     pair = F.percentile(F.col("stat"), F.array(F.lit(tail), F.lit(1.0 - tail)))
     return stats.where(F.col("stat").isNotNull()).groupBy(*groups).agg(
@@ -103,7 +103,7 @@ def bootstrap_interval(
     slots, stats = replicates(df, groups, value, unit, n_resamples, seed, statistic)
     point = _aggregate(slots, groups, statistic).withColumnRenamed("stat", "estimate")
     sizes = slots.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
-    interval = percentile_interval(stats, groups, confidence, n_resamples)
+    interval = percentile_interval(stats, groups, confidence)
     out = point.join(sizes, groups).join(interval, groups).drop("_all")
     return out.withColumn("excludes_zero", excludes_zero())
 
@@ -184,7 +184,7 @@ def spearman_interval(
     inside = [*groups, "rep"]
     pairs = picks.join(values, [*groups, "pick"]).groupBy(*inside, "x", "y").agg(F.count(F.lit(1)).alias("weight"))
     stats = _rho(_ranked_pairs(pairs, inside), inside).withColumnRenamed("rho", "stat")
-    interval = percentile_interval(stats, groups, confidence, n_resamples)
+    interval = percentile_interval(stats, groups, confidence)
     point = spearman(kept, groups, "x", "y").withColumnRenamed("rho", "estimate")
     return point.join(interval, groups).drop("_all").withColumn("excludes_zero", excludes_zero())
 

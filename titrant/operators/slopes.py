@@ -100,7 +100,7 @@ def matched_draws(
     pool = binned.where("region = 'surface'").join(wanted, [key, "_stratum"])
     each = pool.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
     order = hash_order(F.lit(str(seed)), F.col(key), F.col("rep"), F.col("pos"))
-    placed = hash_index(each, [key, "_stratum", "rep"], order, width=1)
+    placed = hash_index(each, [key, "_stratum", "rep"], order, width=2)
     return placed.where(F.col("slot") < F.col("_wanted")).select(key, "rep", "_stratum", "pos", "slope", area)
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from titrant import constants as K
+from titrant.operators.joins import beside
 
 ENTRY_ID = "^[0-9][A-Za-z0-9]{3}$"
 CHAIN_ID = "^[A-Za-z0-9]{1,4}$"
@@ -139,9 +140,8 @@ def error_rows(parsed: DataFrame, line: str) -> DataFrame:
 def error_report(parsed: DataFrame, line: str, show: int = 40) -> DataFrame:
     """The first `show` problems in line order, each with the total count of problems."""
     errors = error_rows(parsed, line)
-    total = errors.agg(F.count(F.lit(1)).alias("n_problems")).withColumn("_k", F.lit(1))
-    first = errors.orderBy(line, "place").limit(show).withColumn("_k", F.lit(1))
-    return first.join(total, "_k").drop("_k")
+    total = errors.agg(F.count(F.lit(1)).alias("n_problems"))
+    return beside(errors.orderBy(line, "place").limit(show), total)
 
 
 def raise_on_errors(parsed: DataFrame, line: str, show: int = 40) -> DataFrame:

@@ -25,7 +25,7 @@ def largest_first(jobs: DataFrame, size: str, key: str, n: int) -> DataFrame:
         raise ValueError(f"n must not be negative, got {n}")
     order = [F.col(size).desc(), F.col(key)]
     top = jobs.orderBy(*order).limit(n).select(key, F.row_number().over(W.orderBy(*order)).alias("lead_rank"))
-    marked = jobs.join(F.broadcast(top), key, "left")
+    marked = jobs.join(top, key, "left")
     return marked.orderBy(F.coalesce("lead_rank", F.lit(n + 1)), key)
 
 
@@ -44,7 +44,7 @@ def spaced_sample(jobs: DataFrame, complex_key: str, size: str, dose: str, tie:
     places.add(total - 1)
     picked = ranked.where(F.col("position").isin(*sorted(places))).select(complex_key)
     order = W.partitionBy(complex_key).orderBy(F.abs(dose), dose, tie)
-    chosen = jobs.join(F.broadcast(picked), complex_key).withColumn("_r", F.row_number().over(order))
+    chosen = jobs.join(picked, complex_key).withColumn("_r", F.row_number().over(order))
     return chosen.where(F.col("_r") <= each).drop("_r")
 
 

@@ -34,13 +34,3 @@ class AtomParams:
     drop_hydrogens: bool = True
     altlocs: tuple = ("", " ", "A")
 
-
-@dataclass(frozen=True)
-class ResampleParams:
-    n_resamples: int = 10_000
-    confidence: float = 0.95
-    seed: int = 0
-
-
-PAE_CUTOFF = 10.0
-DOSES = (-3.0, -1.5, 0.0, 1.5, 3.0)

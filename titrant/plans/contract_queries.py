@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from titrant.operators import validation as C
+from titrant.operators.joins import measured
 from titrant.plans import views as V
 from titrant.plans.registry import query
 from titrant.plans.view_sql import sql
@@ -165,7 +166,7 @@ def v17(spark, sf):
     SELECT doc_id, length(seq)::BIGINT AS n, length(native_seq)::BIGINT AS native_n FROM seqs JOIN natives USING (source, lang) WHERE length(seq) <> length(native_seq)"""))
 def v20(spark, sf):
     s = V.seqs(spark, sf)
-    return C.length_mismatch(s.join(V.natives(s), ["source", "lang"]), "doc_id", "seq", "native_seq")
+    return C.length_mismatch(s.join(measured(V.natives(s)), ["source", "lang"]), "doc_id", "seq", "native_seq")
 
 
 @query("V21_conflicting_values", """

@@ -6,10 +6,9 @@ from titrant.operators import validation as C
 from titrant.plans import views as V
 from titrant.plans.contract_queries import ORDER
 from titrant.plans.registry import query
-from titrant.plans.sequence_queries import r6
-from titrant.plans.spatial_queries import AREAS_SQL, REGION_SQL, areas, labelled
+from titrant.plans.spatial_queries import REGION_SQL, labelled
 from titrant.plans.view_sql import sql
-from titrant.session import keep, new_folder
+from titrant.session import new_folder
 from titrant.sources import csv_tables, files, json_tables as J, sinks, text_lines as L
 from titrant.streaming import landing
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from titrant.functions.charge import net_charge_ph, net_charge_simple, residue_charge_simple
 from titrant.functions.hydropathy import place_on_diagram
 from titrant.operators import membership as M, readings as RD, resample as B, slopes as S
-from titrant.operators.ordering import average_ranks, medians, quantiles
+from titrant.operators.joins import beside
+from titrant.operators.ordering import average_ranks, quantiles
 from titrant.operators.pairing import paired_change
 from titrant.plans import views as V
 from titrant.session import keep
@@ -77,8 +78,7 @@ def a17(spark, sf):
     interval = B.paired_interval(g, [], "interface", "surface", "complex", n_resamples=N).drop("n_resamples")
     means = g.agg(F.avg("interface").alias("mean_interface"), F.avg("surface").alias("mean_surface"),
                   F.count_if(F.col("interface") < F.col("surface")).alias("n_left_lower"))
-    # Two single-row results side by side.
-    out = interval.withColumn("_k", F.lit(1)).join(means.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    out = beside(interval, means)
     return rounded(out, "estimate", "low", "high", "mean_interface", "mean_surface")
 
 
@@ -157,7 +157,7 @@ def a26(spark, sf):
     both = keep(linked(spark, sf))
     test = B.spearman_permutation(both, [], "x", "y", "complex", n_permutations=N)
     interval = B.spearman_interval(both, [], "x", "y", "complex", n_resamples=N).select("low", "high")
-    out = test.withColumn("_k", F.lit(1)).join(interval.withColumn("_k", F.lit(1)), "_k")
+    out = beside(test, interval)
     enough = F.col("n") >= 10
     return out.select(
         F.when(enough, "reported").otherwise("too few complexes").alias("status"), "n",

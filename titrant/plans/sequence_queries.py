@@ -6,6 +6,7 @@ from titrant import constants as K
 from titrant.functions import bridge, charge as Q, hydropathy as H, text as T
 from titrant.functions.identity import identity, mutations
 from titrant.operators import regions as R
+from titrant.operators.joins import measured
 from titrant.operators.reconcile import candidate_errors, reconcile
 from titrant.operators.sequence_checks import bad_letters
 from titrant.params import ChargeParams
@@ -140,9 +141,6 @@ def f10(spark, sf):
         r6(F.col("distance_from_boundary")).alias("distance_from_boundary"), "predicted_disordered")
 
 
-PAIRS_SQL = """agree AS (SELECT s.doc_id, length(s.seq) AS n, length(o.seq) AS m,
-      (SELECT count(*) FROM (SELECT unnest(string_split(s.seq,'')) AS a, unnest(string_split(o.seq,'')) AS b) WHERE a = b) AS hits
-      FROM seqs s JOIN {other} o ON {on})"""
 IDENTITY_SQL = """WITH letters AS (SELECT doc_id, source, lang, n, pos, aa FROM residues),
     nat AS (SELECT source, lang, native_id, length(native_seq) AS native_n FROM natives),
     rev AS (SELECT a.doc_id, count(*) FILTER (WHERE a.aa = b.aa) AS hits FROM letters a JOIN letters b
@@ -156,7 +154,7 @@ IDENTITY_SQL = """WITH letters AS (SELECT doc_id, source, lang, n, pos, aa FROM
     FROM seqs s JOIN rev USING (doc_id) LEFT JOIN to_nat USING (doc_id)"""))
 def f15(spark, sf):
     s = V.seqs(spark, sf)
-    return s.join(V.natives(s), ["source", "lang"]).select(
+    return s.join(measured(V.natives(s)), ["source", "lang"]).select(
         "doc_id", identity(F.col("seq"), F.reverse("seq")).alias("to_reverse"),
         identity(F.col("seq"), F.col("native_seq")).alias("to_native"))
 
@@ -166,7 +164,7 @@ def f15(spark, sf):
     FROM seqs s JOIN rev USING (doc_id) LEFT JOIN to_nat USING (doc_id)"""))
 def f16(spark, sf):
     s = V.seqs(spark, sf)
-    return s.join(V.natives(s), ["source", "lang"]).select(
+    return s.join(measured(V.natives(s)), ["source", "lang"]).select(
         "doc_id", mutations(F.col("seq"), F.reverse("seq")).alias("from_reverse"),
         mutations(F.col("seq"), F.col("native_seq")).alias("from_native"))
 

@@ -6,6 +6,7 @@ from titrant import constants as K
 from titrant.functions import bridge as BR
 from titrant.functions.charge import residue_charge
 from titrant.operators import regions as R, resample as B, spatial as S, surface as SA
+from titrant.operators.joins import beside
 from titrant.operators.matching import match_chain
 from titrant.operators.ordering import medians, quantiles
 from titrant.plans import views as V
@@ -129,10 +130,10 @@ def f19(spark, sf):
     SELECT count(*) AS n, round(avg(raw),6) AS mean_raw, round(quantile_cont(raw,0.5),6) AS median_raw, round(avg(per),6) AS mean_per_opportunity, round(quantile_cont(per,0.5),6) AS median_per_opportunity FROM r"""))
 def a14(spark, sf):
     g = keep(BR.normalised(S.count_bridges(V.atoms(spark, sf))).withColumn("raw", F.col("n_bridges").cast("double")))
-    means = g.agg(F.count(F.lit(1)).alias("n"), F.avg("raw").alias("mean_raw"), F.avg("per_opportunity").alias("mean_per_opportunity"), F.lit(1).alias("_k"))
-    m = medians(g, [], ["raw", "per_opportunity"]).groupBy(F.lit(1).alias("_k")).pivot("name", ["raw", "per_opportunity"]).agg(F.first("median"))
+    means = g.agg(F.count(F.lit(1)).alias("n"), F.avg("raw").alias("mean_raw"), F.avg("per_opportunity").alias("mean_per_opportunity"))
+    m = medians(g, [], ["raw", "per_opportunity"]).groupBy().pivot("name", ["raw", "per_opportunity"]).agg(F.first("median"))
     m = m.withColumnsRenamed({"raw": "median_raw", "per_opportunity": "median_per_opportunity"})
-    return rounded(means.join(m, "_k").drop("_k"), "mean_raw", "median_raw", "mean_per_opportunity", "median_per_opportunity")
+    return rounded(beside(means, m), "mean_raw", "median_raw", "mean_per_opportunity", "median_per_opportunity")
 
 
 @query("V23_matched_composition", sql("residues", """
@@ -358,9 +359,9 @@ def u02(spark, sf):
     SELECT least(floor(jaccard*20)::BIGINT + 1, 21) AS bin, count(*) AS n, (SELECT round(quantile_cont(jaccard,0.5),6) FROM j) AS median FROM j GROUP BY bin"""))
 def a54(spark, sf):
     j = keep(agreement_table(spark, sf))
-    middle = quantiles(j, [], "jaccard", {"median": 0.5}).select(F.round("median", 6).alias("median"), F.lit(1).alias("_k"))
+    middle = quantiles(j, [], "jaccard", {"median": 0.5}).select(F.round("median", 6).alias("median"))
     bins = j.groupBy(F.width_bucket("jaccard", F.lit(0.0), F.lit(1.0), F.lit(20)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return bins.withColumn("_k", F.lit(1)).join(middle, "_k").drop("_k")
+    return beside(bins, middle)
 
 
 # ---- areas from coordinates -----------------------------------------------------------------

@@ -6,7 +6,7 @@ from titrant.operators import spatial as S, superpose as SP
 from titrant.plans import views as V
 from titrant.plans.registry import query
 from titrant.plans.view_sql import sql
-from titrant.session import keep, new_folder
+from titrant.session import new_folder
 from titrant.sources import files, structures as ST
 
 
@@ -85,7 +85,9 @@ def s18(spark, sf):
 
 
 @query("S17_run_record", sql("polymer", """
-    WITH r AS (SELECT '{"inputs":['||string_agg('{"bytes":'||bytes||',"path":"'||structure||'","sha256":"'||sha256||'"}', ',' ORDER BY structure::VARCHAR)||'],"parameters":{"cutoff":5.0,"probe":1.4},"seeds":{"seed":0}}' AS record FROM file_digest)
+    WITH e AS (SELECT bytes, sha256(structure||'|'||bytes||'|'||sha256) AS h FROM file_digest),
+    r AS (SELECT '{"inputs":{"bytes":'||sum(bytes)::BIGINT||',"digest":"'||concat_ws('-', """ + ", ".join(
+    f"bit_xor(('0x'||substr(h,{at},15))::BIGINT)" for at in (1, 16, 31, 46)) + """)||'","files":'||count(*)||'},"parameters":{"cutoff":5.0,"probe":1.4},"seeds":{"seed":0}}' AS record FROM e)
     SELECT sha256(record) AS run_hash, length(record)::BIGINT AS n_chars FROM r"""))
 def s17(spark, sf):
     inputs = files.digests(spark, write_structures(file_lines(spark, sf), "structures"), folder_name(F.col("path")))

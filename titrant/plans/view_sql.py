@@ -146,7 +146,7 @@ VIEWS = {
         [],
         """raw_test_set AS (SELECT c_custkey AS row_id, CASE WHEN c_custkey % 50 = 0 THEN '1AAA' ELSE '1'||lpad(upper(to_base(c_custkey,36)),3,'0') END AS pdb_id,
           CASE WHEN c_custkey % 20 = 0 THEN ['A','B','C'] WHEN c_custkey % 3 = 0 THEN ['A','D'] ELSE ['B','D'] END AS chains,
-          c_mktsegment||'-'||(c_custkey // 10)::VARCHAR AS cluster, CASE WHEN c_nationkey < 3 THEN 'train' ELSE 'test' END AS split FROM customer)""",
+          c_mktsegment||'-'||(c_custkey // 10)::VARCHAR AS cluster, CASE WHEN c_nationkey < 3 THEN 'train' ELSE 'test' END AS split, c_nationkey AS nation FROM customer)""",
     ),
 }
 

@@ -248,4 +248,5 @@ def raw_test_set(spark, sf_dir) -> DataFrame:
         .otherwise(F.array(F.lit("B"), F.lit("D"))).alias("chains"),
         F.concat_ws("-", F.col("c_mktsegment"), F.floor(ck / 10).cast("string")).alias("cluster"),
         F.when(F.col("c_nationkey") < 3, "train").otherwise("test").alias("split"),
+        F.col("c_nationkey").alias("nation"),
     )

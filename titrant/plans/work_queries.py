@@ -6,7 +6,6 @@ from titrant.operators import work as K
 from titrant.operators.ordering import medians, upper_median
 from titrant.plans import views as V
 from titrant.plans.registry import query
-from titrant.plans.sequence_queries import r6
 from titrant.plans.view_sql import sql
 
 REASON = "CASE WHEN kind='purchase' THEN 'done' WHEN residues < 200 THEN 'too small' WHEN residues > 1000 THEN 'too large' WHEN beta NOT IN (-3, 0, 3) THEN 'dose not wanted' ELSE 'kept' END"
@@ -164,8 +163,7 @@ def u04(spark, sf):
 
 
 @query("J20_job_list", sql("designs raw_test_set", """
-    WITH ts AS (SELECT pdb_id, arg_min(chains, row_id) AS chains FROM raw_test_set GROUP BY pdb_id), defs AS (SELECT pdb_id, 'D' AS chain, repeat('K', 20) AS native_seq FROM raw_test_set WHERE row_id % 5 <> 0 AND row_id % 50 <> 0),
-    known AS (SELECT pdb_id, 'D' AS chain, native_seq FROM defs UNION ALL SELECT pdb_id, 'Z', 'AA' FROM raw_test_set WHERE row_id % 5 = 0 AND row_id % 15 = 0 AND row_id % 50 <> 0),
+    WITH ts AS (SELECT pdb_id, arg_min(chains, row_id) AS chains FROM raw_test_set GROUP BY pdb_id), known AS (SELECT DISTINCT pdb_id, CASE WHEN nation < 8 THEN 'Z' ELSE 'D' END AS chain, repeat('K', 20) AS native_seq FROM raw_test_set WHERE nation >= 4),
     j AS (SELECT d.*, t.chains, list_filter(t.chains, lambda c: c <> d.designed)[1] AS partner, d.pdb_id IN (SELECT pdb_id FROM known) AS is_known FROM designs d LEFT JOIN ts t USING (pdb_id))
     SELECT row_id, j.pdb_id, CASE WHEN chains IS NULL OR NOT is_known THEN 'entry not listed or not defined' WHEN partner IS NULL THEN 'no partner chain' WHEN k.native_seq IS NULL THEN 'no native sequence' END AS error,
       CASE WHEN chains IS NOT NULL AND is_known AND partner IS NOT NULL AND k.native_seq IS NOT NULL THEN length(sequence) + length(k.native_seq) END::BIGINT AS total_residues
@@ -173,10 +171,9 @@ def u04(spark, sf):
 def j20(spark, sf):
     raw = V.raw_test_set(spark, sf)
     listed = raw.groupBy("pdb_id").agg(F.min_by("chains", "row_id").alias("chains"))
-    r = F.col("row_id")
-    some = raw.where(r % 50 != 0)
-    defs = some.where(r % 5 != 0).select("pdb_id", F.lit("D").alias("chain"), F.repeat(F.lit("K"), 20).alias("native_seq")).unionByName(
-        some.where(r % 15 == 0).select("pdb_id", F.lit("Z").alias("chain"), F.lit("AA").alias("native_seq")))
+    # Entries of the first nations have no definition; those of the next ones lack the partner's.
+    chain = F.when(F.col("nation") < 8, "Z").otherwise("D")
+    defs = raw.where("nation >= 4").select("pdb_id", chain.alias("chain"), F.repeat(F.lit("K"), 20).alias("native_seq")).distinct()
     out = K.job_list(V.designs(spark, sf), listed, defs)
     total = F.aggregate(F.map_values("chain_map"), F.lit(0), lambda s, x: s + F.length(x))
     return out.select("row_id", "pdb_id", "error", total.cast("bigint").alias("total_residues"))

@@ -78,13 +78,17 @@ def drift(recorded: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def run_record(inputs: DataFrame, parameters: dict, seeds: dict) -> DataFrame:
-    """Canonical JSON (sorted fields, no spaces) and its digest over inputs, parameters and seeds.
+    """Canonical JSON (sorted fields, no spaces) over inputs, parameters and seeds, and its digest.
 
-    Outputs and time stay out, so equal runs share a hash. The list holds one entry per input file.
+    Outputs and time stay out, so equal runs share a hash. The inputs enter as their number, size
+    and an order-free combination of one digest per file, which adds up map-side: any number of
+    files makes a record of one line.
     """
     record = lambda d: F.struct(*[F.lit(d[k]).alias(k) for k in sorted(d)])
-    files = F.array_sort(F.collect_list(F.struct("path", "bytes", "sha256")))
-    ordered = F.transform(files, lambda f: F.struct(f["bytes"].alias("bytes"), f["path"].alias("path"), f["sha256"].alias("sha256")))
-    body = inputs.agg(ordered.alias("inputs")).select(
-        F.to_json(F.struct("inputs", record(parameters).alias("parameters"), record(seeds).alias("seeds"))).alias("record"))
+    each = F.sha2(F.concat_ws("|", "path", F.col("bytes").cast("string"), "sha256"), 256)
+    words = [F.bit_xor(F.conv(F.substring(each, at, 15), 16, 10).cast("bigint")).cast("string") for at in (1, 16, 31, 46)]
+    merged = inputs.agg(
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.concat_ws("-", *words).alias("digest"), F.count(F.lit(1)).alias("files"))
+    body = merged.select(F.to_json(F.struct(
+        F.struct("bytes", "digest", "files").alias("inputs"), record(parameters).alias("parameters"), record(seeds).alias("seeds"))).alias("record"))
     return body.withColumn("run_hash", F.sha2("record", 256))

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from titrant.operators.joins import beside
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
@@ -26,9 +28,8 @@ def in_order(df: DataFrame, first: Sequence[str], by: Sequence[str]) -> DataFram
 
 def write_summary(sections: dict[str, DataFrame], path: str) -> None:
     """One JSON record: every section a single-row result, nested under its name."""
-    items = list(sections.items())
-    out = None
-    for name, df in items:
-        one = df.select(F.struct("*").alias(name), F.lit(1).alias("_k"))
-        out = one if out is None else out.join(one, "_k")
-    out.drop("_k").write.mode("overwrite").json(path)
+    (first, head), *rest = sections.items()
+    out = head.select(F.struct("*").alias(first))
+    for name, df in rest:
+        out = beside(out, df.select(F.struct("*").alias(name)))
+    out.write.mode("overwrite").json(path)
