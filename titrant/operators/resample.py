@@ -53,6 +53,13 @@ def _values_for(slots: DataFrame, columns: Sequence[str], units: int) -> DataFra
     return F.broadcast(values) if units <= BROADCAST_UNITS else values
 
 
+def _complete(df: DataFrame, columns: Sequence[str], measures: dict[str, str]) -> DataFrame:
+    """The few columns needed, without missing measures. Kept before the filter: pushed below a
+    costly expression, a null test would evaluate it a second time for every row."""
+    narrow = keep(df.select(*columns, *[F.col(c).cast("double").alias(name) for name, c in measures.items()]))
+    return narrow.dropna(subset=list(measures))
+
+
 Statistic = str | Callable[[Column], Column]
 
 
@@ -68,7 +75,7 @@ def replicates(
     statistic: Statistic = "mean",
 ) -> tuple[DataFrame, DataFrame]:
     """(slots, replicate statistics). `statistic` is 'mean', 'median' or any column aggregate."""
-    kept = df.where(F.col(value).isNotNull()).select(*groups, unit, F.col(value).cast("double").alias("v"))
+    kept = _complete(df, [*groups, unit], {"v": value})
     # Slots feed the draws, the lookup and the point estimate: kept so their input runs once.
     slots = keep(with_slots(kept, groups, unit, seed).drop(unit))
     units = slots.count()
@@ -157,9 +164,8 @@ def _ranked_pairs(pairs: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def spearman(df: DataFrame, groups: Sequence[str], x: str, y: str) -> DataFrame:
     """(groups, n, rho): average ranks for ties, null under three points or without variation."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
-        *groups, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
-    ).agg(F.count(F.lit(1)).alias("weight"))
+    kept = _complete(df, [*groups], {"x": x, "y": y})
+    pairs = kept.groupBy(*groups, "x", "y").agg(F.count(F.lit(1)).alias("weight"))
     return _rho(_ranked_pairs(pairs, groups), groups)
 
 
@@ -175,8 +181,7 @@ def spearman_interval(
 ) -> DataFrame:
     """Pairs move together; replicates without variation are dropped and the rest counted."""
     df, groups = _grouped(df, groups)
-    kept = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *groups, unit, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    kept = _complete(df, [*groups, unit], {"x": x, "y": y})
     slots = keep(with_slots(kept, groups, unit, seed).drop(unit))
     units = slots.count()
     picks = draws(slots, groups, n_resamples, seed)
@@ -193,8 +198,7 @@ def spearman_permutation(df, groups, x: str, y: str, unit: str, *, n_permutation
     """(groups, n, rho, p): two-sided, add-one. Ranks never change under a shuffle of one side, so
     they are computed once and only the pairing is redone."""
     df, groups = _grouped(df, groups)
-    kept = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *groups, unit, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    kept = _complete(df, [*groups, unit], {"x": x, "y": y})
     pairs = kept.groupBy(*groups, "x", "y").agg(F.count(F.lit(1)).alias("weight"))
     ranked = _ranked_pairs(pairs, groups)
     observed = _rho(ranked, groups)

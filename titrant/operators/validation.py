@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from titrant import constants as K
+from titrant import constants as K, session
 from titrant.operators.joins import beside
 
 ENTRY_ID = "^[0-9][A-Za-z0-9]{3}$"
@@ -127,10 +127,10 @@ def parse_table(raw: DataFrame, spec: TableSpec, keep: Sequence[str] = ()) -> Da
     """Parsed columns plus `errors`, an array of (place, column_name, problem) for the row."""
     cells = [(i, c.name, c.parse(F.col(c.name))) for i, c in enumerate(spec.columns)]
     found = [
-        F.when(cell.problem.isNotNull(), F.struct(F.lit(i).alias("place"), F.lit(name).alias("column_name"), cell.problem.alias("problem")))
-        for i, name, cell in cells
+        F.struct(F.lit(i).alias("place"), F.lit(name).alias("column_name"), cell.problem.alias("problem")) for i, name, cell in cells
     ]
-    return raw.select(*keep, *[cell.value.alias(name) for _, name, cell in cells], F.array_compact(F.array(*found)).alias("errors"))
+    errors = F.filter(F.array(*found), lambda e: e["problem"].isNotNull())
+    return raw.select(*keep, *[cell.value.alias(name) for _, name, cell in cells], errors.alias("errors"))
 
 
 def error_rows(parsed: DataFrame, line: str) -> DataFrame:
@@ -139,7 +139,7 @@ def error_rows(parsed: DataFrame, line: str) -> DataFrame:
 
 def error_report(parsed: DataFrame, line: str, show: int = 40) -> DataFrame:
     """The first `show` problems in line order, each with the total count of problems."""
-    errors = error_rows(parsed, line)
+    errors = session.keep(error_rows(parsed, line))
     total = errors.agg(F.count(F.lit(1)).alias("n_problems"))
     return beside(errors.orderBy(line, "place").limit(show), total)
 
