@@ -52,7 +52,7 @@ def chain_list(raw: Column) -> Cell:
 
 def finite_float(raw: Column) -> Cell:
     t = F.lower(cleaned(raw))
-    value = F.try_cast(t, "double") if hasattr(F, "try_cast") else t.try_cast("double")
+    value = t.try_cast("double")
     special = t.rlike("^[+-]?(inf|infinity|nan)$")
     return _cell(raw, F.when(t.rlike(NUMBER), value), (special | (F.abs(value) == float("inf")), "not finite"), (~t.rlike(NUMBER), "not a number"))
 
