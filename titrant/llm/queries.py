@@ -1,6 +1,6 @@
 """One query per operator, each over its whole table."""
 
-from titrant.llm import bottomk, decontamination, lines, mixing, sql
+from titrant.llm import bottomk, decontamination, lines, mixing, projections, sql, toxicity, url_trust
 from titrant.llm.shared import table
 
 QUERIES: dict = {}
@@ -35,3 +35,18 @@ def op9(spark, sf_dir):
 @query("op10_fuzzy_lines")
 def op10(spark, sf_dir):
     return lines.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op3_recurrent_toxicity")
+def op3(spark, sf_dir):
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op1_link_trust_urls")
+def op1(spark, sf_dir):
+    return url_trust.judged(table(spark, sf_dir, "pages"))
+
+
+@query("op7_sorted_projections", sql.VECTORS)
+def op7(spark, sf_dir):
+    return projections.linked_vectors(table(spark, sf_dir, "embeddings"))

@@ -55,3 +55,25 @@ SELECT d.doc_id, CAST(coalesce(len(sh), 0) AS BIGINT) AS n_shingles, coalesce(m,
   coalesce(m, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN s USING (doc_id) LEFT JOIN c ON c.x = d.doc_id
 """
+
+VECTORS = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b
+  ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reach(x, y) AS (
+  SELECT a, a FROM links
+  UNION
+  SELECT r.x, l.b FROM reach r JOIN links l ON r.y = l.a),
+c AS (SELECT x, min(y) AS m FROM reach GROUP BY x),
+n AS (SELECT a, count(*) AS k FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, coalesce(m, vec_id) AS component_id,
+  coalesce(m, vec_id) = vec_id AS kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.x = vec_id
+"""
