@@ -1,6 +1,6 @@
 """One query per operator, each over its whole table."""
 
-from titrant.llm import bottomk, decontamination, lines, mixing, projections, sql, toxicity, url_trust
+from titrant.llm import bottomk, decontamination, lines, mixing, phrases, projections, sql, toxicity, url_trust
 from titrant.llm.shared import table
 
 QUERIES: dict = {}
@@ -50,3 +50,8 @@ def op1(spark, sf_dir):
 @query("op7_sorted_projections", sql.VECTORS)
 def op7(spark, sf_dir):
     return projections.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_phrase_automata", sql.PHRASES)
+def op2(spark, sf_dir):
+    return phrases.digest(table(spark, sf_dir, "documents"))

@@ -77,3 +77,20 @@ SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, coalesce(m, vec_id) AS
   coalesce(m, vec_id) = vec_id AS kept
 FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.x = vec_id
 """
+
+PHRASES = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+w AS (
+  SELECT rid, doc_id, s, sha256(array_to_string(ws[s:s + 49], ' ')) AS win
+  FROM d, unnest(range(1, len(ws) - 48)) AS t(s)),
+f AS (SELECT win, min(doc_id) AS m FROM w GROUP BY win),
+gone AS (
+  SELECT rid, list(DISTINCT p) AS ps
+  FROM w JOIN f USING (win), unnest(range(s, s + 50)) AS t(p) WHERE m < doc_id GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(
+    [ws[k] for k in range(1, len(ws) + 1) if ps IS NULL OR NOT list_contains(ps, k)], ' '), '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (rid)
+"""
