@@ -1,6 +1,6 @@
 """One query per operator, each over its whole table."""
 
-from titrant.llm import bottomk, decontamination, lines, mixing, phrases, projections, sql, toxicity, url_trust
+from titrant.llm import bottomk, decontamination, lines, mixing, personal, phrases, projections, sql, toxicity, url_trust
 from titrant.llm.shared import table
 
 QUERIES: dict = {}
@@ -55,3 +55,8 @@ def op7(spark, sf_dir):
 @query("op2_phrase_automata", sql.PHRASES)
 def op2(spark, sf_dir):
     return phrases.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op6_disclosing_terms")
+def op6(spark, sf_dir):
+    return personal.digest(table(spark, sf_dir, "documents"))
