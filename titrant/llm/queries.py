@@ -1,6 +1,6 @@
 """One query per operator, each over its whole table."""
 
-from titrant.llm import bottomk, decontamination, lines, mixing, personal, phrases, projections, sql, toxicity, url_trust
+from titrant.llm import bottomk, decontamination, lines, mixing, personal, phrases, projections, sql, suffixes, toxicity, url_trust
 from titrant.llm.shared import table
 
 QUERIES: dict = {}
@@ -60,3 +60,8 @@ def op2(spark, sf_dir):
 @query("op6_disclosing_terms")
 def op6(spark, sf_dir):
     return personal.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op5_sorted_suffixes", sql.SUFFIXES)
+def op5(spark, sf_dir):
+    return suffixes.digest(table(spark, sf_dir, "documents"))

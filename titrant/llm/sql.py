@@ -94,3 +94,27 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS
     [ws[k] for k in range(1, len(ws) + 1) if ps IS NULL OR NOT list_contains(ps, k)], ' '), '')) AS kept_sha256
 FROM d LEFT JOIN gone USING (rid)
 """
+
+SUFFIXES = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (
+  SELECT rid, doc_id, s, md5_number(substr(h, 2 * s + 1, 100)) AS win
+  FROM d, unnest(range(0, length(h) // 2 - 49)) AS t(s)),
+f AS (SELECT win, min(doc_id) AS m FROM w GROUP BY win HAVING count(*) > 1),
+c AS (SELECT rid, s FROM w JOIN f USING (win) WHERE m < doc_id),
+e AS (
+  SELECT rid, s, CASE WHEN s <= lag(s) OVER (PARTITION BY rid ORDER BY s) + 50 THEN 0 ELSE 1 END AS fresh FROM c),
+g AS (SELECT rid, s, sum(fresh) OVER (PARTITION BY rid ORDER BY s) AS grp FROM e),
+spans AS (SELECT rid, grp, min(s) AS a, max(s) + 50 AS b FROM g GROUP BY rid, grp),
+edges AS (
+  SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS prev FROM spans),
+kept AS (
+  SELECT rid, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS k, max(b) AS last,
+    CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans
+  FROM edges JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(k || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
