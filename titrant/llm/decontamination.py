@@ -15,9 +15,9 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
-    """Words of a text for candidate search. lower() also folds letters beyond A-Z, so words that
-    are equal by the contract stay equal here; what passes is compared exactly afterwards."""
-    return F.filter(F.split(F.lower(text), _GAPS), lambda w: w != "")
+    """The words of a text with case kept; an empty one can stand first and last. Splitting is all
+    that is done to a whole text, so that words stream through compiled code."""
+    return F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def exact_words(text: Column) -> Column:
@@ -25,11 +25,6 @@ def exact_words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _UPPER, _LOWER), _GAPS), lambda w: w != "")
 
 
-def raw_words(text: Column) -> Column:
-    """Words of a text with case kept, one for each of `words_of`."""
-    return F.filter(F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")
-
-
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """(item, window): 10 consecutive words of each item, or all words of a shorter one."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), exact_words(F.col("text")).alias("w"))
@@ -64,7 +59,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         windows.select(F.explode("window").alias("word")).select(F.lower("word").alias("word")).distinct(), F.octet_length("word")
     )
     vocabulary = written(vocabulary, "leak-words")
-    words = texts.select(F.explode(words_of(F.col("text"))).alias("word"))
+    # lower() folds letters beyond A-Z too: words that are equal by the contract stay equal, and what
+    # passes is compared exactly afterwards.
+    words = texts.select(F.explode(words_of(F.col("text"))).alias("w")).select(F.lower("w").alias("word"))
     counted = None
     for block in range(blocks):
         part = words.join(F.broadcast(vocabulary.where(F.col("block") == block).select("word")), "word").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
@@ -85,14 +82,17 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keyed, blocks = _blocks(ranked, F.octet_length(F.concat_ws(" ", "window")) + 40)
     keyed = written(keyed, "leak-rare")
     found = None
-    source = texts.select("id", "th", words_of(F.col("text")).alias("ws"), raw_words(F.col("text")).alias("raw"))
-    placed = source.select("id", "th", "raw", F.posexplode("ws").alias("place", "word"))
+    source = texts.select("id", "th", words_of(F.col("text")).alias("ws"))
+    placed = source.select("id", "th", "ws", F.posexplode("ws").alias("place", "w")).withColumn("word", F.lower("w"))
     for block in range(blocks):
         near = placed.join(F.broadcast(keyed.where(F.col("block") == block).drop("block")), "word")
         at = F.col("place") - F.col("offset")
-        fits = near.where(at >= 0).where(at + F.size("window") <= F.size("raw"))
-        there = F.transform(F.slice("raw", F.greatest(at + 1, F.lit(1)), F.size("window")), lambda w: F.translate(w, _UPPER, _LOWER))
-        part = fits.where(there == F.col("window")).select("id", "th", "item", at.alias("at"), F.size("window").alias("span"))
+        there = F.array_join(F.slice("ws", F.greatest(at + 1, F.lit(1)), F.size("window")), " ")
+        part = (
+            near.where(at >= 0).where(at + F.size("window") <= F.size("ws"))
+            .where(F.translate(there, _UPPER, _LOWER) == F.array_join("window", " "))
+            .select("id", "th", "item", at.alias("at"), F.size("window").alias("span"))
+        )
         found = part if found is None else found.unionByName(part)
     return found
 
