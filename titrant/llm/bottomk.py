@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,11 +12,13 @@ from titrant.llm.components import components
 from titrant.llm.shared import NO_ID, back_to_id, by_batch, keyed_texts, removed, written
 
 #: Retained values per document, and the least estimated similarity that is verified. At a true
-#: similarity of 0.75 the estimate has a standard deviation of 0.054, so one pair in half a million
-#: falls below; a lower estimate or a wider sketch moves that as far as wanted.
-SKETCH = 64
-ESTIMATE = 0.5
+#: similarity of 0.75 the estimate has a standard deviation of 0.044, so one pair in 15,000 falls
+#: below; a lower estimate or a wider sketch moves that as far as wanted.
+SKETCH = 96
+ESTIMATE = 0.58
 SHINGLE = 5
+#: Representatives of one side of a comparison inside one task.
+CHUNK = 256
 
 
 def _shingles(texts: pa.Array, size: int):
@@ -87,6 +90,43 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, num: int,
     )
 
 
+def _crossing(num: int, den: int):
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        """Verified links between different components in one pair of chunks, no more than join them."""
+        links = []
+        for _, group in rows.groupby("a"):
+            left, right = group[~group["right"]].reset_index(), group[group["right"]].reset_index()
+            if not len(left) or not len(right):
+                continue
+            values, at = np.unique(np.concatenate([*left["sketch"], *right["sketch"]]), return_inverse=True)
+            sizes = np.concatenate((left["sketch"].map(len), right["sketch"].map(len)))
+            held = np.zeros((len(sizes), len(values)), np.float32)
+            held[np.repeat(np.arange(len(sizes)), sizes), at] = 1
+            n = len(left)
+            overlap = held[:n] @ held[n:].T
+            least = np.ceil(ESTIMATE * np.maximum(sizes[:n, None], sizes[None, n:]) - 1e-9)
+            a, b = np.nonzero((overlap >= least) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None]))
+            up: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while (y := up.get(x, x)) != x:
+                    x = y
+                return x
+
+            for i, j in zip(a, b, strict=True):
+                p, q = top(left["component"][i]), top(right["component"][j])
+                x, y = left["shingles"][i], right["shingles"][j]
+                if p == q or den * min(len(x), len(y)) < num * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if den * both >= num * (len(x) + len(y) - both):
+                    up[p] = q
+                    links.append((left["id"][i], right["id"][j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return compare
+
+
 def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     """(id, th, n_shingles, component) for every row: who is linked, directly or by way of others.
 
@@ -96,10 +136,13 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
        0.5 or more shares at least half of either sketch, so of each sketch only the rarest half
        (and one more) is listed; a representative with fewer shared values than the other half has
        no partner. Phrases that very many texts share are thereby never listed for ordinary texts.
-    3. Every member of a list is compared with the list's first and last member. Lists whose
-       members then belong to one component are settled; in the others, members of different
-       components of fitting sizes are compared, so no link between components is lost.
-    4. Sketches estimate, full sets verify, components join.
+    3. Every member of a list is compared with the list's first and last member: sketches estimate,
+       full sets verify, components join. Members of all lists with one first member are a group,
+       and a group within one component is settled.
+    4. In the other groups, the members outside the first one's component are compared with members
+       of other components, in chunks that hold the sets themselves and return no more links than
+       join components, so no link between components is lost and no pairs are moved. A group of
+       m members with k outside takes k * m comparisons of sketches.
 
     Rows without words have size 0, no links, and themselves as component. Rows that repeat a doc_id
     act as one node; rows without one are linked like others and their component is null where it
@@ -137,25 +180,33 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     )
     first = written(_verified(stars, sketches, sets, num, den), "near-links")
     found = components(first)
-    placed = listed.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    # In a list of three, first and last member have met everyone.
-    mixed = (
-        placed.groupBy("value")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"))
-        .where("low < high and m > 3")
-    )
-    open_lists = written(placed.join(mixed.select("value"), "value", "left_semi"), "near-open")
-    x = open_lists.select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = open_lists.select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    crossing = (
-        x.join(y, "value")
-        .where("a < b and ca <> cb")
-        .where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
-        .select("a", "b").distinct()
+    groups = led.select("a", "id").distinct()
+    groups = groups.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    main = groups.where("a = id").select("a", F.col("component").alias("main"))
+    sizes = groups.join(main, "a").groupBy("a", "main").agg(
+        F.count(F.lit(1)).alias("m"), F.count_if(F.col("component") != F.col("main")).alias("k")
+    ).where("m > 2 and k > 0")
+    placed = written(groups.join(sizes, "a"), "near-open")
+    wide = F.ceil(F.col("m") / CHUNK), F.ceil(F.col("k") / CHUNK)
+    bundles = max(1, placed.count() // CHUNK)
+    small = F.col("m") <= CHUNK
+    placed = placed.withColumn("g", F.when(small, F.pmod(F.xxhash64("a"), F.lit(bundles))).otherwise(F.col("a"))).withColumn("one", small)
+    # Left chunks hold members outside the main component, right chunks all; each pair of chunks
+    # meets once.
+    both = [
+        part.withColumn(own, F.pmod(F.xxhash64("id"), n)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), others - 1)))
+        .select("one", "g", "i", "j", F.lit(right).alias("right"), "a", "id", "component")
+        for part, own, n, other, others, right in (
+            (placed.where("component <> main"), "i", wide[1], "j", wide[0], False), (placed, "j", wide[0], "i", wide[1], True),
+        )
+    ]
+    both = both[0].unionByName(both[1])
+    second = written(
+        both.join(sketches, "id").join(sets, "id").groupBy("one", "g", "i", "j").applyInPandas(_crossing(num, den), "a bigint, b bigint"),
+        "near-links",
     )
-    second = written(_verified(crossing, sketches, sets, num, den), "near-links")
     joined = components(first.unionByName(second))
-    removed(listed, sets, open_lists)
+    removed(listed, sets)
     of_rep = reps.select("d1", "d2", "n", F.col("id").alias("node")).join(joined, "node", "left")
     return (
         rows.select("id", "th", "n", "d1", "d2")
