@@ -61,7 +61,7 @@ def strict_int(minimum: int | None = None) -> Callable[[Column], Cell]:
     def parse(raw: Column) -> Cell:
         t = cleaned(raw)
         value = F.when(t.rlike(INTEGER), t).try_cast("bigint")
-        checks = [(~t.rlike(INTEGER), "not an integer")]
+        checks = [(~t.rlike(INTEGER), "not an integer"), (t.rlike(INTEGER) & value.isNull(), "out of range")]
         if minimum is not None:
             checks.append((value < minimum, f"below {minimum}"))
         return _cell(raw, value, *checks)
