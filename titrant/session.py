@@ -19,7 +19,7 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8, name: str = "tit
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("OFF")
+    spark.sparkContext.setLogLevel("WARN")
     return spark
 
 
@@ -29,6 +29,9 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder, and executors cannot share a local one")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
