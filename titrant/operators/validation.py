@@ -124,11 +124,14 @@ def describe(spark, *specs: TableSpec) -> DataFrame:
 
 
 def parse_table(raw: DataFrame, spec: TableSpec, keep: Sequence[str] = ()) -> DataFrame:
-    """Parsed columns plus `errors`, an array of (place, column_name, problem) for the row."""
+    """Parsed columns plus `errors`, an array of (place, column_name, problem) for the row. What a
+    strict scan says about a whole row (`row_problem`) comes first, as column "(row)"."""
     cells = [(i, c.name, c.parse(F.col(c.name))) for i, c in enumerate(spec.columns)]
     found = [
         F.struct(F.lit(i).alias("place"), F.lit(name).alias("column_name"), cell.problem.alias("problem")) for i, name, cell in cells
     ]
+    if "row_problem" in raw.columns:
+        found.insert(0, F.struct(F.lit(-1).alias("place"), F.lit("(row)").alias("column_name"), F.col("row_problem").alias("problem")))
     errors = F.filter(F.array(*found), lambda e: e["problem"].isNotNull())
     return raw.select(*keep, *[cell.value.alias(name) for _, name, cell in cells], errors.alias("errors"))
 
