@@ -110,6 +110,10 @@ def test_duplicate_reference_is_refused(grid):
     assert P.duplicated_references(twice, KEYS, "beta").count() == 1
     with pytest.raises(Exception, match="more than one reference"):
         P.paired_deltas(twice, KEYS, ["ptm"]).collect()
+    both = P.paired_deltas(twice.withColumn("second", F.col("ptm")), KEYS, ["ptm", "second"])
+    for some in (["delta_second"], ["beta"]):
+        with pytest.raises(Exception, match="more than one reference"):
+            both.select(*some).collect()
 
 
 def test_balanced_panel_and_report(grid):

@@ -19,15 +19,18 @@ def duplicated_references(df: DataFrame, keys: Sequence[str], dose: str, referen
     return at.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_reference")).where("n_reference > 1")
 
 
-def _checked_reference(df, keys, metrics, dose, reference, policy):
+def _with_reference(df, keys, metrics, dose, reference, policy):
+    """The rows with their lineage's reference. The refusal is a filter above the join, which no
+    selection of columns can prune away."""
     at = df.where(F.col(dose) == reference)
     one = at.groupBy(*keys).agg(
         *[F.min(m).alias(f"_ref_{m}") for m in metrics], F.count(F.lit(1)).alias("_n_reference")
     )
+    joined = df.join(one, list(keys), "left")
     if policy == "raise":
-        bad = F.raise_error(F.lit("more than one reference row in a lineage"))
-        one = one.withColumn(f"_ref_{metrics[0]}", F.when(F.col("_n_reference") > 1, bad).otherwise(F.col(f"_ref_{metrics[0]}")))
-    return one.drop("_n_reference")
+        bad = F.raise_error(F.lit("more than one reference row in a lineage")).cast("boolean")
+        joined = joined.where(F.when(F.col("_n_reference") > 1, bad).otherwise(F.lit(True)))
+    return joined.drop("_n_reference")
 
 
 def paired_deltas(
@@ -40,8 +43,7 @@ def paired_deltas(
     split by the adaptive skew join instead of landing in one task as a window would make it.
     """
     require_columns(df, [*keys, dose, *metrics], "paired_deltas")
-    one = _checked_reference(df, keys, metrics, dose, reference, on_duplicate)
-    joined = df.join(one, list(keys), "left")
+    joined = _with_reference(df, keys, metrics, dose, reference, on_duplicate)
     seen = F.coalesce(*[F.col(f"_ref_{m}") for m in metrics]).isNotNull()
     return joined.select(
         *df.columns,

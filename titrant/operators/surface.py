@@ -122,5 +122,5 @@ def define_regions(
 def require_native(regions: DataFrame) -> DataFrame:
     """Labels made on anything but a native structure move with the dose: refused at run time."""
     ok = F.col("label_source") == "native"
-    refuse = F.raise_error(F.lit("charge partitions need labels with source 'native'"))
-    return regions.withColumn("label_source", F.when(ok, F.col("label_source")).otherwise(refuse))
+    refuse = F.raise_error(F.lit("charge partitions need labels with source 'native'")).cast("boolean")
+    return regions.where(F.when(ok, F.lit(True)).otherwise(refuse))  # a filter stays whatever is selected

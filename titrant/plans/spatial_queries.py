@@ -315,7 +315,7 @@ def p09(spark, sf):
 
 @query("V24_native_labels_only", sql("aa_dim", f"WITH {REGION_SQL} SELECT structure, region, count(*) AS n FROM labelled GROUP BY ALL"))
 def v24(spark, sf):
-    checked = SA.require_native(labelled(spark, sf)).where(F.col("label_source").isNotNull())
+    checked = SA.require_native(labelled(spark, sf))
     return checked.groupBy("structure", "region").agg(F.count(F.lit(1)).alias("n"))
 
 
