@@ -109,6 +109,9 @@ def test_only_native_labels_pass(spark):
     assert SA.require_native(df.where("label_source = 'native'")).count() == 1
     with pytest.raises(Exception, match="native"):
         SA.require_native(df).collect()
+    regions = df.selectExpr("label_source", "1 AS structure", "'core' AS region")
+    with pytest.raises(Exception, match="native"):
+        SA.require_native(regions).groupBy("structure", "region").count().collect()
 
 
 def patch(first, second, size=12):
@@ -134,7 +137,9 @@ def test_interface_score_does_not_depend_on_chain_length(spark):
 def test_wrong_shape_is_refused(spark):
     nested = spark.createDataFrame([("j", [[1.0, 2.0], [2.0, 1.0]])], "job string, pae array<array<double>>")
     long = matrix.matrix_rows(nested, "job")
-    assert matrix.ipsae(long, 2, 1, 10.0).count() == 0
+    (refused,) = matrix.ipsae(long, 2, 1, 10.0).collect()
+    assert refused.problem == "matrix does not fit the chain lengths" and refused.d0res is None
+    assert matrix.ipsae(long, 1, 1, 10.0).first().problem is None
     assert matrix.block_means(long, 2, 1).first().interface_pae is None
     assert matrix.block_means(long, 1, 1).first().interface_pae == 2.0
 

@@ -25,12 +25,14 @@ def ipsae(long: DataFrame, first: int, second: int, cutoff: float, key: str = "j
     """Three length normalisations, both directions, and the larger of the two.
 
     Everything is an aggregate over (job, direction, aligned residue); a residue without a
-    confident partner scores 0 and stays in the maximum.
+    confident partner scores 0 and stays in the maximum. A matrix that does not fit the lengths
+    keeps its row, with null scores and a `problem`.
     """
     total = first + second
     side = F.when(F.col("i") < first, 0).otherwise(1)
     other = F.when(F.col("j") < first, 0).otherwise(1)
-    good = long.join(well_shaped(long, first, second, key).where("ok"), key, "left_semi")
+    shape = well_shaped(long, first, second, key)
+    good = long.join(shape.where("ok"), key, "left_semi")
     cross = good.where(side != other).withColumn("direction", F.when(side == 0, "0to1").otherwise("1to0"))
     near = F.col("pae") < cutoff
 
@@ -53,7 +55,8 @@ def ipsae(long: DataFrame, first: int, second: int, cutoff: float, key: str = "j
         *[F.max(F.when(F.col("direction") == d, F.col(n))).alias(f"{n}_{d}") for n in (*names, "n_interface") for d in ("0to1", "1to0")])
     for n in names:
         wide = wide.withColumn(n, F.greatest(f"{n}_0to1", f"{n}_1to0"))
-    return wide
+    problem = F.when(F.col("ok"), F.lit(None).cast("string")).otherwise("matrix does not fit the chain lengths")
+    return shape.withColumn("problem", problem).drop("ok").join(wide, key, "left")
 
 
 def block_means(long: DataFrame, first: int, second: int, key: str = "job") -> DataFrame:

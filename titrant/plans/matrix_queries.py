@@ -36,8 +36,8 @@ SHAPE = f"""shape AS (SELECT job, count(*)={(A + B) ** 2} AND max(i)={A + B - 1}
     res AS (SELECT c.job, c.d, c.i, avg(1/(1+pow(pae/{ARRAY.format(n='k')},2))) AS d0res, avg(1/(1+pow(pae/({SCALAR.format(n='n')}),2))) AS d0dom, avg(1/(1+pow(pae/({SCALAR.format(n=str(A + B))}),2))) AS d0chn
       FROM crossed c JOIN placed p ON c.job=p.job AND c.d=p.d AND c.i=p.i JOIN size s ON c.job=s.job AND c.d=s.d WHERE pae < 10 GROUP BY ALL),
     top AS (SELECT s.job, s.d, s.n, coalesce(max(d0res),0) AS d0res, coalesce(max(d0dom),0) AS d0dom, coalesce(max(d0chn),0) AS d0chn FROM size s LEFT JOIN res r ON s.job=r.job AND s.d=r.d GROUP BY ALL)
-    SELECT job, """ + ", ".join(f"round(max(CASE WHEN d='{d}' THEN {m} END),6) AS {m}_{d}" for m in ("d0res", "d0dom", "d0chn") for d in ("0to1", "1to0")) + ", " + ", ".join(
-    f"max(CASE WHEN d='{d}' THEN n END) AS n_interface_{d}" for d in ("0to1", "1to0")) + ", round(max(d0res),6) AS d0res, round(max(d0dom),6) AS d0dom, round(max(d0chn),6) AS d0chn FROM top GROUP BY job"))
+    SELECT job, CASE WHEN NOT ok THEN 'matrix does not fit the chain lengths' END AS problem, """ + ", ".join(f"round(max(CASE WHEN d='{d}' THEN {m} END),6) AS {m}_{d}" for m in ("d0res", "d0dom", "d0chn") for d in ("0to1", "1to0")) + ", " + ", ".join(
+    f"max(CASE WHEN d='{d}' THEN n END) AS n_interface_{d}" for d in ("0to1", "1to0")) + ", round(max(d0res),6) AS d0res, round(max(d0dom),6) AS d0dom, round(max(d0chn),6) AS d0chn FROM shape LEFT JOIN top USING (job) GROUP BY job, ok"))
 def a48(spark, sf):
     out = M.ipsae(V.pae(spark, sf), A, B, 10.0)
     for c in out.columns:
