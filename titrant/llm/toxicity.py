@@ -16,8 +16,10 @@ from titrant.llm.shared import back_to_id, row_id
 WINDOW, STRIDE = 32, 16
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN, ATTEND, NGRAM = 1 << 14, 1 << 14, 16, 8, 8, 5
 #: Training reads at most this many labelled rows of each class, with texts up to this length.
-TRAIN_TOXIC, TRAIN_OTHER, TRAIN_CHARS = 800, 1_600, 200_000
-EPOCHS, OTHER_WINDOWS = 10, 6
+TRAIN_TOXIC, TRAIN_OTHER, TRAIN_CHARS = 800, 1_600, 40_000
+#: Steps of training, the same at any number of rows; texts of a step; windows of a text that a step
+#: learns from besides the highest one.
+STEPS, BATCH, OTHER_WINDOWS = 420, 32, 6
 
 _GAPS = np.ones(256, bool)
 _GAPS[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = False
@@ -68,7 +70,18 @@ def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _sigmoid(x):
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
+
+
+def _summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sums of `rows` by their place `at` in an array of n rows."""
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        placed = at[order]
+        starts = np.flatnonzero(np.concatenate(([True], placed[1:] != placed[:-1])))
+        out[placed[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    return out
 
 
 @dataclass
@@ -160,13 +173,16 @@ class Network:
                 out[f"rec_{d}"] += h0.T @ dgh
                 dh = dh * (1 - m * (1 - z)) + dgh @ u.T
             flat = dgx.reshape(-1, 3 * HIDDEN)
-            per_word = np.zeros((len(x), 3 * HIDDEN), np.float32)
-            np.add.at(per_word, ids.reshape(-1), flat)
+            per_word = _summed(flat, ids.reshape(-1), len(x))
             out[f"bias_{d}"], out[f"in_{d}"] = flat.sum(axis=0), x.T @ per_word
             dx += per_word @ p[f"in_{d}"].T
-        np.add.at(out["word"], t.rows, dx[:, :WIDTH])
+        touched = np.flatnonzero(dx.any(axis=1))
+        out["word"] = _summed(dx[touched, :WIDTH], t.rows[touched], WORD_ROWS)
         counts = np.diff(t.gram_first)
-        np.add.at(out["char"], t.grams, np.repeat(dx[:, WIDTH:] / np.maximum(counts, 1)[:, None], counts, axis=0))
+        each = dx[touched, WIDTH:] / np.maximum(counts[touched], 1)[:, None]
+        owner = np.repeat(np.arange(len(touched)), counts[touched])
+        grams = t.grams[np.repeat(dx.any(axis=1), counts)]
+        out["char"] = _summed(each[owner], grams, CHAR_ROWS)
         return out
 
     def step(self, grads: dict[str, np.ndarray], rate: float) -> None:
@@ -195,9 +211,9 @@ def batch_ids(t: Tokens, start: np.ndarray, length: np.ndarray) -> tuple[np.ndar
     return t.words[np.where(mask, start[None] + steps, start[None])], mask.astype(np.float32)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network | None:
+def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 7) -> Network | None:
     """Learns from whole texts: of a toxic text the window that scores highest is toxic (in the
-    first round others too, lightly); of a clean one the highest and some others are clean.
+    first steps others too, lightly); of a clean one the highest and some others are clean.
 
     A quarter of the rows is set aside to place the threshold between the classes. None where only
     one class is given.
@@ -212,9 +228,12 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     if len(set(labels[learn].tolist())) < 2 or len(texts) < 40:
         learn, aside = order, list(order)
     share = max(labels[learn].mean(), 1e-3)
-    for epoch in range(epochs):
-        for low in range(0, len(learn), 32):
-            part = r.permutation(learn)[:32] if epoch == 0 else learn[low : low + 32]
+    done, first_round = 0, max(1, steps // 10)
+    while done < steps:
+        for low in range(0, len(learn), BATCH):
+            if (done := done + 1) > steps:
+                break
+            part, early = learn[low : low + BATCH], done <= first_round
             data, offsets = kernels.text_bytes(pa.array([texts[i] for i in part], pa.large_string()))
             t = tokens(data, offsets)
             start, length, text = windows(t.first)
@@ -232,14 +251,14 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
                 toxic = labels[part[k]] == 1
                 some = r.permutation(own)[:OTHER_WINDOWS]
                 scale = 1.0 / share if toxic else 1.0 / (1 - share)
-                weight[some] += scale / len(some) * (0.3 if epoch == 0 else 0.0) if toxic else scale / len(some)
+                weight[some] += scale / len(some) * (0.3 if early else 0.0) if toxic else scale / len(some)
                 weight[own[np.argmax(logits[own])]] += scale
             used = np.flatnonzero(weight)
             ids, mask = batch_ids(t, start[used], length[used])
             keep: dict = {}
             logits = net.forward(projected, ids, mask, keep)
             g = ((_sigmoid(logits) - labels[part][text[used]]) * weight[used] / len(part)).astype(np.float32)
-            net.step(net.gradients(t, x, ids, mask, keep, g), 0.01 * (1 - 0.9 * epoch / epochs))
+            net.step(net.gradients(t, x, ids, mask, keep, g), 0.01 * (1 - 0.9 * done / steps))
         r.shuffle(learn)
     data, offsets = kernels.text_bytes(pa.array([texts[i] for i in aside], pa.large_string()))
     scores = np.concatenate([net.text_logits(data[offsets[a]:offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in kernels.slabs(offsets)])
