@@ -16,10 +16,10 @@ from titrant.llm.shared import back_to_id, row_id
 WINDOW, STRIDE = 32, 16
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN, ATTEND, NGRAM = 1 << 14, 1 << 14, 16, 8, 8, 5
 #: Training reads at most this many labelled rows of each class, with texts up to this length.
-TRAIN_TOXIC, TRAIN_OTHER, TRAIN_CHARS = 800, 1_600, 40_000
+TRAIN_TOXIC, TRAIN_OTHER, TRAIN_CHARS = 800, 1_600, 20_000
 #: Steps of training, the same at any number of rows; texts of a step; windows of a text that a step
 #: learns from besides the highest one.
-STEPS, BATCH, OTHER_WINDOWS = 420, 32, 6
+STEPS, BATCH, OTHER_WINDOWS = 320, 32, 6
 
 _GAPS = np.ones(256, bool)
 _GAPS[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = False
