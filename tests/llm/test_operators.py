@@ -166,6 +166,23 @@ def test_lines(spark):
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
 
 
+def test_lines_from_three_quarters_on(spark):
+    r, pairs = random.Random(8), []
+    shingles = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    while len(pairs) < 60:
+        a = "".join(r.choice("abcdefghijklmnop") for _ in range(90))
+        b = list(a)
+        for i in r.sample(range(90), r.randint(2, 4)):
+            b[i] = "z"
+        p, q = shingles(a), shingles("".join(b))
+        if 0.75 <= len(p & q) / len(p | q) < 0.85:
+            pairs.append((a, "".join(b)))
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(x for pair in pairs for x in pair)], "doc_id bigint, text string")
+    assert {r.id for r in lines.repeated_lines(docs).collect()} == set(range(1, 120, 2))
+    met = lines.band_keys([a for a, _ in pairs]) == lines.band_keys([b for _, b in pairs])
+    assert met.any(axis=1).all()
+
+
 def test_mix(docs):
     rows = mixing.mix(docs).collect()
     assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in mixing.mix(docs.repartition(3)).collect())
