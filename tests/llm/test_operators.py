@@ -183,6 +183,22 @@ def test_lines_from_three_quarters_on(spark):
     assert met.any(axis=1).all()
 
 
+def test_vectors_of_a_dense_label(spark):
+    r, d = np.random.default_rng(4), 128
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    some = unit(unit(r.standard_normal(d)) + 0.204 * unit(r.standard_normal((500, d))))
+    x = np.concatenate([some, unit(some[:150] + 0.19 * unit(r.standard_normal((150, d))))])
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert near[np.arange(150), np.arange(500, 650)].all()
+    docs = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in projections.linked_vectors(docs).collect()}
+    component = np.arange(len(x))
+    while (least := np.where(near, component[None], component[:, None]).min(axis=1)).tolist() != component.tolist():
+        component = np.minimum(component, least)
+    assert got == {i: (int(near[i].sum()), int(component[i])) for i in range(len(x))}
+
+
 def test_mix(docs):
     rows = mixing.mix(docs).collect()
     assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in mixing.mix(docs.repartition(3)).collect())

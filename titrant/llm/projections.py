@@ -18,11 +18,15 @@ NEIGHBOURS, BLOCK, BITS = 64, 1024, 63
 MISSED = 0.001
 
 
+def leading_bits(rows: int) -> int:
+    """Bits of a key that leave half a window of `rows` evenly spread vectors, or less."""
+    return max(1, math.ceil(math.log2(max(2, rows) / NEIGHBOURS)) + 1)
+
+
 def passes_for(rows: int, cosine: float) -> int:
-    """How many orders are needed: a pair is neighbours in one where its keys agree in as many
-    leading bits as narrow `rows` down to the window, each bit with 1 - angle / pi."""
-    bits = max(1.0, math.log2(max(2, rows) / NEIGHBOURS))
-    together = (1 - math.acos(cosine) / math.pi) ** bits
+    """How many orders are needed for a pair to agree in the leading bits of one: in each bit it
+    does so with 1 - angle / pi, however the other vectors lie."""
+    together = (1 - math.acos(cosine) / math.pi) ** leading_bits(rows)
     return max(4, math.ceil(math.log(MISSED) / math.log(1 - min(together, 0.99))))
 
 
@@ -64,6 +68,70 @@ def _neighbours(cosine: float):
     return compare
 
 
+def _crossing(cosine: float):
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links between different components in one pair of chunks, no more than join them."""
+        links = []
+        for _, part in rows.groupby(["pass", "label", "d", "prefix"]):
+            left, right = part[~part["right"]], part[part["right"]]
+            if not len(left) or not len(right):
+                continue
+            own, other = left["component"].to_numpy(), right["component"].to_numpy()
+            i, j = np.nonzero((_unit(left["v"]) @ _unit(right["v"]).T >= cosine) & (own[:, None] != other[None]))
+            # One link for two components is enough.
+            _, some = np.unique(np.stack((own[i], other[j])), axis=1, return_index=True)
+            up: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while (y := up.get(x, x)) != x:
+                    x = y
+                return x
+
+            for k in some:
+                p, q = top(own[i[k]]), top(other[j[k]])
+                if p != q:
+                    up[p] = q
+                    links.append((left["node"].iloc[i[k]], right["node"].iloc[j[k]]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return compare
+
+
+def _links_of_runs(keyed: DataFrame, found: DataFrame, bits: int, cosine: float) -> DataFrame:
+    """(a, b) that join components within runs of one prefix that are longer than the window.
+
+    Members outside a run's largest component are compared with all its members, in chunks: of m
+    members with k outside, k * m comparisons inside tasks, which return joining links only.
+    """
+    run = ["pass", "label", "d", "prefix"]
+    placed = (
+        keyed.withColumn("prefix", F.shiftright("key", BITS - bits)).drop("key")
+        .join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    )
+    open_runs = written(
+        placed.groupBy(*run, "component").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*run).agg(F.sum("n").alias("m"), F.max(F.struct("n", "component")).alias("most"))
+        .where((F.col("m") > NEIGHBOURS + 1) & (F.col("m") > F.col("most.n")))
+        .select(*run, "m", (F.col("m") - F.col("most.n")).alias("k"), F.col("most.component").alias("main")),
+        "vector-runs",
+    )
+    half = BLOCK // 2
+    bundles = max(1, (open_runs.agg(F.sum(F.when(F.col("m") <= half, F.col("m")))).first()[0] or 0) // half)
+    small = F.col("m") <= half
+    member = placed.join(open_runs, run).withColumn("g", F.when(small, F.pmod(F.xxhash64(*run), F.lit(bundles))).otherwise(F.xxhash64(*run)))
+    wide = F.ceil(F.col("m") / half), F.ceil(F.col("k") / half)
+    sides = [
+        part.withColumn(own, F.pmod(F.xxhash64("node", "v"), n)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), others - 1)))
+        .select(small.alias("small"), "g", "i", "j", F.lit(right).alias("right"), *run, "node", "component", "v")
+        for part, own, n, other, others, right in (
+            (member.where("component <> main"), "i", wide[1], "j", wide[0], False), (member, "j", wide[0], "i", wide[1], True),
+        )
+    ]
+    return written(
+        sides[0].unionByName(sides[1]).groupBy("small", "g", "i", "j").applyInPandas(_crossing(cosine), "a bigint, b bigint"), "vector-pairs"
+    )
+
+
 def _counted(cosine: float):
     def count(group: pd.DataFrame) -> pd.DataFrame:
         """Links of the rows on the left side of one pair of chunks to those on the right side."""
@@ -83,10 +151,12 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
 
     Equal vectors of one label are one class with a count. Classes are ordered by (label, key) in
     several passes, each with keys of its own; every class is compared with the 64 before it, blocks
-    overlapping by as many, so that no block border hides a neighbour. How many passes follow from
-    the largest label. Verified pairs of all passes join components, and inside each component every
-    pair is compared once more in chunks that only count, so that links are whole however many
-    neighbours a vector has.
+    overlapping by as many, so that no block border hides a neighbour. Where more classes than that
+    share the leading bits of a key and verified pairs leave several components among them, they are
+    compared whole. So a pair is missed only if its leading bits differ in every pass, which the
+    number of passes keeps to MISSED at the threshold, however dense a label is. Verified pairs
+    of all passes join components, and inside each component every pair is compared once more in
+    chunks that only count, so that links are whole however many neighbours a vector has.
 
     A row links with nothing if its label is null or its vector null, empty, zero, or not finite
     throughout; vectors of different lengths never link. A missing vec_id sorts last, repeated ones
@@ -102,7 +172,7 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
         "vector-classes",
     )
     largest = classes.groupBy("label", "d").count().agg(F.max("count")).first()[0] or 0
-    passes = passes_for(largest, cosine)
+    passes, bits = passes_for(largest, cosine), leading_bits(largest)
     keyed = classes.select("node", "label", "d", "v", F.posexplode(_keyed(passes)("v")).alias("pass", "key"))
     placed = ordered_index(keyed, [F.col(c) for c in ("pass", "label", "d", "key", "node")], name="place")
     block = F.floor(F.col("place") / BLOCK)
@@ -113,7 +183,7 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
         .groupBy("block").applyInPandas(_neighbours(cosine), "a bigint, b bigint").where("a <> b").distinct(),
         "vector-pairs",
     )
-    found = components(pairs)
+    found = components(pairs.unionByName(_links_of_runs(keyed, components(pairs), bits, cosine)))
     members = written(found.join(classes, "node"), "vector-members")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     total = sizes.agg(F.sum(F.when(F.col("size") <= BLOCK, F.col("size")))).first()[0] or 0
