@@ -1,6 +1,10 @@
 """One query per operator, each over its whole table."""
 
-from titrant.llm import bottomk, decontamination, lines, mixing, personal, phrases, projections, sql, suffixes, toxicity, url_trust
+import public_tokenizers
+
+from titrant.llm import (
+    bottomk, collocations, decontamination, importance, lines, mixing, personal, phrases, prefix_bpe, projections, sql, suffixes, toxicity, url_trust,
+)
 from titrant.llm.shared import table
 
 QUERIES: dict = {}
@@ -65,3 +69,18 @@ def op6(spark, sf_dir):
 @query("op5_sorted_suffixes", sql.SUFFIXES)
 def op5(spark, sf_dir):
     return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op11_importance_resampling", sql.DRAWN)
+def op11(spark, sf_dir):
+    return importance.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_prefix_bpe")
+def op12(spark, sf_dir):
+    return prefix_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op13_rollup_collocations", sql.COLLOCATIONS)
+def op13(spark, sf_dir):
+    return collocations.mined(table(spark, sf_dir, "documents"))

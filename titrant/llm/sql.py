@@ -118,3 +118,83 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0)
   sha256(unhex(coalesce(k || substr(h, 2 * last + 1), h))) AS kept_sha256
 FROM d LEFT JOIN kept USING (rid)
 """
+
+DRAWN = r"""
+WITH RECURSIVE crc_steps(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) AS t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS tab FROM crc_steps WHERE k = 8),
+both_sides AS (
+  SELECT 's' AS side, row_number() OVER () AS rid, doc_id, text FROM documents
+  UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark),
+w AS (
+  SELECT side, rid, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM both_sides),
+f AS (
+  SELECT side, rid, feature, count(*) AS n FROM (
+    SELECT side, rid, unnest(ws) AS feature FROM w
+    UNION ALL
+    SELECT side, rid, ws[i] || ' ' || ws[i + 1] FROM w, unnest(range(1, len(ws))) AS t(i))
+  GROUP BY ALL),
+named AS (
+  SELECT feature, CAST(xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, CAST(length(hex(encode(feature))) // 2 AS BIGINT)),
+      lambda p: CAST(('0x' || substr(hex(encode(feature)), 2 * p + 1, 2)) AS BIGINT))),
+    lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1])), 4294967295) % 10000 AS INTEGER) AS bucket
+  FROM (SELECT DISTINCT feature FROM f), crc_table),
+fb AS (SELECT side, rid, bucket, sum(n) AS n FROM f JOIN named USING (feature) GROUP BY ALL),
+buckets AS (
+  SELECT b AS bucket, coalesce(sum(n) FILTER (side = 's'), 0) AS s, coalesce(sum(n) FILTER (side = 't'), 0) AS t
+  FROM range(10000) AS x(b) LEFT JOIN fb ON fb.bucket = b GROUP BY b),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(sum(s) OVER () + 10000 AS DOUBLE)
+    / (CAST(s + 1 AS DOUBLE) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM buckets),
+d AS (
+  SELECT rid, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight
+  FROM fb JOIN g USING (bucket) WHERE side = 's' GROUP BY rid),
+scores AS (
+  SELECT rid, doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+      (CAST(('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) + 0.5::DOUBLE)
+      / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM w LEFT JOIN d USING (rid) WHERE side = 's'),
+ranks AS (
+  SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n
+  FROM scores WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (25 * n) // 100 THEN place END AS rank
+FROM scores LEFT JOIN ranks USING (rid)
+"""
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+counted AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM w, unnest([1, 2, 3, 4, 5]) AS t(k), unnest(range(1, len(ws) - k + 2)) AS u(i)
+  GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS p FROM counted WHERE k > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.a, j, x.f AS l, y.f AS r,
+    CAST((1000 * CAST(c.a AS HUGEINT) * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM c JOIN n USING (lang), unnest(range(1, c.k)) AS t(j)
+  JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(c.p[1:j], ' ')
+  JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(c.p[j + 1:], ' ')),
+best AS (SELECT lang, phrase, a, min(struct_pack(score := score, j := j, l := l, r := r)) AS b FROM cuts GROUP BY ALL),
+inside AS (
+  SELECT lang, array_to_string(p[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM c, unnest(range(2, k)) AS t(m), unnest(range(1, k - m + 2)) AS u(i) GROUP BY ALL),
+kept AS (
+  SELECT lang, phrase, a, b.l AS l, b.r AS r, b.score AS score,
+    row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, encode(phrase)) AS rank
+  FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang) WHERE rank <= 2000
+"""
