@@ -13,6 +13,7 @@ def split(request, monkeypatch):
     """Run every case both ways: as a small table, and cut into ranges as a large one would be."""
     if request.param == "many ranges":
         monkeypatch.setattr(O, "SMALL", 0)
+        monkeypatch.setattr(O, "LARGEST", 20)
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +34,22 @@ def test_quantiles_match_numpy(spark, skewed, split):
         assert got.loc[g, ["low", "mid", "high"]].to_numpy(float) == pytest.approx(want)
 
 
+def test_selection_narrows_to_the_wanted_places(spark, monkeypatch):
+    """One large group beside a null one: a few rows are left to the window, and the answer is exact."""
+    rng = np.random.default_rng(2)
+    large, small = rng.normal(size=5000).round(3), rng.normal(size=7).round(3)
+    df = spark.createDataFrame([("big", float(v)) for v in large] + [(None, float(v)) for v in small] + [("none", None)], "g string, v double").repartition(3)
+    monkeypatch.setattr(O, "LARGEST", 300)
+    left = O.selected(df, ["g"], "v", lambda total: [F.floor(total / 2), F.floor(total / 10)])
+    assert left.where("g = 'big'").count() < 600
+    got = {r.g: (r.a, r.b) for r in O.quantiles(df, ["g"], "v", {"a": 0.5, "b": 0.901}).collect()}
+    for g, block in (("big", large), (None, small)):
+        assert got[g] == pytest.approx(np.quantile(block, [0.5, 0.901]))
+    assert set(got) == {"big", None}
+    both = O.quantiles(df, [], "v", {"m": 0.5}).first().m
+    assert both == pytest.approx(np.median(np.concatenate([large, small])))
+
+
 def test_average_ranks_match_pandas(spark, skewed, split):
     got = {(r.g, r.value): r["rank"] for r in O.average_ranks(spark.createDataFrame(skewed), ["g"], "v").collect()}
     want = skewed.assign(rank=skewed.groupby("g").v.rank())

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from titrant.operators import work as K
 from titrant.params import AtomParams
+from titrant.operators import spatial as S
 from titrant.sources import files, json_tables as J, sinks, structures as ST
 from titrant.streaming import landing
 
@@ -122,6 +123,37 @@ def test_landing_counts_each_key_once_and_resumes(spark, tmp_path):
     assert landed.count() == 2
 
 
+def test_element_of_blank_columns(spark, tmp_path):
+    """Atom names as files hold them, with columns 77-78 blank or cut off: hydrogens do not pass."""
+    names = {" HA ": "H", "HG11": "H", "1HB ": "H", " CA ": "C", "CA  ": "CA", "ZN  ": "ZN", " OXT": "O", "HO5'": "H", " D1 ": "D"}
+    for i, tail in enumerate(("          " + "  ", "")):
+        rows = [f"ATOM  {k + 1:5d} {name} ALA A{k + 1:4d}       1.000   2.000   3.000  1.00  0.00{tail}" for k, name in enumerate(names)]
+        (tmp_path / f"{i}.pdb").write_text("\n".join(rows) + "\n")
+        atoms = ST.read_atoms(spark, str(tmp_path / f"{i}.pdb"))
+        assert [r.element for r in atoms.orderBy("serial").collect()] == list(names.values())
+        assert {r.atom for r in S.heavy(atoms).collect()} == {n.strip() for n, e in names.items() if e != "H"}
+
+
+def test_every_landed_record_has_an_account(spark, tmp_path):
+    """Records in are records landed, repeated or unreadable, also when a batch runs once more."""
+    folder, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    folder.mkdir()
+    lines = [['{"key": "a", "score": 2.0}', '{"key": "a", "score": 1.0}', '{"key": "b", "score": 1.0}', '{"broken'], ['{"score": 3.0}', '{"key": "b", "score": 9.0}', '{"key": "c", "score": 1.0}']]
+    for step, records in enumerate(lines):
+        (folder / f"{step}.json").write_text("\n".join(records))
+        landing.collect_landed(spark, str(folder), out, mark)
+    want = (7, 3, 2, 2)
+    assert tuple(landing.account(spark, out).first()) == want
+    assert {(r.key, r.score) for r in landing.landed(spark, out).collect()} == {("a", 1.0), ("b", 1.0), ("c", 1.0)}
+    bad = landing.unreadable(spark, out).collect()
+    assert len(bad) == 2 and {r.file.rsplit("/", 1)[1] for r in bad} == {"0.json", "1.json"} and all(r.record for r in bad)
+    # The last batch was written, and its end was not: it is done again.
+    (tmp_path / "mark" / "commits" / "1").unlink()
+    (tmp_path / "mark" / "commits" / ".1.crc").unlink(missing_ok=True)
+    landing.collect_landed(spark, str(folder), out, mark)
+    assert tuple(landing.account(spark, out).first()) == want and landing.landed(spark, out).count() == 3
+
+
 def test_doses_overwrite_only_themselves(spark, tmp_path):
     path = str(tmp_path / "d")
     sinks.write_doses(spark.createDataFrame([(0.0, 1), (1.5, 1)], "beta double, v int"), path)

@@ -7,13 +7,15 @@ a group spreads over many tasks; only one total per range is added up in order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from titrant.session import keep, shared_root
 
 RANGES = 64
+# A group of this many distinct values is left to one window.
+LARGEST = 250_000
 # Up to this many distinct values in all, one window per group is cheaper than cutting into ranges.
 SMALL = 1_000_000
 
@@ -88,6 +90,49 @@ def average_ranks(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame
     )
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """An inner join in which a null key meets a null key, as groups do."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(named, on).drop(*[f"_r_{k}" for k in keys])
+
+
+def selected(df: DataFrame, groups: Sequence[str], value: str, places: Callable[[Column], list[Column]]) -> DataFrame:
+    """(groups, value, weight, before, total, greatest): the part of each group's values in which its
+    wanted places lie, given from the group's total weight; the places of the rest are known.
+
+    While the largest group left is too large for one window, a histogram of its values says how much
+    weight lies in each range and so which ranges hold a wanted place; all other ranges go, and the
+    weight before them is kept as one number. Each round keeps about a thirtieth of what there was.
+    """
+    counts = value_counts(df, groups, value)
+    if not groups:
+        counts, groups = counts.withColumn("_all", F.lit(0)), ["_all"]
+    counts = keep(counts)
+    totals = counts.groupBy(*groups).agg(F.sum("weight").alias("total"), F.max("value").alias("greatest"))
+    now = _joined(counts, totals, groups).withColumn("_base", F.lit(0).cast("bigint"))
+    while (now.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0) > LARGEST:
+        points = now.agg(F.percentile_approx(F.col("value").cast("double"), [i / RANGES for i in range(1, RANGES)], 2000)).first()[0]
+        ranged = now.withColumn("_range", range_of(F.col("value").cast("double"), sorted(set(points))))
+        sums = ranged.groupBy(*groups, "_base", "_range").agg(F.sum("weight").alias("_w"), F.max("total").alias("_total"))
+        # One row per range of a part, and a group has no more parts than wanted places.
+        in_order = W.partitionBy(*groups, "_base").orderBy("_range")
+        low = F.col("_base") + F.sum("_w").over(in_order) - F.col("_w")
+        placed = sums.withColumn("_low", low)
+        hit = F.lit(False)
+        for place in places(F.col("_total")):
+            hit = hit | ((F.col("_low") <= place) & (place < F.col("_low") + F.col("_w")))
+        wanted = placed.where(hit).select(*groups, "_base", "_range", "_low")
+        fewer = keep(_joined(ranged, wanted, [*groups, "_base", "_range"]).drop("_base", "_range").withColumnRenamed("_low", "_base"))
+        if fewer.count() == now.count():
+            break
+        now = fewer
+    inside = W.partitionBy(*groups, "_base").orderBy("value")
+    return now.withColumn("before", F.col("_base") + F.sum("weight").over(inside) - F.col("weight")).drop("_base")
+
+
 def _at(position: Column) -> Column:
     """The value standing at a zero-based sorted position; one row per group satisfies it."""
     hit = (F.col("before") <= position) & (position < F.col("before") + F.col("weight"))
@@ -98,14 +143,16 @@ def quantiles(
     df: DataFrame, groups: Sequence[str], value: str, wanted: dict[str, float]
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per entry of `wanted`."""
-    ranked = positions(df, groups, value)
+    place = lambda total, q: (total - 1) * F.lit(float(q))
+    both = lambda total: [f(place(total, q)) for q in wanted.values() for f in (F.floor, F.ceil)]
+    ranked = selected(df, groups, value, both)
     columns = []
     for name, q in wanted.items():
-        place = (F.col("total") - 1) * F.lit(float(q))
+        at = place(F.col("total"), q)
         columns += [
-            _at(F.floor(place)).alias(f"_lo_{name}"),
-            _at(F.ceil(place)).alias(f"_hi_{name}"),
-            F.max(place - F.floor(place)).alias(f"_part_{name}"),
+            _at(F.floor(at)).alias(f"_lo_{name}"),
+            _at(F.ceil(at)).alias(f"_hi_{name}"),
+            F.max(at - F.floor(at)).alias(f"_part_{name}"),
         ]
     got = ranked.groupBy(*groups).agg(*columns) if groups else ranked.agg(*columns)
     return got.select(
@@ -138,9 +185,9 @@ def medians(df: DataFrame, groups: Sequence[str], values: Sequence[str]) -> Data
 
 def upper_median(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """(groups, upper_median, max): the element at place n div 2, never an average of two."""
-    ranked = positions(df, groups, value)
-    place = F.floor(F.col("total") / 2)
-    columns = [_at(place).alias("upper_median"), F.max(F.col("value").cast("double")).alias("max")]
+    place = lambda total: F.floor(total / 2)
+    ranked = selected(df, groups, value, lambda total: [place(total)])
+    columns = [_at(place(F.col("total"))).alias("upper_median"), F.max(F.col("greatest").cast("double")).alias("max")]
     return ranked.groupBy(*groups).agg(*columns) if groups else ranked.agg(*columns)
 
 

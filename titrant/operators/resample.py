@@ -1,20 +1,30 @@
 """Bootstrap and permutation inference over units, reproducible on any partitioning.
 
 A draw is a hash of (seed, group, replicate, slot), so it depends on no generator state and no
-partition layout. Draws are produced where the units are; sums combine map-side per replicate.
+partition layout. Where the units of all groups together are few enough to travel (counted, not
+assumed), each task draws a block of replicates of one group over an array of its values, and only
+one number per replicate leaves it. Beyond that, draws are rows that are joined by slot; both ways
+give the same numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from titrant.operators.ordering import hash_index, hash_order, quantiles
 from titrant.session import keep
 
-# A unit row is a few dozen bytes; this many stay well under the broadcast limit.
+# A unit row is a few dozen bytes; this many stay well under the broadcast limit, and one task can
+# hold their values.
 BROADCAST_UNITS = 1_000_000
+# Draws of one block, and the most blocks that a group's values are sent to.
+BLOCK_DRAWS, BLOCKS = 20_000_000, 64
+#: Constants of the draw hash: a prime below 2**31, two multipliers, and the offset of replicates.
+PRIME, TIMES_1, TIMES_2, REPLICATE = 2_147_483_647, 1_103_515_245, 1_812_433_253, 1_000_003
 
 
 def _tag(seed: int, groups: Sequence[str]) -> list[Column]:
@@ -38,14 +48,63 @@ def with_slots(df: DataFrame, groups: Sequence[str], unit: str, seed: int) -> Da
     return hash_index(df, groups, key)
 
 
+def mixed(x):
+    """A hash of integers from 0 to 2**32 to integers below 2**31, as a column or on an array.
+
+    Multiplication modulo a prime and xor with a shifted copy, twice: 64-bit integers hold every
+    step, so any engine gives the same value.
+    """
+    if not isinstance(x, Column):
+        x = x * TIMES_1 % PRIME
+        x = x ^ (x >> 15)
+        x = x * TIMES_2 % PRIME
+        return x ^ (x >> 13)
+    x = x.cast("bigint") * F.lit(TIMES_1).cast("bigint") % F.lit(PRIME).cast("bigint")
+    x = x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(TIMES_2).cast("bigint") % F.lit(PRIME).cast("bigint")
+    return x.bitwiseXOR(F.shiftright(x, 13))
+
+
+def group_key(groups: Sequence[str], seed: int) -> Column:
+    """A number below 2**28 for the seed and the group."""
+    return F.conv(F.substring(hash_order(*_tag(seed, groups)), 1, 7), 16, 10).cast("bigint")
+
+
+def _draw_columns(groups: Sequence[str], seed: int) -> Column:
+    """The draw hash of columns `rep` and `slot`."""
+    return mixed(mixed(F.col("slot") + group_key(groups, seed)) + mixed(F.col("rep") + REPLICATE))
+
+
 def draws(slots: DataFrame, groups: Sequence[str], n_resamples: int, seed: int) -> DataFrame:
     """(groups, rep, pick): n picks with replacement per replicate."""
     each = spread(slots.select(*groups, "slot", "n"), *groups, "slot").withColumn(
         "rep", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1)))
     )
-    hashed = hash_order(*_tag(seed, groups), F.col("rep"), F.col("slot"))
-    number = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("bigint")
-    return each.select(*groups, "rep", F.pmod(number, F.col("n")).alias("pick"))
+    return each.select(*groups, "rep", F.pmod(_draw_columns(groups, seed), F.col("n")).alias("pick"))
+
+
+def in_blocks(
+    slots: DataFrame, groups: Sequence[str], columns: Sequence[str], n_resamples: int, seed: int, units: int,
+    kernel: Callable[[np.ndarray, list[np.ndarray]], np.ndarray | list],
+) -> DataFrame:
+    """(groups, rep, stat): `kernel(hashes, values)` for each replicate, where hashes holds one
+    number per slot and values the given columns by slot."""
+    n_blocks = int(np.clip(-(-units * n_resamples // BLOCK_DRAWS), 8, min(BLOCKS, n_resamples)))
+    each = slots.select(*groups, "slot", *columns, group_key(groups, seed).alias("_key")).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    )
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("slot")
+        base = mixed(rows["slot"].to_numpy() + int(rows["_key"].iloc[0]))
+        values = [rows[c].to_numpy() for c in columns]
+        reps = np.arange(int(rows["_block"].iloc[0]), n_resamples, n_blocks)
+        stats = [kernel(mixed(base + h), values) for h in mixed(reps + REPLICATE)]
+        out = pd.DataFrame({g: rows[g].iloc[0] for g in groups}, index=range(len(reps)))
+        return out.assign(rep=reps, stat=np.array(stats, float))
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slots.select(*groups).schema)
+    found = each.groupBy(*groups, "_block").applyInPandas(run, f"{shape}, rep int, stat double")
+    return found.withColumn("stat", F.nanvl("stat", F.lit(None).cast("double")))
 
 
 def _values_for(slots: DataFrame, columns: Sequence[str], units: int) -> DataFrame:
@@ -63,6 +122,12 @@ def _complete(df: DataFrame, columns: Sequence[str], measures: dict[str, str]) -
 Statistic = str | Callable[[Column], Column]
 
 
+_KERNELS = {
+    "mean": lambda hashes, values: values[0][hashes % len(hashes)].mean(),
+    "median": lambda hashes, values: np.median(values[0][hashes % len(hashes)]),
+}
+
+
 def _aggregate(df: DataFrame, groups: Sequence[str], statistic: Statistic) -> DataFrame:
     if statistic == "median":
         return quantiles(df, groups, "v", {"stat": 0.5})
@@ -79,6 +144,8 @@ def replicates(
     # Slots feed the draws, the lookup and the point estimate: kept so their input runs once.
     slots = keep(with_slots(kept, groups, unit, seed).drop(unit))
     units = slots.count()
+    if units <= BROADCAST_UNITS and statistic in _KERNELS:
+        return slots, in_blocks(slots, groups, ["v"], n_resamples, seed, units, _KERNELS[statistic])
     picks = draws(slots, groups, n_resamples, seed)
     values = _values_for(slots.withColumnRenamed("slot", "pick"), [*groups, "pick", "v"], units)
     joined = picks.join(values, [*groups, "pick"])
@@ -176,6 +243,30 @@ def _rho(ranked: DataFrame, groups: Sequence[str]) -> DataFrame:
     return sums.select(*groups, "n", F.when(F.col("n") >= 3, F.col("rho")).alias("rho"))
 
 
+def _kernel_rho(rx: np.ndarray, ry: np.ndarray) -> float:
+    x, y = rx - rx.mean(), ry - ry.mean()
+    spread_ = np.sqrt((x * x).mean()) * np.sqrt((y * y).mean())
+    return (x * y).mean() / spread_ if spread_ > 0 else np.nan
+
+
+def _drawn_rho(hashes: np.ndarray, values: list[np.ndarray]) -> float:
+    """Rank correlation of the picked pairs. Values are numbered by order, so the ranks of a draw
+    come from counting them, without sorting."""
+    picks, n, ranks = hashes % len(hashes), len(hashes), []
+    if n < 3:
+        return np.nan
+    for codes in values:
+        drawn = codes[picks]
+        held = np.bincount(drawn)
+        ranks.append((np.cumsum(held) - held + (held + 1) / 2)[drawn])
+    return _kernel_rho(*ranks)
+
+
+def _shuffled_rho(hashes: np.ndarray, values: list[np.ndarray]) -> float:
+    """Correlation of the ranks of x with those of y in the order of their hashes, then of slots."""
+    return _kernel_rho(values[0], values[1][np.argsort(hashes, kind="stable")])
+
+
 def spearman_interval(
     df, groups, x: str, y: str, unit: str, *, n_resamples=10_000, confidence=0.95, seed=0
 ) -> DataFrame:
@@ -184,11 +275,16 @@ def spearman_interval(
     kept = _complete(df, [*groups, unit], {"x": x, "y": y})
     slots = keep(with_slots(kept, groups, unit, seed).drop(unit))
     units = slots.count()
-    picks = draws(slots, groups, n_resamples, seed)
-    values = _values_for(slots.withColumnRenamed("slot", "pick"), [*groups, "pick", "x", "y"], units)
-    inside = [*groups, "rep"]
-    pairs = picks.join(values, [*groups, "pick"]).groupBy(*inside, "x", "y").agg(F.count(F.lit(1)).alias("weight"))
-    stats = _rho(_ranked_pairs(pairs, inside), inside).withColumnRenamed("rho", "stat")
+    if units <= BROADCAST_UNITS:
+        # Within a bounded number of units one window may number the values of a group.
+        codes = [(F.dense_rank().over(W.partitionBy(*groups).orderBy(c)) - 1).cast("bigint").alias(c) for c in ("x", "y")]
+        stats = in_blocks(slots.select(*groups, "slot", *codes), groups, ["x", "y"], n_resamples, seed, units, _drawn_rho)
+    else:
+        picks = draws(slots, groups, n_resamples, seed)
+        values = slots.withColumnRenamed("slot", "pick").select(*groups, "pick", "x", "y")
+        inside = [*groups, "rep"]
+        pairs = picks.join(values, [*groups, "pick"]).groupBy(*inside, "x", "y").agg(F.count(F.lit(1)).alias("weight"))
+        stats = _rho(_ranked_pairs(pairs, inside), inside).withColumnRenamed("rho", "stat")
     interval = percentile_interval(stats, groups, confidence)
     point = spearman(kept, groups, "x", "y").withColumnRenamed("rho", "estimate")
     return point.join(interval, groups).drop("_all").withColumn("excludes_zero", excludes_zero())
@@ -205,16 +301,18 @@ def spearman_permutation(df, groups, x: str, y: str, unit: str, *, n_permutation
     with_ranks = kept.join(ranked.select(*groups, "x", "y", "rank_x", "rank_y"), [*groups, "x", "y"])
     slots = keep(with_slots(with_ranks, groups, unit, seed))
     units = slots.count()
-    inside = [*groups, "rep"]
-    each = spread(slots.select(*groups, "slot", "rank_y"), *groups, "slot").withColumn(
-        "rep", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
-    key = hash_order(*_tag(seed, groups), F.col("rep"), F.col("_from"))
-    shuffled = hash_index(
-        each.withColumnRenamed("slot", "_from"), inside, key, small=units <= BROADCAST_UNITS
-    ).select(*inside, "slot", "rank_y")
-    fixed = _values_for(slots, [*groups, "slot", "rank_x"], units)
-    paired = shuffled.join(fixed, [*groups, "slot"])
-    stats = paired.groupBy(*inside).agg(_correlation("rank_x", "rank_y").alias("stat"))
+    if units <= BROADCAST_UNITS:
+        stats = in_blocks(slots, groups, ["rank_x", "rank_y"], n_permutations, seed, units, _shuffled_rho)
+    else:
+        inside = [*groups, "rep"]
+        each = spread(slots.select(*groups, "slot", "rank_y"), *groups, "slot").withColumn(
+            "rep", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
+        # The hash, then the slot, as texts whose order is that of the numbers.
+        hexed = lambda c: F.lower(F.lpad(F.hex(c), 8, "0"))
+        key = F.concat(hexed(_draw_columns(groups, seed)), F.lower(F.lpad(F.hex("slot"), 16, "0")))
+        shuffled = hash_index(each.withColumn("_order", key).drop("slot"), inside, F.col("_order")).select(*inside, "slot", "rank_y")
+        paired = shuffled.join(slots.select(*groups, "slot", "rank_x"), [*groups, "slot"])
+        stats = paired.groupBy(*inside).agg(_correlation("rank_x", "rank_y").alias("stat"))
     extreme = F.abs("stat") >= F.abs("rho") - 1e-12
     return stats.join(observed, groups).groupBy(*groups).agg(
         F.max("n").alias("n"), F.max("rho").alias("rho"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from titrant.operators.ordering import hash_index, hash_order
 from titrant.operators.regions import REGIONS
@@ -93,23 +93,31 @@ def matched_draws(
     positions: DataFrame, key: str, area: str, *, width: float, n_draws: int, seed: int
 ) -> DataFrame:
     """Per replicate, as many surface positions as there are interface ones in each area stratum,
-    without replacement, in hash order. (key, rep, pos, slope, area); a stratum short of surface
-    positions gives all it has, and the shortfall shows in the sample size."""
+    without replacement, in hash order, each beside the target it stands for (both in order of their
+    stratum). (key, rep, pos, slope, area, wanted_area); a stratum short of surface positions gives
+    all it has, and the shortfall shows in the sample size."""
     binned = positions.withColumn("_stratum", stratum(area, width))
-    wanted = binned.where("region = 'interface'").groupBy(key, "_stratum").agg(F.count(F.lit(1)).alias("_wanted"))
+    inside = W.partitionBy(key, "_stratum")
+    targets = binned.where("region = 'interface'").select(
+        key, "_stratum", F.col(area).alias("wanted_area"), (F.row_number().over(inside.orderBy(area, "pos")) - 1).cast("bigint").alias("slot"))
+    wanted = targets.groupBy(key, "_stratum").agg(F.count(F.lit(1)).alias("_wanted"))
     pool = binned.where("region = 'surface'").join(wanted, [key, "_stratum"])
     each = pool.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
     order = hash_order(F.lit(str(seed)), F.col(key), F.col("rep"), F.col("pos"))
-    placed = hash_index(each, [key, "_stratum", "rep"], order, width=2)
-    return placed.where(F.col("slot") < F.col("_wanted")).select(key, "rep", "_stratum", "pos", "slope", area)
+    placed = hash_index(each, [key, "_stratum", "rep"], order, width=2).where(F.col("slot") < F.col("_wanted"))
+    return placed.join(targets, [key, "_stratum", "slot"]).select(key, "rep", "_stratum", "pos", "slope", area, "wanted_area")
 
 
 def matched_null(
     positions: DataFrame, key: str, area: str, *, width: float = 0.1, n_draws: int = 10_000, seed: int = 0
 ) -> DataFrame:
-    """Observed interface ratio against area-matched surface samples, with an add-one p-value.
+    """Observed interface ratio against surface samples matched by area stratum, with an add-one
+    p-value; `matching_null.nearest_null` matches by nearest value instead.
 
-    Complexes without an interface, or with fewer surface than interface positions, are skipped.
+    `mean_match_error` is the mean over targets of |chosen - wanted| and `n_sampled` the number of
+    matched targets, fewer than the interface where strata are short. Every complex has a row: one
+    without an interface, with fewer surface than interface positions, or without any match, has the
+    reason in `status` and nulls for the rest.
     """
     inside, outside = F.col("region") == "interface", F.col("region") == "surface"
     observed = positions.groupBy(key).agg(
@@ -117,12 +125,14 @@ def matched_null(
         F.count_if(outside).alias("n_surface_pool"), F.sum(F.when(inside, F.col("slope"))).alias("_sum"),
         F.avg(F.when(inside, F.col(area))).alias("mean_area_interface"),
         F.avg(F.when(outside, F.col(area))).alias("mean_area_surface"),
-    ).where("n_interface > 0 AND n_surface_pool >= n_interface")
-    observed = observed.withColumn("observed_ratio", F.col("_sum") / (F.col("n_interface") / F.col("n_residues")))
+    )
+    share = F.try_divide(F.col("n_interface").cast("double"), F.col("n_residues"))
+    observed = observed.withColumn("observed_ratio", F.try_divide(F.col("_sum"), share))
+    fit = observed.where("n_interface > 0 AND n_surface_pool >= n_interface").select(key, "n_residues", "observed_ratio")
     sample = matched_draws(positions, key, area, width=width, n_draws=n_draws, seed=seed)
     per_rep = sample.groupBy(key, "rep").agg(
-        F.sum("slope").alias("_s"), F.count(F.lit(1)).alias("_k"), F.avg(area).alias("_area"))
-    joined = per_rep.join(observed, key).withColumn("_ratio", F.col("_s") / (F.col("_k") / F.col("n_residues")))
+        F.sum("slope").alias("_s"), F.count(F.lit(1)).alias("_k"), F.avg(F.abs(F.col(area) - F.col("wanted_area"))).alias("_error"))
+    joined = per_rep.join(fit, key).withColumn("_ratio", F.col("_s") / (F.col("_k") / F.col("n_residues")))
     centre = joined.groupBy(key).agg(
         F.avg("_ratio").alias("null_mean_ratio"), F.try_divide(
             F.stddev_pop("_ratio") * F.sqrt(F.count(F.lit(1)).cast("double")),
@@ -131,9 +141,15 @@ def matched_null(
     extreme = F.abs(F.col("_ratio") - F.col("null_mean_ratio")) >= F.abs(F.col("observed_ratio") - F.col("null_mean_ratio"))
     tested = both.groupBy(key).agg(
         ((F.count_if(extreme) + 1) / (F.count(F.lit(1)) + 1)).alias("p_permutation"),
-        F.avg(F.abs(F.col("_area") - F.col("mean_area_interface"))).alias("mean_match_error"))
+        F.max("_k").alias("n_sampled"), F.avg("_error").alias("mean_match_error"))
+    status = F.when(F.col("n_interface") == 0, "skipped: no interface").when(
+        F.col("n_surface_pool") < F.col("n_interface"), "skipped: surface pool smaller than interface").when(
+        F.col("n_sampled").isNull(), "skipped: no stratum in common").when(
+        F.col("n_sampled") < F.col("n_interface"), "matched in part").otherwise("matched")
     return (
-        observed.drop("_sum").join(centre, key).join(tested, key)
+        observed.drop("_sum").join(centre, key, "left").join(tested, key, "left").withColumn("status", status)
+        .withColumn("observed_ratio", F.when(F.col("n_sampled").isNotNull(), F.col("observed_ratio")))
+        .withColumn("n_sampled", F.coalesce("n_sampled", F.lit(0)))
         .withColumn("observed_minus_null", F.col("observed_ratio") - F.col("null_mean_ratio"))
     )
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from titrant import constants as K
 from titrant.operators.regions import classify
@@ -13,6 +15,10 @@ from titrant.operators.spatial import contact_residues, grid_join, heavy, residu
 from titrant.params import RegionParams
 
 
+# Pairs of an atom and a neighbour whose sphere points one step holds.
+PAIRS = 20_000
+
+
 def lattice(n: int) -> list[tuple[float, float, float]]:
     """Evenly spread unit vectors: equal steps in z, golden-angle turns around it."""
     turn = math.pi * (3.0 - math.sqrt(5.0))
@@ -31,46 +37,76 @@ def with_radius(atoms: DataFrame) -> DataFrame:
     return atoms.withColumn("radius", r.otherwise(K.OTHER_RADIUS))
 
 
-def sphere_points(atoms: DataFrame, p: RegionParams) -> DataFrame:
-    unit = F.array(*[F.struct(*[F.lit(v).alias(a) for v, a in zip(u, "xyz")]) for u in lattice(p.sphere_points)])
+def _free_points(p: RegionParams, columns: Sequence[str]):
+    """Per atom, how many points of its sphere no neighbour covers: among those of its own chain, and
+    among all. Points and neighbours of a block of atoms meet as arrays."""
+    unit, probe = np.array(lattice(p.sphere_points)), p.probe_radius
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        near = batch["near"]
+        first = near.offsets.to_numpy().astype(np.int64)
+        flat = near.values.flatten() if pa.types.is_struct(near.type.value_type) else []
+        ox, oy, oz, reach, same = (f.to_numpy(zero_copy_only=False) for f in flat)
+        x, y, z, radius = (batch[c].to_numpy() for c in ("x", "y", "z", "radius"))
+        free = np.full((2, len(x)), p.sphere_points, np.int64)
+        low = 0
+        while low < len(x):
+            high = max(low + 1, int(np.searchsorted(first, first[low] + PAIRS, side="right")) - 1)
+            some = np.flatnonzero(np.diff(first[low : high + 1])) + low
+            if len(some):
+                owner = np.repeat(np.arange(low, high), np.diff(first[low : high + 1]))
+                pairs = slice(first[low], first[high])
+                big = radius[owner] + probe
+                d = [(c[owner, None] + unit[None, :, k] * big[:, None]) - o[pairs, None] for k, (c, o) in enumerate(((x, ox), (y, oy), (z, oz)))]
+                covered = d[0] * d[0] + d[1] * d[1] + d[2] * d[2] < (reach[pairs] * reach[pairs])[:, None]
+                starts = first[some] - first[low]
+                free[1, some] -= np.logical_or.reduceat(covered, starts).sum(axis=1)
+                free[0, some] -= np.logical_or.reduceat(covered & same[pairs, None].astype(bool), starts).sum(axis=1)
+            low = high
+        return pa.RecordBatch.from_arrays([*(batch[c] for c in columns), batch["radius"], pa.array(free[0]), pa.array(free[1])], [*columns, "radius", "alone", "bound"])
+
+    return lambda batches: (count(b) for b in batches)
+
+
+def exposed(
+    atoms: DataFrame, keys: Sequence[str], residue: Sequence[str], p: RegionParams = RegionParams(), inner: Column | None = None
+) -> DataFrame:
+    """(residue, isolated, bound): accessible area per residue among the atoms that share `keys`, and
+    among those that share `inner` as well.
+
+    One join on grid cells gives every atom the atoms that reach into its sphere, an array as long as
+    atoms fit there. All points of the sphere are then tested against it for both scopes at once, so
+    points never become rows.
+    """
+    names = [*dict.fromkeys([*keys, *residue])]
+    owner = [*names, "atom"]
+    sized = with_radius(atoms).select(*owner, "x", "y", "z", "radius", (F.lit(True) if inner is None else inner).alias("_inner"))
+    other = sized.select(
+        *keys, "x", "y", "z", F.col("radius").alias("o_radius"), F.col("_inner").alias("o_inner"), F.struct(*owner).alias("o_owner"))
+    widest = 2 * (max(*K.ATOM_RADII.values(), K.OTHER_RADIUS) + p.probe_radius)
+    reach = F.col("radius") + F.col("o_radius") + 2 * p.probe_radius
+    meets = (squared_distance() < reach * reach) & (F.struct(*[F.col(f"l.{c}") for c in owner]) != F.col("o_owner"))
+    near = F.when(F.col("o_x").isNotNull(), F.struct(
+        "o_x", "o_y", "o_z", (F.col("o_radius") + p.probe_radius).alias("reach"), (F.col("_inner") == F.col("o_inner")).alias("same")))
+    found = grid_join(sized, other, widest, keys, "left", limit=meets).groupBy(*owner, "x", "y", "z", "radius").agg(F.collect_list(near).alias("near"))
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.select(*names).schema)
+    points = found.select(*names, "x", "y", "z", "radius", "near").mapInArrow(_free_points(p, names), f"{shape}, radius double, alone bigint, bound bigint")
     big = F.col("radius") + p.probe_radius
-    out = atoms.withColumn("_u", F.explode(unit))
-    for a in "xyz":
-        out = out.withColumn(a, F.col(a) + F.col(f"_u.{a}") * big)
-    return out.drop("_u")
+    area = lambda c: F.sum(F.col(c) * (big * big * (4.0 * math.pi / p.sphere_points)))
+    return points.groupBy(*residue).agg(area("alone").alias("isolated"), area("bound").alias("bound"))
 
 
 def residue_area(
     atoms: DataFrame, keys: Sequence[str], residue: Sequence[str], p: RegionParams = RegionParams()
 ) -> DataFrame:
-    """Accessible area per residue among the atoms that share `keys`.
-
-    A point survives when no other atom of the same scope covers it: a left anti join on grid
-    cells, which stops at the first cover and emits no pairs.
-    """
-    sized = with_radius(atoms).select(*dict.fromkeys([*keys, *residue]), "atom", "x", "y", "z", "radius")
-    owner = [*dict.fromkeys([*keys, *residue]), "atom"]
-    points = sphere_points(sized, p)
-    cover = sized.select(
-        *keys, "x", "y", "z", F.col("radius").alias("o_radius"),
-        F.struct(*owner).alias("o_owner"))
-    reach = max(*K.ATOM_RADII.values(), K.OTHER_RADIUS) + p.probe_radius
-    far = F.col("o_radius") + p.probe_radius
-    covered = (squared_distance() < far * far) & (F.struct(*[F.col(f"l.{c}") for c in owner]) != F.col("o_owner"))
-    free = grid_join(points, cover, reach, keys, "left_anti", limit=covered)
-    per_point = 4.0 * math.pi / p.sphere_points
-    big = F.col("radius") + p.probe_radius
-    area = free.groupBy(*residue).agg(F.sum(big * big * per_point).alias("area"))
-    every = atoms.select(*residue).distinct()
-    return every.join(area, list(residue), "left").na.fill(0.0, ["area"])
+    """Accessible area per residue among the atoms that share `keys`."""
+    return exposed(atoms, keys, residue, p).select(*residue, F.col("bound").alias("area"))
 
 
 def burial(atoms: DataFrame, p: RegionParams = RegionParams(), group: str = "structure") -> DataFrame:
     """Isolated and bound area per residue and what complexation buries (never below 0)."""
-    residue = [group, "chain", "pos", "resname"]
-    alone = residue_area(atoms, [group, "chain"], residue, p).withColumnRenamed("area", "isolated")
-    bound = residue_area(atoms, [group], residue, p).withColumnRenamed("area", "bound")
-    return alone.join(bound, residue).withColumn("delta", F.greatest(F.lit(0.0), F.col("isolated") - F.col("bound")))
+    areas = exposed(atoms, [group], [group, "chain", "pos", "resname"], p, F.col("chain"))
+    return areas.withColumn("delta", F.greatest(F.lit(0.0), F.col("isolated") - F.col("bound")))
 
 
 def by_delta(areas: DataFrame, threshold: float = 1.0) -> DataFrame:

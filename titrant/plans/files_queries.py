@@ -127,4 +127,11 @@ def st1(spark, sf):
     folder, out, checkpoint = metrics_folder(spark, sf), new_folder(spark, "landed"), new_folder(spark, "landing-checkpoint")
     landing.collect_landed(spark, folder, out, checkpoint)
     expected = V.jobs(spark, sf).select(F.col("key").cast("string").alias("key"))
-    return landing.missing(expected, spark.read.schema(J.METRICS).parquet(out))
+    return landing.missing(expected, landing.landed(spark, out))
+
+
+@query("ST1_landing_account", sql("jobs", "SELECT count(*) AS n_records, count(*) FILTER (WHERE k <> 7) AS n_landed, 0::BIGINT AS n_repeated, count(*) FILTER (WHERE k = 7) AS n_unreadable FROM jobs"))
+def st1_account(spark, sf):
+    folder, out, checkpoint = metrics_folder(spark, sf), new_folder(spark, "landed"), new_folder(spark, "landing-checkpoint")
+    landing.collect_landed(spark, folder, out, checkpoint)
+    return landing.account(spark, out)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from titrant.functions.charge import net_charge_ph, net_charge_simple, residue_charge_simple
 from titrant.functions.hydropathy import place_on_diagram
-from titrant.operators import membership as M, readings as RD, resample as B, slopes as S
+from titrant.operators import matching_null as MN, membership as M, readings as RD, resample as B, slopes as S
 from titrant.operators.joins import beside
 from titrant.operators.ordering import average_ranks, quantiles
 from titrant.operators.pairing import paired_change
@@ -12,9 +12,9 @@ from titrant.plans import views as V
 from titrant.session import keep
 from titrant.plans.registry import query
 from titrant.plans.sequence_queries import DIAGRAM_SQL, TERM, r6
-from titrant.plans.view_sql import resample_sql, sql
+from titrant.plans.view_sql import hashed_draws_sql, mixed_sql, resample_sql, sql
 
-N = 200  # resamples in the registered queries; the operators default to 10,000
+N = 10_000  # resamples in every registered query
 
 SLOPE_SQL = """wide AS (SELECT {key}, beta,
       sum(CASE WHEN region='interface' THEN charge ELSE 0 END)::BIGINT AS ci, sum(CASE WHEN region='surface' THEN charge ELSE 0 END)::BIGINT AS cs,
@@ -120,8 +120,8 @@ def spearman_interval_sql(source, groups, x, y, unit, n=N, seed=0):
     dsel = "".join(f"d.{c}, " for c in g)
     grp = f"GROUP BY {', '.join(g)}" if g else ""
     return f"""s_slots AS (SELECT {sel}{x} AS x, {y} AS y, count(*) OVER ({part}) AS n, row_number() OVER ({part} ORDER BY md5({tag}||'|'||({unit})::VARCHAR)) - 1 AS slot FROM {source}),
-    s_draws AS (SELECT {sel}slot, r AS rep, ('0x'||substr(md5({tag}||'|'||r||'|'||slot),1,8))::BIGINT % n AS pick FROM s_slots, range({n}) t(r)),
-    s_pairs AS (SELECT {dsel}d.rep, v.x, v.y FROM s_draws d JOIN s_slots v ON {using}v.slot = d.pick),
+    {hashed_draws_sql('s_slots', 's_draws', tag, sel, n)},
+    s_pairs AS (SELECT {dsel}d.rep, v.x, v.y FROM s_draws d JOIN s_slots v ON {using}v.slot = d.h % d.n),
     {rank_sql('s_pairs', sel + 'rep', 'x', 'y', 's_reps')},
     s_spread AS (SELECT {sel}quantile_cont(rho,0.025) AS low, quantile_cont(rho,0.975) AS high, count(*) AS n_resamples FROM s_reps WHERE rho IS NOT NULL {grp}),
     {rank_sql('s_slots', ', '.join(g), 'x', 'y', 's_point')}"""
@@ -138,8 +138,9 @@ def permutation_sql(source, groups, x, y, unit, n=N, seed=0):
     psel = "".join(f"p.{c}, " for c in g)
     grp = "GROUP BY " + ", ".join([f"p.{c}" for c in g] + ["o.n", "o.rho"])
     return f"""{rank_sql(source, ', '.join(g), x, y, 'p_obs')},
-    p_slots AS (SELECT {sel}rx, ry, row_number() OVER ({part} ORDER BY md5({tag}||'|'||({unit})::VARCHAR)) - 1 AS slot FROM p_obs_r),
-    p_shuffled AS (SELECT {sel}r AS rep, ry, row_number() OVER (PARTITION BY {sel}r ORDER BY md5({tag}||'|'||r||'|'||slot)) - 1 AS slot FROM p_slots, range({n}) t(r)),
+    p_slots AS (SELECT {sel}rx, ry, count(*) OVER ({part}) AS n, row_number() OVER ({part} ORDER BY md5({tag}||'|'||({unit})::VARCHAR)) - 1 AS slot FROM p_obs_r),
+    {hashed_draws_sql('p_slots', 'p_draws', tag, sel, n, ', ry')},
+    p_shuffled AS (SELECT {sel}rep, ry, row_number() OVER (PARTITION BY {sel}rep ORDER BY h, slot) - 1 AS slot FROM p_draws),
     p_reps AS (SELECT {asel}a.rep, CASE WHEN var_pop(b.rx) > 0 AND var_pop(a.ry) > 0 THEN covar_pop(b.rx, a.ry)/(stddev_pop(b.rx)*stddev_pop(a.ry)) END AS rho
       FROM p_shuffled a JOIN p_slots b ON {using}a.slot = b.slot GROUP BY {asel}a.rep),
     p_tests AS (SELECT {psel}o.n, o.rho, (count(*) FILTER (WHERE abs(p.rho) >= abs(o.rho) - 1e-12) + 1) / ({n} + 1) AS p FROM p_reps p JOIN p_obs o ON {on} {grp})"""
@@ -208,26 +209,26 @@ def a30(spark, sf):
 
 @query("X01_pluggable_statistic", sql("", f"""
     WITH units AS (SELECT c_mktsegment AS segment, c_custkey AS unit, sqrt(c_acctbal + 1000) AS v0 FROM customer),
-    a AS (WITH {resample_sql('units', 'segment', 'v0', 'unit', 'median', 100)} SELECT 'median' AS statistic, * FROM intervals),
-    b AS (WITH {resample_sql('units', 'segment', 'v0', 'unit', 'stddev_pop', 100)} SELECT 'spread' AS statistic, * FROM intervals)
+    a AS (WITH {resample_sql('units', 'segment', 'v0', 'unit', 'median', N)} SELECT 'median' AS statistic, * FROM intervals),
+    b AS (WITH {resample_sql('units', 'segment', 'v0', 'unit', 'stddev_pop', N)} SELECT 'spread' AS statistic, * FROM intervals)
     SELECT * FROM a UNION ALL SELECT * FROM b"""))
 def x01(spark, sf):
     c = V.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("unit"), F.sqrt(F.col("c_acctbal") + 1000).alias("v0"))
-    run = lambda name, s: B.bootstrap_interval(c, ["segment"], "v0", "unit", n_resamples=100, statistic=s).withColumn("statistic", F.lit(name))
+    run = lambda name, s: B.bootstrap_interval(c, ["segment"], "v0", "unit", n_resamples=N, statistic=s).withColumn("statistic", F.lit(name))
     out = run("median", "median").unionByName(run("spread", F.stddev_pop))
     return rounded(out, "estimate", "low", "high").drop("n_resamples")
 
 
 @query("A22_paired_change_by_dose", sql("grid", f"""
     WITH change AS (SELECT g.part, g.beta, g.score - r.score AS delta FROM grid g JOIN (SELECT * FROM grid WHERE beta = 0) r USING (part, flag) WHERE g.beta <> 0),
-    per AS (SELECT part, beta, avg(delta) AS delta FROM change GROUP BY ALL), {resample_sql('per', 'beta', 'delta', 'part', n=50)},
+    per AS (SELECT part, beta, avg(delta) AS delta FROM change GROUP BY ALL), {resample_sql('per', 'beta', 'delta', 'part')},
     fell AS (SELECT beta, count(*) FILTER (WHERE delta < 0) AS n_degraded, count(*) FILTER (WHERE delta < 0)/count(*) AS fraction_degraded FROM per GROUP BY beta)
     SELECT beta, estimate, low, high, n, excludes_zero, n_degraded, fraction_degraded FROM intervals JOIN fell USING (beta)"""))
 def a22(spark, sf):
     return rounded(summarise_change(paired_change(V.grid(spark, sf), V.LINEAGE, "score"), "part"), "estimate", "low", "high")
 
 
-def summarise_change(change, unit, lower_is_better=False, n=50):
+def summarise_change(change, unit, lower_is_better=False, n=N):
     """One value per complex first, so replicates of a complex do not count twice."""
     per = keep(change.groupBy(unit, "beta").agg(F.avg("delta").alias("delta")))
     interval = B.bootstrap_interval(per, ["beta"], "delta", unit, n_resamples=n).drop("n_resamples")
@@ -240,7 +241,7 @@ def summarise_change(change, unit, lower_is_better=False, n=50):
     WITH held AS (SELECT g.* FROM grid g LEFT JOIN (SELECT * FROM grid WHERE beta = 0) r USING (part, flag) WHERE r.conf IS NULL OR r.conf - g.conf <= 10),
     c1 AS (SELECT 'all_returned' AS subset, g.part, g.beta, g.score - r.score AS delta FROM grid g JOIN (SELECT * FROM grid WHERE beta = 0) r USING (part, flag) WHERE g.beta <> 0),
     c2 AS (SELECT 'held_up' AS subset, g.part, g.beta, g.score - r.score AS delta FROM held g JOIN (SELECT * FROM held WHERE beta = 0) r USING (part, flag) WHERE g.beta <> 0),
-    per AS (SELECT subset, part, beta, avg(delta) AS delta FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2) GROUP BY ALL), {resample_sql('per', 'subset, beta', 'delta', 'part', n=50)},
+    per AS (SELECT subset, part, beta, avg(delta) AS delta FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2) GROUP BY ALL), {resample_sql('per', 'subset, beta', 'delta', 'part')},
     seen AS (SELECT coalesce(bool_or(subset='all_returned' AND excludes_zero AND estimate<0),false) AS overall, coalesce(bool_or(subset<>'all_returned' AND excludes_zero AND estimate<0),false) AS folded FROM intervals)
     SELECT overall, folded, true AS controlled, CASE WHEN overall AND folded THEN 'degrades, also among rows that held up' WHEN overall THEN 'degrades overall but not among rows that held up'
       WHEN folded THEN 'degrades only among rows that held up: selection on a collider' ELSE 'no measurable degradation' END AS reading FROM seen"""))
@@ -251,7 +252,7 @@ def p18(spark, sf):
     tagged = lambda df, name: paired_change(df, V.LINEAGE, "score").withColumn("subset", F.lit(name))
     both = tagged(g, "all_returned").unionByName(tagged(retained(g, V.LINEAGE, "conf", 10.0), "held_up"))
     per = both.groupBy("subset", "part", "beta").agg(F.avg("delta").alias("delta"))
-    return RD.quality_reading(B.bootstrap_interval(per, ["subset", "beta"], "delta", "part", n_resamples=50))
+    return RD.quality_reading(B.bootstrap_interval(per, ["subset", "beta"], "delta", "part", n_resamples=N))
 
 
 CHARGES_SQL = f"""charges AS (SELECT doc_id, lang, sum(q)::DOUBLE AS simple, round(sum(qph + {TERM}), 6) AS ph FROM residues JOIN aa_dim USING (aa) GROUP BY doc_id, lang)"""
@@ -305,16 +306,16 @@ def xy(spark, sf):
 XY_SQL = "xy AS (SELECT c_mktsegment AS segment, c_custkey AS unit, c_nationkey::DOUBLE AS x, round(c_acctbal, -2) AS y FROM customer)"
 
 
-@query("A34_permutation_p", sql("", f"""WITH {XY_SQL}, {permutation_sql('xy', 'segment', 'x', 'y', 'unit', 100)}
+@query("A34_permutation_p", sql("", f"""WITH {XY_SQL}, {permutation_sql('xy', 'segment', 'x', 'y', 'unit')}
     SELECT segment, n, round(rho,6)+0.0 AS rho, round(p,6) AS p FROM p_tests"""))
 def a34(spark, sf):
-    return rounded(B.spearman_permutation(xy(spark, sf), ["segment"], "x", "y", "unit", n_permutations=100), "rho", "p")
+    return rounded(B.spearman_permutation(xy(spark, sf), ["segment"], "x", "y", "unit", n_permutations=N), "rho", "p")
 
 
-@query("A35_spearman_interval", sql("", f"""WITH {XY_SQL}, {spearman_interval_sql('xy', 'segment', 'x', 'y', 'unit', 100)}
+@query("A35_spearman_interval", sql("", f"""WITH {XY_SQL}, {spearman_interval_sql('xy', 'segment', 'x', 'y', 'unit')}
     SELECT segment, n, round(rho,6)+0.0 AS estimate, round(low,6)+0.0 AS low, round(high,6)+0.0 AS high, n_resamples, low > 0 OR high < 0 AS excludes_zero FROM s_point JOIN s_spread USING (segment)"""))
 def a35(spark, sf):
-    return rounded(B.spearman_interval(xy(spark, sf), ["segment"], "x", "y", "unit", n_resamples=100), "estimate", "low", "high")
+    return rounded(B.spearman_interval(xy(spark, sf), ["segment"], "x", "y", "unit", n_resamples=N), "estimate", "low", "high")
 
 
 @query("A36_unequal_sizes", """
@@ -346,13 +347,13 @@ def a41(spark, sf):
     return rounded(rate.join(middle, "outside"), "fold_rate", "low", "high", "median_rmsd")
 
 
-@query("A42_within_dose_correlation", sql("residues aa_dim folded", f"""WITH {FOLD_SQL}, {permutation_sql('merged', 'beta', 'distance', 'rmsd', 'doc_id', 100)},
+@query("A42_within_dose_correlation", sql("residues aa_dim folded", f"""WITH {FOLD_SQL}, {permutation_sql('merged', 'beta', 'distance', 'rmsd', 'doc_id')},
     per AS (SELECT t.beta, t.n, t.rho, t.p, m.fold_rate, m.median_rmsd FROM p_tests t JOIN (SELECT beta, avg(folded) AS fold_rate, quantile_cont(rmsd,0.5) AS median_rmsd FROM merged GROUP BY beta) m USING (beta))
     SELECT beta, n, round(rho,6)+0.0 AS rho, round(p,6) AS p, round(fold_rate,6) AS fold_rate, round(median_rmsd,6) AS median_rmsd FROM per
     UNION ALL SELECT NULL, sum(n)::BIGINT, round(avg(rho) FILTER (WHERE n >= 3),6)+0.0, NULL, NULL, NULL FROM per"""))
 def a42(spark, sf):
     m = keep(merged(spark, sf))
-    tests = B.spearman_permutation(m, ["beta"], "distance", "rmsd", "doc_id", n_permutations=100)
+    tests = B.spearman_permutation(m, ["beta"], "distance", "rmsd", "doc_id", n_permutations=N)
     rates = m.groupBy("beta").agg(F.avg("folded").alias("fold_rate")).join(quantiles(m, ["beta"], "rmsd", {"median_rmsd": 0.5}), "beta")
     per = keep(tests.join(rates, "beta"))
     mean = per.agg(F.sum("n").alias("n"), F.avg(F.when(F.col("n") >= 3, F.col("rho"))).alias("rho"))
@@ -382,10 +383,11 @@ def a37(spark, sf):
 
 DRAWS = 20
 MATCH_SQL = f"""binned AS (SELECT *, floor(area/0.1) AS stratum FROM positions),
-    wanted AS (SELECT lang, stratum, count(*) AS wanted FROM binned WHERE region='interface' GROUP BY ALL),
+    targets AS (SELECT lang, stratum, area AS wanted_area, row_number() OVER (PARTITION BY lang, stratum ORDER BY area, pos) - 1 AS slot FROM binned WHERE region='interface'),
+    wanted AS (SELECT lang, stratum, count(*) AS wanted FROM targets GROUP BY ALL),
     placed AS (SELECT b.lang, b.stratum, b.pos, b.slope, b.area, r AS rep, wanted, row_number() OVER (PARTITION BY b.lang, b.stratum, r ORDER BY md5('0|'||b.lang||'|'||r||'|'||b.pos)) - 1 AS slot
       FROM binned b JOIN wanted w ON b.lang=w.lang AND b.stratum=w.stratum, range({DRAWS}) t(r) WHERE b.region='surface'),
-    sample AS (SELECT * FROM placed WHERE slot < wanted)"""
+    sample AS (SELECT placed.*, wanted_area FROM placed JOIN targets USING (lang, stratum, slot) WHERE slot < wanted)"""
 
 
 @query("J18_matched_strata", sql("residues aa_dim", f"""WITH {POSITION_SQL}, {MATCH_SQL}
@@ -396,21 +398,63 @@ def j18(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum(F.col("pos").cast("bigint")).alias("pos_sum"), r6(F.sum("slope")).alias("slope_sum"))
 
 
+NULL_RATIOS = ("observed_ratio", "null_mean_ratio", "null_sd_ratio", "observed_minus_null", "p_permutation", "mean_match_error")
+
+
 @query("A38_matched_null", sql("residues aa_dim", f"""WITH {POSITION_SQL}, {MATCH_SQL},
     obs AS (SELECT lang, count(*) AS n_residues, count(*) FILTER (WHERE region='interface') AS n_interface, count(*) FILTER (WHERE region='surface') AS n_surface_pool,
-      sum(slope) FILTER (WHERE region='interface') / (count(*) FILTER (WHERE region='interface')/count(*)) AS observed_ratio,
-      avg(area) FILTER (WHERE region='interface') AS mai FROM positions GROUP BY lang),
-    reps AS (SELECT s.lang, rep, sum(slope)/(count(*)/any_value(n_residues)) AS ratio, avg(area) AS ma FROM sample s JOIN obs USING (lang) GROUP BY s.lang, rep),
-    cen AS (SELECT lang, avg(ratio) AS m, stddev_samp(ratio) AS sd FROM reps GROUP BY lang)
-    SELECT lang, any_value(n_residues) AS n_residues, any_value(n_interface) AS n_interface, any_value(n_surface_pool) AS n_surface_pool, round(any_value(observed_ratio),6)+0.0 AS observed_ratio,
-      round(any_value(m),6)+0.0 AS null_mean_ratio, round(any_value(sd),6)+0.0 AS null_sd_ratio, round(any_value(observed_ratio - m),6)+0.0 AS observed_minus_null,
-      round((count(*) FILTER (WHERE abs(ratio - m) >= abs(observed_ratio - m)) + 1)/(count(*)+1),6) AS p_permutation, round(avg(abs(ma - mai)),6)+0.0 AS mean_match_error
-    FROM reps JOIN cen USING (lang) JOIN obs USING (lang) WHERE n_interface > 0 AND n_surface_pool >= n_interface GROUP BY lang"""))
+      sum(slope) FILTER (WHERE region='interface') / nullif(count(*) FILTER (WHERE region='interface')/count(*), 0) AS observed_ratio FROM positions GROUP BY lang),
+    reps AS (SELECT s.lang, rep, count(*) AS k, sum(slope)/(count(*)/any_value(n_residues)) AS ratio, avg(abs(area - wanted_area)) AS error FROM sample s JOIN obs USING (lang)
+      WHERE n_interface > 0 AND n_surface_pool >= n_interface GROUP BY s.lang, rep),
+    cen AS (SELECT lang, avg(ratio) AS m, stddev_samp(ratio) AS sd FROM reps GROUP BY lang),
+    tested AS (SELECT lang, max(k) AS k, round(any_value(observed_ratio),6)+0.0 AS observed_ratio, round(any_value(m),6)+0.0 AS null_mean_ratio, round(any_value(sd),6)+0.0 AS null_sd_ratio,
+      round(any_value(observed_ratio - m),6)+0.0 AS observed_minus_null, round((count(*) FILTER (WHERE abs(ratio - m) >= abs(observed_ratio - m)) + 1)/(count(*)+1),6) AS p_permutation,
+      round(avg(error),6)+0.0 AS mean_match_error FROM reps JOIN cen USING (lang) JOIN obs USING (lang) GROUP BY lang)
+    SELECT o.lang, CASE WHEN n_interface = 0 THEN 'skipped: no interface' WHEN n_surface_pool < n_interface THEN 'skipped: surface pool smaller than interface'
+        WHEN k IS NULL THEN 'skipped: no stratum in common' WHEN k < n_interface THEN 'matched in part' ELSE 'matched' END AS status,
+      n_residues, n_interface, n_surface_pool, coalesce(k, 0) AS n_sampled, t.observed_ratio, null_mean_ratio, null_sd_ratio, observed_minus_null, p_permutation, mean_match_error
+    FROM obs o LEFT JOIN tested t USING (lang)"""))
 def a38(spark, sf):
     p = keep(positions(spark, sf))
     out = S.matched_null(p, "lang", "area", n_draws=DRAWS)
-    names = ("observed_ratio", "null_mean_ratio", "null_sd_ratio", "observed_minus_null", "p_permutation", "mean_match_error")
-    return rounded(out, *names).select("lang", "n_residues", "n_interface", "n_surface_pool", *names)
+    return rounded(out, *NULL_RATIOS).select("lang", "status", "n_residues", "n_interface", "n_surface_pool", "n_sampled", *NULL_RATIOS)
+
+
+COMPLEX_SIZE = 400
+
+
+def complexes(spark, sf):
+    """Positions of complexes of up to 400 residues; the last one of a language may be a short one."""
+    part = F.concat_ws("-", "lang", F.floor(F.col("pos") / COMPLEX_SIZE).cast("string"))
+    return positions(spark, sf).withColumn("complex", part)
+
+
+NEAREST_SQL = f"""placed AS (SELECT *, lang||'-'||(pos // {COMPLEX_SIZE}) AS complex FROM positions),
+    targets AS (SELECT complex, pos AS target, area AS wanted, row_number() OVER (PARTITION BY complex ORDER BY pos) AS k FROM placed WHERE region = 'interface'),
+    places AS (SELECT complex, pos, area, {mixed_sql("(pos + ('0x'||substr(md5('0|'||complex),1,7))::BIGINT) % 2147483647", 'hs')} FROM placed WHERE region = 'surface'),
+    draws AS (SELECT r AS rep, {mixed_sql('r + 1000003', 'hr')} FROM range(2) t(r)),
+    hashed AS (SELECT complex, rep, pos, area, {mixed_sql('hs + hr', 'h')} FROM places, draws),
+    pools AS (SELECT complex, rep, list(struct_pack(pos := pos, area := area, h := h)) AS pool FROM hashed GROUP BY ALL),
+    walk AS (SELECT complex, rep, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::STRUCT(error DOUBLE, h BIGINT, pos BIGINT, area DOUBLE) AS c, NULL::BIGINT AS target, NULL::DOUBLE AS wanted FROM pools
+      UNION ALL
+      SELECT complex, rep, k, list_append(taken, c.pos), c, target, wanted FROM (
+        SELECT w.complex, w.rep, t.k, taken, t.target, t.wanted, list_min(list_transform(list_filter(pool, lambda x: NOT list_contains(taken, x.pos)),
+          lambda x: struct_pack(error := abs(x.area - t.wanted), h := x.h, pos := x.pos, area := x.area))) AS c
+        FROM walk w JOIN targets t ON t.complex = w.complex AND t.k = w.k + 1 JOIN pools p ON p.complex = w.complex AND p.rep = w.rep
+        WHERE len(taken) < len(pool)))"""
+
+
+@query("J18_nearest_matching", sql("residues aa_dim", f"""WITH {POSITION_SQL}, {NEAREST_SQL}
+    SELECT complex, rep, target, c.pos AS pos, round(wanted,6)+0.0 AS wanted, round(c.area,6)+0.0 AS area, round(c.error,6)+0.0 AS error FROM walk WHERE k > 0""").replace("WITH ", "WITH RECURSIVE ", 1))
+def j18_nearest(spark, sf):
+    """Two draws, pair by pair: every interface position with the surface position it is given."""
+    pairs = MN.matched_pairs(keep(complexes(spark, sf)), "complex", "area", n_draws=2)
+    return rounded(pairs, "wanted", "area", "error")
+
+
+@query("A38_nearest_null")
+def a38_nearest(spark, sf):
+    return rounded(MN.nearest_null(keep(complexes(spark, sf)), "complex", "area"), "mean_area_interface", "mean_area_surface", *NULL_RATIOS)
 
 
 @query("A39_pooled_fit", sql("residues aa_dim", f"""WITH {POSITION_SQL}, e AS (SELECT slope AS y, area AS x1, (region='interface')::INTEGER::DOUBLE AS x2 FROM positions WHERE region <> 'core'),

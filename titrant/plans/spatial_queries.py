@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from titrant import constants as K
 from titrant.functions import bridge as BR
 from titrant.functions.charge import residue_charge
-from titrant.operators import regions as R, resample as B, spatial as S, surface as SA
+from titrant.operators import regions as R, resample as B, spatial as S, surface as SA, threading as TH
 from titrant.operators.joins import beside
 from titrant.operators.matching import match_chain
 from titrant.operators.ordering import medians, quantiles
@@ -151,56 +151,84 @@ def native_letters(atoms):
     return atoms.select("structure", "chain", "pos", SA.letters(F.col("resname")).alias("aa")).distinct()
 
 
-def designed_letters(spark, sf, atoms):
-    """A document threaded on chain A of the structure with its number; chain B stays native."""
-    native = native_letters(atoms)
-    s = V.seqs(spark, sf).select(F.col("doc_id").alias("structure"), F.posexplode(F.split("seq", "")).alias("pos", "aa"))
-    a = native.where("chain = 'A'").drop("aa").join(s.withColumn("pos", F.col("pos").cast("bigint")), ["structure", "pos"])
-    return a.select("structure", "chain", "pos", "aa").unionByName(native.where("chain = 'B'"))
+def on_backbones(spark, sf):
+    """(backbones, account per design, letters): documents threaded on chain A of their backbones;
+    chain B keeps its native letters."""
+    backbones = V.backbones(spark, sf)
+    designs = V.seqs(spark, sf).select(F.col("doc_id").alias("structure"), "seq")
+    accounts = keep(TH.account(designs, backbones.where("chain = 'A'").select("structure", "pos"), "structure"))
+    one = TH.threaded_letters(designs, accounts, "structure").select("structure", F.lit("A").alias("chain"), "pos", "aa")
+    return backbones, accounts, one
 
 
-LETTERS_SQL = """aa_of AS (SELECT * FROM (VALUES ('LYS','K'),('ARG','R'),('HIS','H'),('ASP','D'),('GLU','E'),('GLY','G'),('ALA','A'),('SER','S'),('LEU','L'),('TRP','W')) t(resname, aa)),
-    native_l AS (SELECT DISTINCT structure, chain, pos, aa FROM atoms JOIN aa_of USING (resname)),
-    design_l AS (SELECT n.structure, n.chain, n.pos, r.aa FROM native_l n JOIN residues r ON r.doc_id = n.structure AND r.pos = n.pos WHERE n.chain='A' UNION ALL SELECT * FROM native_l WHERE chain='B')"""
+def with_native_partner(backbones, accounts, letters):
+    accepted = accounts.where(F.col("status") == TH.THREADED).select("structure")
+    return letters.unionByName(backbones.where("chain = 'B'").join(accepted, "structure", "left_semi").select("structure", "chain", "pos", "aa"))
 
 
-@query("P07_thread_sequence", sql("atoms residues", f"WITH {LETTERS_SQL} SELECT structure, chain, pos, aa FROM design_l"))
-def p07(spark, sf):
-    return designed_letters(spark, sf, V.atoms(spark, sf))
+LETTERS_SQL = """design_a AS (SELECT f.structure, 'A' AS chain, unnest(range(f.n_letters)) AS pos, unnest(string_split(s.seq, '')) AS aa
+      FROM fits f JOIN seqs s ON s.doc_id = f.structure WHERE f.status = 'threaded'),
+    native_l AS (SELECT b.structure, b.chain, b.pos, b.aa FROM backbones b JOIN fits f USING (structure) WHERE f.status = 'threaded'),
+    design_l AS (SELECT * FROM design_a UNION ALL SELECT * FROM native_l WHERE chain = 'B')"""
 
 
-def threaded_sql(letters, out, cross):
-    return f"""{out}_s AS (SELECT structure, chain, pos, CASE WHEN aa IN ('K','R') THEN 1 ELSE -1 END AS sign FROM {letters} WHERE aa IN ('K','R','D','E')),
-    {out}_cb AS (SELECT s.*, x, y, z FROM {out}_s s JOIN (SELECT * FROM atoms WHERE atom='CB' AND altloc IN ('',' ','A')) c USING (structure, chain, pos)),
+@query("P07_thread_sequence", sql("backbones", f"""WITH {LETTERS_SQL},
+    seen AS (SELECT structure, count(*) AS n_threaded, sum((pos + 1) * ascii(aa))::BIGINT AS place_sum FROM design_a GROUP BY structure)
+    SELECT structure, n_letters, n_positions, status, coalesce(n_threaded, 0) AS n_threaded, place_sum FROM fits LEFT JOIN seen USING (structure)"""))
+def p07(spark, sf):
+    _, accounts, letters = on_backbones(spark, sf)
+    seen = letters.groupBy("structure").agg(
+        F.count(F.lit(1)).alias("n_threaded"), F.sum((F.col("pos") + 1) * F.ascii("aa")).alias("place_sum"))
+    return accounts.join(seen, "structure", "left").na.fill(0, ["n_threaded"])
+
+
+def threaded_sql(letters, out):
+    """CTEs {out}_all and {out}_cross_chain: bridge counts of letters on backbones. Residues that far
+    apart along the chain cannot meet, so cells of the axis narrow the join."""
+    near = "(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 36"
+    parts = f"""{out}_s AS (SELECT structure, chain, pos, CASE WHEN aa IN ('K','R') THEN 1 ELSE -1 END AS sign FROM {letters} WHERE aa IN ('K','R','D','E')),
+    {out}_cb AS (SELECT s.*, x, y, z, floor(z/6)::BIGINT AS cell FROM {out}_s s JOIN backbones b USING (structure, chain, pos) WHERE b.aa <> 'G'),
     {out}_pop AS (SELECT structure, count(*) FILTER (WHERE sign>0) AS n_cationic, count(*) FILTER (WHERE sign<0) AS n_anionic FROM {out}_s GROUP BY structure),
-    """ + bridge_sql(f"{out}_cb", 6.0, cross, out).replace("FROM pop", f"FROM {out}_pop").replace("pop.*", f"{out}_pop.*")
-
-
-@query("J13_threaded_bridges", sql("atoms residues", f"""WITH {LETTERS_SQL}, {threaded_sql('design_l', 'd', False)}, {threaded_sql('design_l', 'e', True)}
-    SELECT 'all' AS scope, {COUNTS} FROM d UNION ALL SELECT 'cross_chain', {COUNTS} FROM e"""))
+    {out}_near AS (SELECT a.structure, a.chain, a.pos, b.chain AS o_chain, b.pos AS o_pos FROM (SELECT *, unnest([cell-1, cell, cell+1]) AS there FROM {out}_cb WHERE sign > 0) a
+      JOIN (SELECT * FROM {out}_cb WHERE sign < 0) b ON a.structure = b.structure AND a.there = b.cell WHERE {near})"""
+    for scope, extra in (("all", ""), ("cross_chain", "WHERE chain <> o_chain")):
+        n = f"{out}_{scope}"
+        parts += f""", {n}_p AS (SELECT * FROM {out}_near {extra}),
+    {n}_e AS (SELECT structure, count(*) AS n_engaged FROM (SELECT structure, chain, pos FROM {n}_p UNION SELECT structure, o_chain, o_pos FROM {n}_p) GROUP BY structure),
+    {n} AS (SELECT structure, n_cationic, n_anionic, n_cationic+n_anionic AS n_charged, n_cationic*n_anionic AS n_opportunities, coalesce(n_bridges,0) AS n_bridges, coalesce(n_engaged,0) AS n_engaged
+      FROM {out}_pop LEFT JOIN (SELECT structure, count(*) AS n_bridges FROM {n}_p GROUP BY structure) USING (structure) LEFT JOIN {n}_e USING (structure))"""
+    return parts
+
+
+@query("J13_threaded_bridges", sql("backbones", f"""WITH {LETTERS_SQL}, {threaded_sql('design_l', 'd')},
+    scopes AS (SELECT 'all' AS scope, * FROM d_all UNION ALL SELECT 'cross_chain', * FROM d_cross_chain)
+    SELECT f.structure, f.status, scope, n_cationic, n_anionic, n_charged, n_opportunities, n_bridges, n_engaged FROM fits f LEFT JOIN scopes USING (structure)"""))
 def j13(spark, sf):
-    a = V.atoms(spark, sf)
-    letters = designed_letters(spark, sf, a)
-    cb, signed = S.threaded(a, letters)
-    return S.scoped_counts(S.opposite_pairs(cb, 6.0), S.charged_population(signed))
+    backbones, accounts, letters = on_backbones(spark, sf)
+    cb, signed = S.threaded(backbones, with_native_partner(backbones, accounts, letters))
+    counts = S.scoped_counts(S.opposite_pairs(cb, 6.0), S.charged_population(signed))
+    return accounts.select("structure", "status").join(counts, "structure", "left")
 
 
-A47_PARTS = [("design", "design_l", "all", False), ("design", "design_l", "cross_chain", True), ("native", "native_l", "all", False), ("native", "native_l", "cross_chain", True)]
+A47_PARTS = [("design", "design_l", "d"), ("native", "native_l", "n")]
 
 
-@query("A47_design_against_native", sql("atoms residues", f"""WITH {LETTERS_SQL}, """ + ", ".join(threaded_sql(l, f"t{i}", c) for i, (_, l, _, c) in enumerate(A47_PARTS)) + """,
-    rows_all AS (""" + " UNION ALL ".join(f"SELECT '{lab}' AS label, '{scope}' AS scope, * FROM t{i}" for i, (lab, _, scope, _) in enumerate(A47_PARTS)) + """),
+@query("A47_design_against_native", sql("backbones", f"""WITH {LETTERS_SQL}, """ + ", ".join(threaded_sql(l, out) for _, l, out in A47_PARTS) + """,
+    rows_all AS (""" + " UNION ALL ".join(f"SELECT '{label}' AS label, '{scope}' AS scope, * FROM {out}_{scope}" for label, _, out in A47_PARTS for scope in ("all", "cross_chain")) + """),
     measures AS (SELECT label, structure, scope||' bridges' AS what, n_bridges::DOUBLE AS v FROM rows_all UNION ALL SELECT label, structure, scope||' per_opportunity', coalesce(n_bridges/nullif(n_opportunities,0),0) FROM rows_all
       UNION ALL SELECT label, structure, scope||' n_charged', n_charged::DOUBLE FROM rows_all),
     pairs AS (SELECT a.structure, a.what, a.v AS design, b.v AS native, a.v - b.v AS diff FROM measures a JOIN measures b ON a.structure=b.structure AND a.what=b.what AND a.label='design' AND b.label='native'),
-    """ + resample_sql("pairs", "what", "diff", "structure", n=100) + """
-    SELECT i.what, estimate, low, high, n, excludes_zero, mean_design, mean_native FROM intervals i JOIN (SELECT what, round(avg(design),6)+0.0 AS mean_design, round(avg(native),6)+0.0 AS mean_native FROM pairs GROUP BY what) m ON i.what=m.what"""))
+    """ + resample_sql("pairs", "what", "diff", "structure") + """,
+    refused AS (SELECT count(*) FILTER (WHERE status <> 'threaded') AS n_refused FROM fits)
+    SELECT i.what, estimate, low, high, n, excludes_zero, mean_design, mean_native, n_refused FROM intervals i JOIN (SELECT what, round(avg(design),6)+0.0 AS mean_design, round(avg(native),6)+0.0 AS mean_native FROM pairs GROUP BY what) m ON i.what=m.what, refused"""))
 def a47(spark, sf):
-    a = V.atoms(spark, sf)
-    letters = native_letters(a).withColumn("label", F.lit("native")).unionByName(
-        designed_letters(spark, sf, a).withColumn("label", F.lit("design")))
+    backbones, accounts, one = on_backbones(spark, sf)
+    accepted = accounts.where(F.col("status") == TH.THREADED).select("structure")
+    native = backbones.join(accepted, "structure", "left_semi").select("structure", "chain", "pos", "aa")
+    letters = native.withColumn("label", F.lit("native")).unionByName(
+        with_native_partner(backbones, accounts, one).withColumn("label", F.lit("design")))
     case = F.concat_ws("|", "label", "structure")
-    both = a.withColumn("label", F.explode(F.array(F.lit("native"), F.lit("design")))).withColumn("case", case)
+    both = backbones.withColumn("label", F.explode(F.array(F.lit("native"), F.lit("design")))).withColumn("case", case)
     cb, signed = S.threaded(both, letters.withColumn("case", case), group="case")
     t = BR.normalised(S.scoped_counts(S.opposite_pairs(cb, 6.0, "case"), S.charged_population(signed, "case"), "case"))
     cells = F.array(*[
@@ -211,9 +239,10 @@ def a47(spark, sf):
         "label", "structure", "c.what", "c.v")
     wide = long.groupBy("structure", "what").pivot("label", ["design", "native"]).agg(F.first("v"))
     wide = keep(wide.where("design IS NOT NULL AND native IS NOT NULL"))
-    interval = B.paired_interval(wide, ["what"], "design", "native", "structure", n_resamples=100).drop("n_resamples")
+    interval = B.paired_interval(wide, ["what"], "design", "native", "structure").drop("n_resamples")
     means = wide.groupBy("what").agg(F.avg("design").alias("mean_design"), F.avg("native").alias("mean_native"))
-    return rounded(interval.join(means, "what"), "estimate", "low", "high", "mean_design", "mean_native")
+    refused = accounts.agg(F.count_if(F.col("status") != TH.THREADED).alias("n_refused"))
+    return rounded(beside(interval.join(means, "what"), refused), "estimate", "low", "high", "mean_design", "mean_native")
 
 
 # ---- charge products -----------------------------------------------------------------------

@@ -78,6 +78,15 @@ VIEWS = {
             "r_gly(resname)", "resname = 'GLY'"
         ),
     ),
+    "backbones": (
+        ["seqs"],
+        """backbone_n AS (SELECT doc_id AS structure, CASE WHEN doc_id % 7 = 3 AND length(seq) > 1 THEN length(seq) - 1 ELSE length(seq) END AS n FROM seqs),
+        backbone_rows AS (SELECT structure, chain, unnest(range(n)) AS pos FROM backbone_n, (VALUES ('A', 0), ('B', 5)) t(chain, shift)),
+        backbones AS (SELECT structure, chain, pos, substr('KADLERGSHW', (structure*3 + pos*7 + CASE chain WHEN 'B' THEN 5 ELSE 0 END) % 10 + 1, 1) AS aa,
+            ((pos*5) % 18)::DOUBLE/2 - 4.25 + CASE chain WHEN 'B' THEN 5 ELSE 0 END AS x, ((pos*7) % 11)::DOUBLE/2 - 2.5 AS y, pos*1.5::DOUBLE AS z FROM backbone_rows),
+        fits AS (SELECT s.doc_id AS structure, length(s.seq) AS n_letters, b.n AS n_positions,
+            CASE WHEN length(s.seq) = b.n THEN 'threaded' ELSE 'refused: length differs' END AS status FROM seqs s JOIN backbone_n b ON s.doc_id = b.structure)""",
+    ),
     "polymer": (
         ["atoms"],
         """polymer AS (SELECT structure, chain, pos + 1 AS seqid, vec_id, atom, altloc, element, x, y, z,
@@ -172,7 +181,20 @@ def sql(views: str, body: str) -> str:
     return "WITH " + ", ".join(texts) + " " + body if texts else body
 
 
-def resample_sql(units: str, groups: str, value: str, unit: str, statistic: str = "avg", n: int = 200, seed: int = 0) -> str:
+def mixed_sql(x: str, out: str) -> str:
+    """Select items that end in column `out`: the draw hash of the number `x`."""
+    return (f"({x}) * 1103515245 % 2147483647 AS {out}_1, xor({out}_1, {out}_1 >> 15) AS {out}_2, "
+            f"{out}_2 * 1812433253 % 2147483647 AS {out}_3, xor({out}_3, {out}_3 >> 13) AS {out}")
+
+
+def hashed_draws_sql(slots: str, out: str, tag: str, sel: str, n: int, extra: str = "") -> str:
+    """CTEs that end in `out`: (groups, slot, n, rep, h) for every slot and replicate."""
+    return f"""{out}_keyed AS (SELECT {sel}slot, n{extra}, {mixed_sql(f"slot + ('0x'||substr(md5({tag}),1,7))::BIGINT", 'hs')} FROM {slots}),
+    {out}_reps AS (SELECT r AS rep, {mixed_sql('r + 1000003', 'hr')} FROM range({n}) t(r)),
+    {out} AS (SELECT {sel}slot, n{extra}, rep, {mixed_sql('hs + hr', 'h')} FROM {out}_keyed, {out}_reps)"""
+
+
+def resample_sql(units: str, groups: str, value: str, unit: str, statistic: str = "avg", n: int = 10_000, seed: int = 0) -> str:
     """CTEs slots, draws, replicates and intervals over a table of one value per unit."""
     g = [c.strip() for c in groups.split(",") if c.strip()]
     part = f"PARTITION BY {', '.join(g)}" if g else ""
@@ -184,9 +206,8 @@ def resample_sql(units: str, groups: str, value: str, unit: str, statistic: str
     join = f"USING ({', '.join(g)})" if g else "ON true"
     return f"""slots AS (SELECT {sel}{value} AS v, count(*) OVER ({part}) AS n,
       row_number() OVER ({part} ORDER BY md5({tag}||'|'||({unit})::VARCHAR)) - 1 AS slot FROM {units}),
-    draws AS (SELECT {sel}slot, r AS rep, ('0x'||substr(md5({tag}||'|'||r||'|'||slot),1,8))::BIGINT % n AS pick
-      FROM slots, range({n}) t(r)),
-    replicates AS (SELECT {dsel}d.rep, {statistic}(v.v) AS stat FROM draws d JOIN slots v ON {using}v.slot = d.pick
+    {hashed_draws_sql('slots', 'draws', tag, sel, n)},
+    replicates AS (SELECT {dsel}d.rep, {statistic}(v.v) AS stat FROM draws d JOIN slots v ON {using}v.slot = d.h % d.n
       GROUP BY {dsel}d.rep),
     spread AS (SELECT {sel}quantile_cont(stat, 0.025) AS low, quantile_cont(stat, 0.975) AS high FROM replicates {group_by}),
     points AS (SELECT {sel}{statistic}(v) AS estimate, count(*) AS n FROM slots {group_by}),

@@ -11,6 +11,23 @@ from titrant.sources.text_lines import lines, running_count
 LINE = "%-6s%5d %-4s%1s%3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s"
 
 
+def element() -> Column:
+    """The element of an atom line: columns 77-78, or what the atom's name says where they are blank.
+
+    One-letter elements stand in column 14, behind a blank or a digit. A name that starts in column
+    13 is a two-letter element, unless it fills all four columns, as the longer names of hydrogens
+    do: then its first letter is the element.
+    """
+    name = F.upper(F.substring("value", 13, 4))
+    inferred = (
+        F.when(name.rlike("^[ 0-9][A-Z]"), F.substring(name, 2, 1))
+        .when(name.rlike("^[A-Z]{1,2} *$"), F.trim(name))
+        .otherwise(F.regexp_extract(name, "[A-Z]", 0))
+    )
+    stated = F.upper(F.trim(F.substring("value", 77, 2)))
+    return F.when(stated.rlike("^[A-Z]"), stated).otherwise(inferred)
+
+
 def read_atoms(spark: SparkSession, path: str, p: AtomParams = AtomParams()) -> DataFrame:
     """One model of every file under `path`; plain or gzip text."""
     counted = running_count(lines(spark, path), F.col("value").startswith("MODEL"), "_models")
@@ -20,7 +37,7 @@ def read_atoms(spark: SparkSession, path: str, p: AtomParams = AtomParams()) ->
     return counted.where(atom & (F.greatest(F.col("_models") - 1, F.lit(0)) == p.model_index)).select(
         "file", cut(1, 6).alias("record"), number(7, 11, "int").alias("serial"), cut(13, 16).alias("atom"), cut(17, 17).alias("altloc"),
         cut(18, 20).alias("resname"), cut(22, 22).alias("chain"), number(23, 26, "int").alias("seqid"), cut(27, 27).alias("icode"),
-        number(31, 38, "double").alias("x"), number(39, 46, "double").alias("y"), number(47, 54, "double").alias("z"), cut(77, 78).alias("element"))
+        number(31, 38, "double").alias("x"), number(39, 46, "double").alias("y"), number(47, 54, "double").alias("z"), element().alias("element"))
 
 
 def residue_rows(atoms: DataFrame, group: str, order: str) -> DataFrame:
