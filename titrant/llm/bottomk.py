@@ -128,14 +128,16 @@ def _crossing(num: int, den: int):
 
 
 def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
-    """(id, th, n_shingles, component) for every row: who is linked, directly or by way of others.
+    """(id, th, n_shingles, component, first) for every row: who is linked, directly or through others.
 
-    1. One scan gives each text its number of distinct 5-word shingles and its 64 least hashes.
-       Texts with one and the same set become one representative, so copies are never paired.
+    1. One scan gives each text its number of distinct 5-word shingles and its 96 least hashes.
+       Texts with one and the same set become one numbered representative, a node of the graph,
+       so copies are never paired, and neither repeated nor missing ids join unlike texts.
     2. Inverted lists: a value held by one representative alone leads nowhere. A pair estimated at
-       0.5 or more shares at least half of either sketch, so of each sketch only the rarest half
-       (and one more) is listed; a representative with fewer shared values than the other half has
-       no partner. Phrases that very many texts share are thereby never listed for ordinary texts.
+       0.58 or more shares at least that part of either sketch, so of each sketch only the rarest
+       values are listed, as many as such a pair cannot all miss; a representative with fewer
+       shared values than the others has no partner. Phrases that very many texts share are thereby
+       never listed for ordinary texts.
     3. Every member of a list is compared with the list's first and last member: sketches estimate,
        full sets verify, components join. Members of all lists with one first member are a group,
        and a group within one component is settled.
@@ -144,17 +146,21 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
        join components, so no link between components is lost and no pairs are moved. A group of
        m members with k outside takes k * m comparisons of sketches.
 
-    Rows without words have size 0, no links, and themselves as component. Rows that repeat a doc_id
-    act as one node; rows without one are linked like others and their component is null where it
-    holds nothing else. Other columns are not read.
+    A component is named by its smallest doc_id; `first` marks rows of the representative that holds
+    it, one without an id only where the component has no other. Rows without words have size 0, no
+    links, and themselves as component. Rows that repeat a doc_id with other texts are linked one by
+    one. Texts of any length are read whole; other columns are not read.
     """
     texts = keyed_texts(docs)
     rows = written(
         by_batch(texts, _sketches, "id bigint, th bigint, n bigint, d1 bigint, d2 bigint, sketch array<bigint>"), "near-sketches"
     )
-    reps = written(
-        rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "near-reps"
+    # Numbers are given once, as the table is written, and read from then on.
+    named = written(
+        rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "th")).alias("lead"), F.first("sketch").alias("sketch"))
+        .withColumn("node", F.monotonically_increasing_id()), "near-reps",
     )
+    reps = named.select(F.col("node").alias("id"), "n", "sketch")
     held = reps.select("id", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     shared = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     rare = (
@@ -168,7 +174,11 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     )
     listed = written(rare, "near-lists")
     nodes = listed.select("id").distinct()
-    sets = written(by_batch(texts.join(nodes, "id", "left_semi").select("id", "text"), _sets, "id bigint, shingles array<bigint>"), "near-sets")
+    leads = named.join(nodes.withColumnRenamed("id", "node"), "node", "left_semi").select("lead.id", "lead.th", "node")
+    sets = written(
+        by_batch(texts.join(leads, ["id", "th"]).select(F.col("node").alias("id"), "text"), _sets, "id bigint, shingles array<bigint>").dropDuplicates(["id"]),
+        "near-sets",
+    )
     sketches = reps.join(nodes, "id", "left_semi").select("id", "sketch")
 
     ends = listed.groupBy("value").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
@@ -207,11 +217,15 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     )
     joined = components(first.unionByName(second))
     removed(listed, sets)
-    of_rep = reps.select("d1", "d2", "n", F.col("id").alias("node")).join(joined, "node", "left")
+    group = named.select("d1", "d2", "n", "node", "lead").join(joined, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    names = group.groupBy("group").agg(F.min(F.struct(F.col("lead.id").alias("id"), F.col("node").alias("node"))).alias("name"))
+    of_rep = group.join(names, "group").select(
+        "d1", "d2", "n", F.col("name.id").alias("component"), (F.col("node") == F.col("name.node")).alias("first")
+    )
     return (
         rows.select("id", "th", "n", "d1", "d2")
-        .join(of_rep.select("d1", "d2", "n", F.coalesce("component", "node").alias("component")), ["d1", "d2", "n"], "left")
-        .select("id", "th", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+        .join(of_rep, ["d1", "d2", "n"], "left")
+        .select("id", "th", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"), F.coalesce("first", F.lit(True)).alias("first"))
     )
 
 
@@ -224,8 +238,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, less those whose component holds a smaller doc_id. Of rows that repeat a
-    kept doc_id with different texts, all stay; of exact repeats, all stay as well."""
-    kept = near_duplicates(docs).where("id = component").select("id", "th").distinct()
+    """The rows of `docs`, less those whose component holds a smaller doc_id. Of exact repeats of a
+    row one stays; rows without words all stay, but for such repeats. A component in which no row has
+    an id keeps one of its texts."""
+    kept = near_duplicates(docs).where("first and id = component").select("id", "th").distinct()
     whole = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"))
-    return whole.join(kept, ["id", "th"], "left_semi").select("row.*")
+    return whole.join(kept, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]).select("row.*")
