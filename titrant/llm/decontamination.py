@@ -26,11 +26,12 @@ def exact_words(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item, window): 10 consecutive words of each item, or all words of a shorter one."""
+    """(item, window): 10 consecutive words of each item, or all words of a shorter one. Items without
+    an id have windows like others; only lists of items leave them out."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), exact_words(F.col("text")).alias("w"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (WINDOW - 1), F.lit(1)))
     return (
-        items.where("item is not null and size(w) > 0")
+        items.where("size(w) > 0")
         .select("item", "w", F.explode(starts).alias("at"))
         .select("item", F.slice("w", F.col("at"), F.lit(WINDOW)).alias("window"))
         .distinct()
@@ -122,9 +123,10 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per row of `docs`: words, words inside a benchmark window, items, and the verdict.
 
-    A null or wordless text has no words and no hits; null or wordless items match nothing; items
-    of fewer than 10 words count as one window; repeated rows each get their row; an empty
-    benchmark leaves every text clean; other columns are not read.
+    A null or wordless text has no words and no hits; items with a null or wordless text match
+    nothing; windows of items without an id are hits and count as no item; items of fewer than 10
+    words count as one window; repeated rows and ids each get their row; long texts stream word by
+    word; an empty benchmark leaves every text clean; other columns are not read.
     """
     found = judged(docs, benchmark)
     sizes = docs.select(row_id().alias("id"), F.xxhash64("text").alias("th"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("bigint").alias("n_words"))
