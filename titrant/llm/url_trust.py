@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,7 +16,9 @@ RULES = (
     ("example.com/de/", "example.com", "/de/", "block"),
     ("org/fr/", "org", "/fr/", "allow"),
 )
-DAMPING, ROUNDS, LEAST = 0.85, 12, 1e-9
+#: A walk goes on with this probability. After k rounds DAMPING**k of every seed's mass is still on
+#: its way, whatever the graph, so the rounds follow from the share that may be.
+DAMPING, UNDECIDED = 0.85, 1e-3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: An absolute address in an attribute, up to the end of its host.
 _LINK = r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
@@ -42,8 +45,7 @@ def with_rule(pages: DataFrame, rules: Sequence[tuple[str, str, str, str]] = RUL
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(src, dst, w): links between different hosts, where w is the share of src's links, and
-    (src, dst, back): the same for links into dst. Counted per pair of hosts first, so pages of a
+    """(src, dst, n): links between different hosts. Counted per pair of hosts first, so pages of a
     host with very many pages meet before anything moves."""
     found = (
         pages.where("host <> ''")
@@ -54,25 +56,28 @@ def links(pages: DataFrame) -> DataFrame:
     return written(found, "url-links")
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after `rounds` of personalised PageRank.
+def propagate(edges: DataFrame, seeds: DataFrame, undecided: float = UNDECIDED) -> DataFrame:
+    """(host, trust, distrust) by personalised PageRank from `seeds` (kind, host, mass).
 
     Trust starts at trusted seeds and follows links; distrust starts at blocked seeds and goes
     against them, to who links there. Both walks are one table of directed, weighted steps, so one
-    join and one sum per round serve both. A walk that ends at a host without steps is not
-    restarted. Every fourth round is written, which cuts lineage and survives lost executors.
+    join and one sum per round serve both. A walk at a host without steps starts anew there, so no
+    mass is lost and the ranks of a kind add up to its seeds' mass. Ranks are linear in the seeds:
+    what one seed gives does not depend on how many others there are. Rounds go on until at most
+    `undecided` of each seed's mass has not settled. Every fourth round is written, which cuts
+    lineage and survives lost executors.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("all"))
     forward = edges.join(out, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("u"), F.col("dst").alias("v"), (F.col("n") / F.col("all")).alias("w"))
     against = edges.join(into, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("u"), F.col("src").alias("v"), (F.col("n") / F.col("all")).alias("w"))
     steps = written(forward.unionByName(against), "url-steps")
-    start = written(seeds.select("kind", F.col("host").alias("u"), "mass"), "url-seeds")
+    start = written(seeds.select("kind", F.col("host").alias("u"), F.col("mass").cast("double").alias("mass")), "url-seeds")
     rank, old = start.select("kind", "u", F.col("mass").alias("r")), None
-    if steps.isEmpty():
-        rounds = 0
+    rounds = 0 if steps.isEmpty() else math.ceil(math.log(undecided) / math.log(DAMPING))
     for i in range(1, rounds + 1):
-        moved = rank.join(steps, ["kind", "u"]).select("kind", F.col("v").alias("u"), (F.col("r") * F.col("w") * DAMPING).alias("r"))
+        moved = rank.join(steps, ["kind", "u"], "left").select(
+            "kind", F.coalesce("v", "u").alias("u"), (F.col("r") * F.coalesce("w", F.lit(1.0)) * DAMPING).alias("r"))
         rank = (
             moved.unionByName(start.select("kind", "u", (F.col("mass") * (1 - DAMPING)).alias("r")))
             .groupBy("kind", "u").agg(F.sum("r").alias("r"))
@@ -86,12 +91,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     return rank.groupBy(F.col("u").alias("host")).agg(pick("trust"), pick("distrust"))
 
 
-def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str, str]] = RULES, least: float = LEAST) -> DataFrame:
+def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str, str]] = RULES, margin: float = 1.0) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of `pages`.
 
-    Seeds are hosts by their pages that a rule allows or blocks, with mass in proportion to those
-    pages. A page without a rule is blocked if its host's distrust exceeds both `least` and its
-    trust; hosts out of reach of any seed are allowed.
+    Seeds are hosts by their pages that a rule allows or blocks, with one unit of mass per page. A
+    page without a rule is blocked if its host's distrust exceeds `margin` times its trust; hosts
+    out of reach of any seed are allowed. Neither changes with pages elsewhere, however many.
 
     A null url, or one without "://", has an empty host and path, no rule, and is allowed. Null or
     empty html has no links. Repeated pages each get their row; an empty table gives none; other
@@ -105,12 +110,11 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str, str]] = RULES,
     seeds = (
         ruled.where("host <> '' and rule is not null")
         .groupBy("host", F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("kind"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("mass"))
     )
-    totals = seeds.groupBy("kind").agg(F.sum("n").alias("all"))
-    spread = propagate(links(rows), seeds.join(totals, "kind").select("kind", "host", (F.col("n") / F.col("all")).alias("mass")))
+    spread = propagate(links(rows), seeds)
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    by_host = F.when((distrust > least) & (distrust > trust), "block").otherwise("allow")
+    by_host = F.when(distrust > margin * trust, "block").otherwise("allow")
     return ruled.drop("html").join(spread, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"),
         trust.alias("trust"), distrust.alias("distrust"),
