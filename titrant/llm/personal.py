@@ -18,9 +18,11 @@ PATTERNS = {
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 _TERM = r"\p{L}{3,}"
-#: A term discloses a value if knowing the term tells this share of the value's information, and
-#: both stand together in at least so many different lines.
-DISCLOSED, SUPPORT = 0.8, 3
+#: A term discloses a value if knowing the term tells this share of the value's information, even
+#: with the least probability that so many standard errors leave open.
+DISCLOSED, ERRORS = 0.8, 1.96
+#: Relative error of the number of different lines that hold a term.
+LINES_ERROR = 0.03
 #: Terms are counted over all texts in blocks of at most this many.
 BLOCK_TERMS = 50_000
 
@@ -85,14 +87,21 @@ def _entities(kind: str) -> Column:
     return F.transform(kind, lambda x: _entity(kind, x["v"]))
 
 
-def disclosing_terms(base: DataFrame, texts: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
+def least_share(j: Column, f: Column, errors: float = ERRORS) -> Column:
+    """The least probability that j of f cases leave open, by Wilson's interval."""
+    p, z = j / f, errors * errors
+    return (p + z / (2 * f) - errors * F.sqrt(p * (1 - p) / f + z / (4 * f * f))) / (1 + z / f)
+
+
+def disclosing_terms(base: DataFrame, texts: DataFrame, disclosed: float = DISCLOSED, errors: float = ERRORS) -> DataFrame:
     """(entity, term) where the term gives the protected value away.
 
-    Contexts are lines. With N lines, a term in f of them, a value in g, and both in j different
-    ones, the term tells log(N j / (f g)) of the log(N / g) that it would take to name the value.
-    Pairs of at least `support` different lines whose share reaches `disclosed` count. Lines with a
-    value are few and taken once each; a term's own lines are counted over all texts with repeats,
-    so that copies make a term look more common and never more telling.
+    Contexts are different lines, so copies change nothing. With N lines, a term in f of them, a
+    value in g, and both in j, the term names the value with probability j / f, or at least q, the
+    lower end of that share's confidence interval. It then tells log(N q / g) of the log(N / g) that
+    it would take to name the value, and discloses it where that share reaches `disclosed`. Few
+    cases widen the interval instead of being left out. f is counted by sketches that merge before
+    anything moves, the other numbers exactly.
     """
     lines = (
         base.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line"))
@@ -110,10 +119,10 @@ def disclosing_terms(base: DataFrame, texts: DataFrame, disclosed: float = DISCL
         "personal-lines",
     )
     values = told.select("lh", F.explode("entities").alias("entity"), "terms")
-    often = values.groupBy("entity").agg(F.count(F.lit(1)).alias("g")).where(F.col("g") >= support)
+    often = values.groupBy("entity").agg(F.count(F.lit(1)).alias("g"))
     joint = written(
         values.join(often, "entity").select("entity", "g", F.explode("terms").alias("term"))
-        .groupBy("entity", "g", "term").agg(F.count(F.lit(1)).alias("j")).where(F.col("j") >= support),
+        .groupBy("entity", "g", "term").agg(F.count(F.lit(1)).alias("j")),
         "personal-pairs",
     )
     wanted = joint.select("term").distinct()
@@ -121,20 +130,21 @@ def disclosing_terms(base: DataFrame, texts: DataFrame, disclosed: float = DISCL
     blocks = max(1, -(-n // BLOCK_TERMS))
     wanted = wanted.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(blocks)))
     every = texts.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line"))
-    own = every.select(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(_TERM), F.lit(0))).alias("terms"))
+    own = every.select(F.xxhash64("line").alias("lh"), F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(_TERM), F.lit(0))).alias("terms"))
     counted = None
     for block in range(blocks) if n else ():
         part = (
-            own.select(F.explode("terms").alias("term"))
+            own.select("lh", F.explode("terms").alias("term"))
             .join(F.broadcast(wanted.where(F.col("block") == block).select("term")), "term")
-            .groupBy("term").agg(F.count(F.lit(1)).alias("f"))
+            .groupBy("term").agg(F.approx_count_distinct("lh", LINES_ERROR).alias("f"))
         )
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
         return joint.select("entity", "term")
-    total = every.count()
-    tells = F.log(F.lit(float(total)) * F.col("j") / (F.col("f") * F.col("g")))
-    return joint.join(counted, "term").where(F.col("g") < total).where(tells >= disclosed * F.log(F.lit(float(total)) / F.col("g"))).select("entity", "term")
+    total = float(every.select(F.xxhash64("line")).distinct().count())
+    f = F.greatest("f", "j").cast("double")
+    tells = F.log(F.lit(total) * least_share(F.col("j"), f, errors) / F.col("g"))
+    return joint.join(counted, "term").where(F.col("g") < total).where(tells >= disclosed * F.log(F.lit(total) / F.col("g"))).select("entity", "term")
 
 
 def spans(docs: DataFrame) -> DataFrame:
