@@ -15,8 +15,8 @@ from titrant.llm.shared import back_to_id, row_id
 #: text stands in two windows.
 WINDOW, STRIDE = 32, 16
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN, ATTEND, NGRAM = 1 << 14, 1 << 14, 16, 8, 8, 5
-#: Training reads at most this many labelled rows of each class, with texts up to this length.
-TRAIN_TOXIC, TRAIN_OTHER, TRAIN_CHARS = 800, 1_600, 20_000
+#: Training reads at most this many labelled rows of each class, with whole texts of any length.
+TRAIN_TOXIC, TRAIN_OTHER = 800, 1_600
 #: Steps of training, the same at any number of rows; texts of a step; windows of a text that a step
 #: learns from besides the highest one.
 STEPS, BATCH, OTHER_WINDOWS = 320, 32, 6
@@ -286,8 +286,8 @@ def _in_fold(column: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     """Trains on a bounded sample: the labelled rows outside the held-out fold that come first by a
-    hash of doc_id, at most TRAIN_TOXIC and TRAIN_OTHER of them. The sample's size is fixed, so the
-    driver holds the same amount at any size of the tables."""
+    hash of doc_id, at most TRAIN_TOXIC and TRAIN_OTHER of them. The number of texts is fixed, so the
+    driver holds as many at any size of the tables."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~_in_fold()).select("doc_id", "toxic").distinct()
     picked = [
         known.where(F.col("toxic") == y).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(n)
@@ -296,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     sample = F.broadcast(picked[0].unionByName(picked[1]))
     rows = (
         docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        .where("text is not null").where(F.length("text") <= TRAIN_CHARS)
+        .where("text is not null")
         .join(sample, "doc_id").orderBy("doc_id", "text").limit(TRAIN_TOXIC + TRAIN_OTHER).collect()
     )
     return train([x["text"] for x in rows], np.array([x["toxic"] for x in rows], np.int64)) if rows else None
