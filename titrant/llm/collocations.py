@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from titrant.llm import kernels
-from titrant.llm.shared import by_batch, removed, written
+from titrant.llm.shared import by_batch, hash_filter, passing, written
 
 #: Longest phrase, fewest occurrences of one that counts, and phrases reported per language.
 LONGEST = 5
@@ -69,21 +69,7 @@ def frequent_pairs(docs: DataFrame, least: int = LEAST, bits: int = FILTER_BITS)
     """A filter of word pairs that occur at least `least` times in their language: one bit per place
     of a hash. It has no false negatives, and its size is fixed by `bits`."""
     seen = by_batch(docs, _pairs, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    place = F.pmod("h", F.lit(bits))
-    words = written(
-        seen.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {bits}L) & 63 as int))")).alias("held")),
-        "phrase-filter",
-    )
-    found = np.zeros(bits // 64, np.int64)
-    for row in words.toLocalIterator():
-        found[row.word] = row.held
-    removed(words)
-    return found.view(np.uint64)
-
-
-def _open(filter_: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    place = pairs.view(np.int64) % np.int64(len(filter_) * 64)
-    return (filter_[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
+    return hash_filter(seen, bits)
 
 
 def _words(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -109,7 +95,7 @@ def windows(docs: DataFrame, filter_: np.ndarray, longest: int = LONGEST) -> Dat
     def scan(batch: pa.RecordBatch):
         for part, starts, ends, goes_on, lang, names in _slabs(batch):
             ids, words = _words(part, starts, ends)
-            goes_on &= _open(filter_, _pair_hashes(part, starts, ends, lang, names))
+            goes_on &= passing(filter_, _pair_hashes(part, starts, ends, lang, names))
             lead, held = {"lang": lang.astype(np.int32), "w0": ids}, np.ones(len(ids), bool)
             for k in range(1, longest):
                 ahead, more = np.full(len(ids), -1, np.int32), np.zeros(len(ids), bool)
@@ -163,7 +149,10 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bi
     `score` is floor(1000 * a * n / (l * r)) at the cut that makes it least, the first of equal ones;
     it is computed in decimals of 38 digits, which hold 1000 * a * n up to 10**17 words a language.
     """
-    found = phrases(docs, least, longest, bits)
+    return _scored(phrases(docs, least, longest, bits))
+
+
+def _scored(found: DataFrame) -> DataFrame:
     named = found.withColumn("phrase", F.array_join("words", " "))
     f = named.where("k > 0").select("lang", "phrase", "f")
     candidates = named.where("k > 1").select("lang", "phrase", "words", "k", F.col("f").alias("a"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -76,3 +77,26 @@ def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordB
             yield from work(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def hash_filter(hashes: DataFrame, bits: int = 1 << 25) -> np.ndarray:
+    """One bit per place of the 64-bit hashes in column `h`: a filter without false negatives.
+
+    Its size is `bits`, whatever the number of hashes; a full one only lets more rows pass. Bits are
+    gathered in Spark, so the driver reads at most one number per 64 bits.
+    """
+    place = F.pmod("h", F.lit(bits))
+    held = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {bits}L) & 63 as int))")).alias("held")
+    )
+    found = np.zeros(bits // 64, np.int64)
+    for row in (words := written(held, "filter")).toLocalIterator():
+        found[row.word] = row.held
+    removed(words)
+    return found.view(np.uint64)
+
+
+def passing(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes a filter lets through."""
+    place = hashes.view(np.int64) % np.int64(len(held) * 64)
+    return (held[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
