@@ -19,7 +19,7 @@ WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN, ATTEND, NGRAM = 1 << 14, 1 << 14, 16, 8, 8,
 TRAIN_TOXIC, TRAIN_OTHER = 800, 1_600
 #: Steps of training, the same at any number of rows; texts of a step; windows of a text that a step
 #: learns from besides the highest one.
-STEPS, BATCH, OTHER_WINDOWS = 320, 32, 6
+STEPS, BATCH, OTHER_WINDOWS = 640, 32, 6
 
 _GAPS = np.ones(256, bool)
 _GAPS[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = False
