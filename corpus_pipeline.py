@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from titrant.llm import bottomk, decontamination, lines, mixing, toxicity
-from titrant.llm.shared import table, written
+from titrant.llm.shared import WORD, table, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one, nearly or exactly, go; n_chars follows the text. A document
     that thereby loses its last word goes as well; one that had none before stays."""
-    found = lines.cleaned(docs).where((F.col("n_removed") == 0) | (F.trim(F.coalesce("cleaned", F.lit(""))) != ""))
+    found = lines.cleaned(docs).where((F.col("n_removed") == 0) | F.col("cleaned").rlike(WORD))
     changed = F.col("n_removed") > 0
     new = {"text": F.col("cleaned"), "n_chars": F.when(changed, F.length("cleaned").cast("bigint")).otherwise(F.col("row.n_chars"))}
     return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
@@ -49,8 +49,8 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-#: A trained network and a hash-seeded selection cannot be written in SQL; tests compare each stage
-#: with a brute-force version.
+#: A trained network and a hash-seeded selection cannot be written in SQL; tests compare the run with
+#: brute-force versions of its stages.
 ORACLE_SQL = None
 
 
