@@ -33,13 +33,13 @@ def test_every_malformed_row_is_reported_on_its_line(spark, tmp_path):
 
 
 def test_blank_lines_stay_and_count(spark, tmp_path):
-    path = write(tmp_path, "1BRS,A,D,0.0,0,MKKAV,-2.0", "", "1brs,\"A, B\",D,1e1,+2,mk kav,NA")
+    path = write(tmp_path, "7QXP,C,H,4.5,1,WEDGE,-3.5", "", "7qxp,\"C, G\",H,25e-1,+6,we dge,NA")
     rows = csv_tables.read_strict(spark, path, C.DESIGNS.names).orderBy("line").collect()
     assert [r.line for r in rows] == [2, 3, 4]
     assert rows[1].pdb_id == "" and rows[2].net_charge_reported == "NA"
     parsed = C.parse_table(csv_tables.read_strict(spark, path, C.DESIGNS.names), C.DESIGNS, keep=["line"])
     good = {r.line: r for r in parsed.collect()}[4]
-    assert (good.pdb_id, good.designed_chain, good.beta, good.replicate, good.sequence) == ("1BRS", ["A", "B"], 10.0, 2, "MKKAV")
+    assert (good.pdb_id, good.designed_chain, good.beta, good.replicate, good.sequence) == ("7QXP", ["C", "G"], 2.5, 6, "WEDGE")
     with pytest.raises(ValueError, match="8 problem"):
         C.raise_on_errors(parsed, "line")
 
