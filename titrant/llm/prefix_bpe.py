@@ -21,10 +21,11 @@ from tokenizers import Regex, Tokenizer, pre_tokenizers
 from titrant.llm.shared import back_to_id, by_batch, keyed_texts, row_id
 
 #: Runs and words whose encoding a worker keeps, and border tests it keeps; both start anew when full.
-KEPT_RUNS, KEPT_BORDERS = 200_000, 300_000
+KEPT_RUNS, KEPT_BORDERS = 500_000, 1_000_000
 #: Characters that are split at spaces at once, so that a long text needs no list of its words.
 _AT_ONCE = 1_000_000
 _END = 256
+_MARKS = tuple(".,;:!?")
 
 
 def _byte_letters() -> list[str]:
@@ -144,21 +145,6 @@ class SuffixAutomaton:
             self.link[new] = to if self.size[to] == self.size[state] + 1 else self._split(state, symbol, to)
         return new
 
-    def longest(self, symbols: list[int]) -> Iterator[int]:
-        """For every place, the state of the longest token that ends there; `shorter` leads on to the
-        next shorter one, and 0 stands for none."""
-        go, link, size, near = self.go, self.link, self.size, self.near
-        state, length = 0, 0
-        for symbol in symbols:
-            while state and symbol not in go[state]:
-                state = link[state]
-                length = size[state]
-            to = go[state].get(symbol)
-            if to is not None:
-                state, length = to, length + 1
-            # What was read may be shorter than the longest string of its state.
-            yield near[state] if size[state] == length else near[link[state]]
-
 
 class Encoder:
     """Encodes words by the last token of each prefix; keeps what it has found within bounds."""
@@ -168,7 +154,7 @@ class Encoder:
         self.automaton = SuffixAutomaton(vocabulary.symbols)
         self.runs: dict[str, tuple[int, str, str]] = {}
         self.words: dict[str, list[int]] = {}
-        self.borders: dict[tuple[int, int], bool] = {}
+        self.borders: dict[int, bool] = {}
 
     def follows(self, left: int, right: int) -> bool:
         """Whether the encoding of the two tokens' joined text is these two tokens.
@@ -179,7 +165,7 @@ class Encoder:
         """
         if len(self.borders) >= KEPT_BORDERS:
             self.borders.clear()
-        known = self.borders[left, right] = self._follows(left, right)
+        known = self.borders[left << 20 | right] = self._follows(left, right)
         return known
 
     def _follows(self, left: int, right: int) -> bool:
@@ -204,16 +190,29 @@ class Encoder:
         if not symbols:
             return []
         symbols[-1] += _END
-        token, size, shorter = self.automaton.token, self.automaton.size, self.automaton.shorter
-        borders, follows = self.borders, self.follows
+        auto, borders, follows = self.automaton, self.borders, self.follows
+        go, link, size, near, shorter, token = auto.go, auto.link, auto.size, auto.near, auto.shorter, auto.token
         last: list[int] = []
         begins: list[int] = []
-        for place, state in enumerate(self.automaton.longest(symbols)):
+        at, length = 0, 0
+        for place, symbol in enumerate(symbols):
+            # The longest end of the prefix that occurs in some token, then the longest token in it.
+            to = go[at].get(symbol)
+            while to is None and at:
+                at = link[at]
+                length = size[at]
+                to = go[at].get(symbol)
+            if to is not None:
+                at = to
+                length += 1
+            # What was read may be shorter than the longest string of its state.
+            state = near[at] if size[at] == length else near[link[at]]
             while state:
                 right, begin = token[state], place - size[state]
                 if begin < 0:
                     break
-                known = borders.get((last[begin], right))
+                pair = last[begin] << 20 | right
+                known = borders.get(pair)
                 if known or (known is None and follows(last[begin], right)):
                     break
                 state = shorter[state]
@@ -221,10 +220,10 @@ class Encoder:
                 raise ValueError(f"no token ends at byte {place} of {word[:50]!r}")
             last.append(right)
             begins.append(begin)
-        found, at = [], len(last) - 1
-        while at >= 0:
-            found.append(last[at])
-            at = begins[at]
+        found, end = [], len(last) - 1
+        while end >= 0:
+            found.append(last[end])
+            end = begins[end]
         return found[::-1]
 
     def known(self, run: str) -> tuple[int, str, str]:
@@ -256,6 +255,14 @@ class Encoder:
 
     def _split(self, text: str) -> Iterator[str]:
         if text.isascii():
+            # Letters alone, or letters and one mark, need no pattern to part them.
+            if text.isalpha():
+                yield text.lower()
+                return
+            if text[:-1].isalpha() and text[-1:] in _MARKS:
+                yield text[:-1].lower()
+                yield text[-1]
+                return
             for match in self.vocabulary.pattern.finditer(text.lower()):
                 yield match[0]
             return
