@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
-from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -11,7 +11,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from titrant.llm import kernels
 from titrant.llm.shared import back_to_id, by_batch, keyed_texts, removed, row_id, written
 
 #: Longest run of words that is a feature, and the number of buckets that features hash to.
@@ -26,10 +25,13 @@ _AT_ONCE = 1 << 20
 _GAPS = regex.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def _grams(most: int) -> list:
-    """For each length a pattern whose overlapped matches are all runs of that many words: the
-    lookarounds let a match begin and end at word borders only."""
-    return [regex.compile(rb"(?<![^ ])[^ ]++(?: [^ ]++){%d}(?![^ ])" % (n - 1)) for n in range(1, most + 1)]
+def _grams(most: int) -> regex.Pattern:
+    """A pattern whose overlapped matches begin at every word; group n ends the run of n words, where
+    the text has as many. The lookarounds let it begin and end at word borders only."""
+    more = ""
+    for _ in range(most - 1):
+        more = rf"(?: ([^ ]++){more})?+"
+    return regex.compile(rf"(?<![^ ])([^ ]++){more}(?![^ ])".encode())
 
 
 def collapsed(text: str) -> bytes:
@@ -39,32 +41,43 @@ def collapsed(text: str) -> bytes:
 
 
 def spans(text: str, most: int = MOST_WORDS) -> Iterator[tuple[int, int]]:
-    """Where each feature stands in the collapsed text, shorter runs first."""
-    line = collapsed(text)
-    for pattern in _grams(most):
-        for match in pattern.finditer(line, overlapped=True):
-            yield match.span()
+    """Where each feature stands in the collapsed text."""
+    for match in _grams(most).finditer(collapsed(text), overlapped=True):
+        for n in range(1, most + 1):
+            if match.end(n) >= 0:
+                yield match.start(), match.end(n)
 
 
-def _counted(text: str | None, patterns: list, buckets: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+def _added(held: np.ndarray, hashes: array, buckets: int) -> np.ndarray:
+    counts = np.bincount(np.frombuffer(hashes, np.uint32) % np.uint32(buckets), minlength=buckets)
+    return held + counts if len(held) else counts
+
+
+def _counted(text: str | None, pattern: regex.Pattern, buckets: int) -> tuple[int, int, np.ndarray, np.ndarray]:
     """Words, features, and the buckets that hold features with how many each holds."""
-    line = collapsed(text or "")
-    n_words, total, parts = 0, 0, []
-    dense: np.ndarray | None = None
-    for n, pattern in enumerate(patterns):
-        hashes = (crc32(match[0]) for match in pattern.finditer(line, overlapped=True))
-        while len(part := np.fromiter(islice(hashes, _AT_ONCE), np.uint32)):
-            total += len(part)
-            n_words += len(part) if n == 0 else 0
-            parts.append(part % np.uint32(buckets))
-            if len(part) == _AT_ONCE:
-                held = np.bincount(np.concatenate(parts), minlength=buckets)
-                dense, parts = held if dense is None else dense + held, []
-    places, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-    if dense is not None:
-        dense[places] += counts
-        places = np.flatnonzero(dense)
-        counts = dense[places]
+    line = collapsed(text or "").strip(b" ")
+    total, held, hashes = 0, np.zeros(0, np.int64), array("I")
+    for match in pattern.finditer(line, overlapped=True):
+        # The CRC of a longer run carries on from that of the shorter one.
+        spans_ = match.regs
+        at, crc = spans_[0][0], 0
+        for _, end in spans_[1:]:
+            if end < 0:
+                break
+            crc = crc32(line[at:end], crc)
+            hashes.append(crc)
+            at = end
+        if len(hashes) >= _AT_ONCE:
+            total += len(hashes)
+            held = _added(held, hashes, buckets)
+            hashes = array("I")
+    total += len(hashes)
+    n_words = line.count(b" ") + 1 if line else 0
+    if len(held):
+        held = _added(held, hashes, buckets)
+        places = np.flatnonzero(held)
+        return n_words, total, places, held[places]
+    places, counts = np.unique(np.frombuffer(hashes, np.uint32) % np.uint32(buckets), return_counts=True)
     return n_words, total, places, counts
 
 
@@ -75,8 +88,8 @@ def features(docs: DataFrame, most: int = MOST_WORDS, buckets: int = BUCKETS) ->
     """
 
     def scan(batch: pa.RecordBatch):
-        patterns = _grams(most)
-        found = [_counted(text.as_py(), patterns, buckets) for text in batch["text"]]
+        pattern = _grams(most)
+        found = [_counted(text.as_py(), pattern, buckets) for text in batch["text"]]
         ends = pa.array(np.concatenate(([0], np.cumsum([len(f[2]) for f in found]))).astype(np.int32))
         flat = [np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in (2, 3)]
         yield pa.RecordBatch.from_arrays(
