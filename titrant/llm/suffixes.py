@@ -19,8 +19,9 @@ WINDOW, HEAD = 50, 25
 SPREAD = WINDOW - HEAD
 #: Bytes of text in a slab, of head prints in a bucket, and suffixes in a bucket.
 SLAB_BYTES, PRINT_BYTES, SUFFIXES = 2 << 20, 4 << 20, 100_000
-#: A head found in more slabs than this is dealt over many tasks.
-HOT_SLABS = 4_096
+#: A head with more suffixes than this is dealt over many tasks; so is one with more than a hundred
+#: thousandth of all, so that a list of such heads stays short.
+HOT_SUFFIXES, HOT_HEADS = 50_000, 100_000
 #: Suffixes whose leading bytes are sampled for splitters, at most.
 SAMPLE = 20_000
 _LOW = np.uint64((1 << 24) - 1)
@@ -87,12 +88,8 @@ def _recurring(group: pd.DataFrame) -> pd.DataFrame:
     """
     parts = [np.frombuffer(x, np.uint64) for x in group["prints"]]
     values, counts = np.unique(np.concatenate(parts), return_counts=True)
-    shared, hot = values[counts > 1], values[counts > HOT_SLABS]
-    return pd.DataFrame({
-        "slab": group["slab"].to_numpy(),
-        "known": [np.intersect1d(p, shared, assume_unique=True).tobytes() for p in parts],
-        "hot": [np.intersect1d(p, hot, assume_unique=True).tobytes() for p in parts] if len(hot) else [b""] * len(parts),
-    })
+    shared = values[counts > 1]
+    return pd.DataFrame({"slab": group["slab"].to_numpy(), "known": [np.intersect1d(p, shared, assume_unique=True).tobytes() for p in parts]})
 
 
 def _inside(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -101,10 +98,9 @@ def _inside(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
-def suffixes_of(ids: np.ndarray, ths: np.ndarray, texts: list[bytes], known: np.ndarray, hot: np.ndarray) -> pd.DataFrame:
+def suffixes_of(ids: np.ndarray, ths: np.ndarray, texts: list[bytes], known: np.ndarray) -> pd.DataFrame:
     """A row per sampled suffix of a slab that may recur: its text, its place, SPREAD bytes before it
     and WINDOW from it, and from how far back strings have it as anchor."""
-    out = []
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
     runs, seen = [], []
     for low, high in kernels.slabs(offsets, SLAB_BYTES):
@@ -131,12 +127,10 @@ def suffixes_of(ids: np.ndarray, ths: np.ndarray, texts: list[bytes], known: np.
     around = padded[place[:, None] + np.arange(SPREAD + WINDOW)[None]] if len(place) else np.zeros((0, SPREAD + WINDOW), np.uint8)
     flat = around.tobytes()
     width = SPREAD + WINDOW
-    out = pd.DataFrame({
+    return pd.DataFrame({
         "head": head.view(np.int64), "id": ids[owner], "th": ths[owner], "place": place - offsets[owner], "near": near, "far": far,
         "around": [flat[i * width : (i + 1) * width] for i in range(len(place))],
     })
-    out["hot"] = _inside(hot, head)
-    return out
 
 
 def multikey_order(keys: np.ndarray, least: int = 64) -> np.ndarray:
@@ -170,23 +164,51 @@ def _tokens(strings: np.ndarray) -> np.ndarray:
     return padded.view(">u8").astype(np.uint64)
 
 
+def _starts_of_runs(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+
+
 def covered(around: np.ndarray, ids: np.ndarray, near: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, distance) of every 50-byte string, given by how far it starts before its anchor, that
-    also stands in a text with a smaller id among the rows."""
-    rows, backs = [], []
+    also stands in a text with a smaller id among the rows.
+
+    One sort, from the anchor on and then by the bytes before it, brings equal rows together. Of
+    equal rows, those beyond the least id lose all their strings, and one stands for the others.
+    Only where such rows differ behind one head, as they do at the ends of a repeated passage, the
+    strings that they have at each distance are sorted and compared with their neighbours.
+    """
+    if not len(ids):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ahead, before = around[:, SPREAD:], around[:, :SPREAD]
+    keys = np.concatenate((_tokens(ahead), _tokens(before), near[:, None].astype(np.uint64), far[:, None].astype(np.uint64)), axis=1)
+    order = multikey_order(keys)
+    keys, own = keys[order], ids[order]
+    first = _starts_of_runs(keys)
+    of_class = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(own))))
+    least = np.minimum.reduceat(own, first)
+    later = own > least[of_class]
+    spans = (far - near + 1)[order[later]]
+    rows = [np.repeat(order[later], spans)]
+    backs = [np.repeat(near[order[later]] - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())]
+    # Classes of one head: tokens before the last one of the head agree, and its last byte.
+    heads = _tokens(ahead[:, :HEAD])[order][first]
+    head_of = np.cumsum(np.concatenate(([0], (heads[1:] != heads[:-1]).any(axis=1).astype(np.int64)))) if len(heads) else np.zeros(0, np.int64)
+    mixed = np.flatnonzero(np.bincount(head_of)[head_of] > 1)
+    members = np.split(order, first[1:])
+    leader = order[first]
     for back in range(SPREAD + 1):
-        some = np.flatnonzero((near <= back) & (back <= far))
+        some = mixed[(near[leader[mixed]] <= back) & (back <= far[leader[mixed]])]
         if len(some) < 2:
             continue
-        keys = _tokens(around[some, SPREAD - back : SPREAD - back + WINDOW])
-        order = multikey_order(keys)
-        keys, own = keys[order], ids[some][order]
-        first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
-        least = np.repeat(np.minimum.reduceat(own, first), np.diff(np.concatenate((first, [len(own)]))))
-        hit = some[order[least < own]]
-        rows.append(hit)
-        backs.append(np.full(len(hit), back))
-    return (np.concatenate(rows), np.concatenate(backs)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        strings = _tokens(around[leader[some], SPREAD - back : SPREAD - back + WINDOW])
+        placed = multikey_order(strings)
+        runs, low = _starts_of_runs(strings[placed]), least[some][placed]
+        lowest = np.repeat(np.minimum.reduceat(low, runs), np.diff(np.append(runs, len(low))))
+        for c in some[placed[lowest < low]]:
+            hit = members[c][ids[members[c]] == least[c]]
+            rows.append(hit)
+            backs.append(np.full(len(hit), back))
+    return np.concatenate(rows), np.concatenate(backs)
 
 
 def _rows_of(group: pd.DataFrame) -> np.ndarray:
@@ -242,11 +264,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     2. Suffixes are sampled at anchors, about one byte in 13. Prints of their heads travel in packed
        blocks, one block per slab of text and bucket, and tell which heads may recur.
     3. The suffixes that may recur, with what stands around them, are range-partitioned by their
-       leading bytes at splitters sampled from them. Each bucket is sorted by multikey quicksort,
-       once for each distance of a string from its anchor, so equal strings become neighbours and
-       the least id of each run decides. Splitters are whole heads, and equal strings have equal
-       heads, so no run crosses a border, except where a head is in too many slabs for one task:
-       the strings around such a head are compared across all tasks by one aggregation and a join.
+       leading bytes at splitters sampled from them. Each bucket is sorted by multikey quicksort, so
+       equal suffixes become neighbours and the least id of each run decides; where suffixes differ
+       behind one head, so are their strings at each distance from the anchor. Splitters are whole
+       heads, and equal strings have equal heads, so no run crosses a border, except where a head
+       has too many suffixes for one task: the strings around such a head are compared across all
+       tasks by one aggregation and a join.
 
     Null and empty texts have no bytes; texts under 50 bytes lose nothing. Rows that repeat an id
     do not remove each other's bytes; a missing id sorts last. Other columns are not read.
@@ -266,16 +289,19 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     )
     likely = written(slabbed, "suffix-texts")
     prints = by_batch(likely.select("slab", F.lit(buckets).alias("buckets"), "text"), _slabbed, "slab bigint, bucket bigint, prints binary")
-    known = written(prints.groupBy("bucket").applyInPandas(_recurring, "slab bigint, known binary, hot binary"), "suffix-known")
+    known = written(prints.groupBy("bucket").applyInPandas(_recurring, "slab bigint, known binary"), "suffix-known")
 
     def sampled(key, group: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["id", "th"])
-        known_, hot = (np.unique(np.frombuffer(b"".join(heads[c]), np.uint64)) for c in ("known", "hot"))
-        return suffixes_of(group["id"].to_numpy(), group["th"].to_numpy(), [t.encode() for t in group["text"]], known_, hot)
+        known_ = np.unique(np.frombuffer(b"".join(heads["known"]), np.uint64))
+        return suffixes_of(group["id"].to_numpy(), group["th"].to_numpy(), [t.encode() for t in group["text"]], known_)
 
-    schema = "head bigint, id bigint, th bigint, place bigint, near bigint, far bigint, around binary, hot boolean"
-    found = written(likely.groupBy("slab").cogroup(known.groupBy("slab")).applyInPandas(sampled, schema), "suffix-found")
+    schema = "head bigint, id bigint, th bigint, place bigint, near bigint, far bigint, around binary"
+    suffixes = written(likely.groupBy("slab").cogroup(known.groupBy("slab")).applyInPandas(sampled, schema), "suffix-found")
     removed(known)
+    most = F.greatest(F.lit(HOT_SUFFIXES).cast("bigint"), F.lit(suffixes.count() // HOT_HEADS))
+    hot = written(suffixes.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("head", F.lit(True).alias("hot")), "suffix-heads")
+    found = suffixes.join(F.broadcast(hot), "head", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     lead = F.substring("around", SPREAD + 1, HEAD)
     total = found.where("not hot").count()
     n = max(1, -(-total // SUFFIXES))
@@ -302,7 +328,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     least = strings.groupBy("string").agg(F.min("id").alias("least"))
     spread = strings.join(least, "string").where("least < id").groupBy("id", "th").agg(F.collect_set("start").alias("start"))
     starts = written(plain.unionByName(spread).groupBy("id", "th").agg(F.collect_list("start").alias("starts")), "suffix-starts")
-    removed(found, strings)
+    removed(suffixes, hot, strings)
     cut = written(
         by_batch(
             likely.select("id", "th", "text").join(starts, ["id", "th"]), _cut,
