@@ -176,3 +176,32 @@ def test_chain_matching_policies(spark):
     assert raised["low"].status == "identity too low"
     assert {r.k: r.chain_id for r in matching.match_chain(exports, chains, ["k"], "first").collect()}["two"] == "A"
     assert {r.k: r.chain_id for r in matching.match_chain(exports, chains, ["k"], prefer="B").collect()}["two"] == "B"
+
+
+def test_packed_bridges_equal_the_joined_ones(spark):
+    """Residues that stay in one row per structure are counted like those that meet in joins, without an exchange."""
+    from titrant.operators import threading as TH
+
+    rng = np.random.default_rng(11)
+    rows = [(k, c, p, "AKDERG"[rng.integers(6)], "CA" if rng.random() < 0.2 else "CB", *(float(v) / 4 for v in rng.integers(-40, 40, 3)))
+            for k in range(4) for c in "AB" for p in range(30 if k else 2)]
+    rows = [r if r[0] else (*r[:3], "A", *r[4:]) for r in rows]
+    df = spark.createDataFrame(rows, "structure int, chain string, pos int, aa string, atom string, x double, y double, z double").withColumn("altloc", F.lit(""))
+    cb, signed = S.threaded(df, df.select("structure", "chain", "pos", "aa"))
+    want = S.scoped_counts(S.opposite_pairs(cb, 6.0), S.charged_population(signed))
+    sign = F.when(F.col("aa").isin("K", "R"), 1).when(F.col("aa").isin("D", "E"), -1)
+    at = F.when(F.col("atom") == "CB", F.struct("x", "y", "z"))
+    packed = df.groupBy("structure").agg(F.collect_list(F.when(sign.isNotNull(), F.struct("chain", "pos", sign.alias("sign"), at.alias("at")))).alias("residues"))
+    got = TH.packed_bridges(packed, ["structure"], 6.0).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.where("n_bridges > 0").count() > 3
+
+
+def test_an_account_moves_words_of_positions_and_not_positions(spark):
+    from titrant.operators import threading as TH
+
+    designs = spark.createDataFrame([(1, "A" * 1000), (2, "A" * 1000), (3, "A" * 1000)], "d int, seq string")
+    places = spark.range(3000).select((F.col("id") % 3 + 1).cast("int").alias("d"), F.floor(F.col("id") / 3).alias("pos"))
+    places = places.withColumn("pos", F.when((F.col("d") == 2) & (F.col("pos") == 700), 699).when((F.col("d") == 3) & (F.col("pos") == 0), -1).otherwise(F.col("pos")))
+    accounts = TH.account(designs, places, "d")
+    assert {r.d: r.status[:7] for r in accounts.collect()} == {1: "threade", 2: "refused", 3: "refused"}
+    assert "count(distinct" not in accounts._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 THREADED = "threaded"
 
@@ -13,12 +17,17 @@ def account(sequences: DataFrame, positions: DataFrame, key: str, seq: str = "se
     A backbone is fixed, so letter i of a design stands at position i of it, and a design of another
     length would shift every residue by the difference: it is refused. So is one whose backbone is
     missing or has gaps or repeated positions; a backbone without a design is reported as well. Only
-    one count per backbone meets its design, however long either is. Designs that repeat a key are
-    refused together, since nothing says which of them the backbone carries.
+    one count per backbone meets its design, however long either is: positions are marked in words of
+    64 bits, whose ones are the different positions. Designs that repeat a key are refused together,
+    since nothing says which of them the backbone carries.
     """
     letters = sequences.groupBy(key).agg(F.max(F.length(seq)).alias("n_letters"), F.count(F.lit(1)).alias("_designs"))
-    places = positions.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_positions"), F.count_distinct("pos").alias("_distinct"), F.min("pos").alias("_low"), F.max("pos").alias("_high")
+    pos = F.col("pos").cast("bigint")
+    words = positions.select(key, pos.alias("pos"), F.floor(pos / 64).alias("_word"), F.expr("shiftleft(1L, cast(pmod(cast(pos as bigint), 64) as int))").alias("_bit"))
+    words = words.groupBy(key, "_word").agg(
+        F.count(F.lit(1)).alias("_n"), F.bit_or("_bit").alias("_bits"), F.min("pos").alias("_low"), F.max("pos").alias("_high"))
+    places = words.groupBy(key).agg(
+        F.sum("_n").alias("n_positions"), F.sum(F.bit_count("_bits")).alias("_distinct"), F.min("_low").alias("_low"), F.max("_high").alias("_high")
     )
     whole = (F.col("_distinct") == F.col("n_positions")) & (F.col("_low") == 0) & (F.col("_high") == F.col("n_positions") - 1)
     status = (
@@ -39,3 +48,68 @@ def threaded_letters(sequences: DataFrame, accounts: DataFrame, key: str, seq: s
     accepted = accounts.where(F.col("status") == THREADED).select(key)
     return sequences.join(accepted, key, "left_semi").select(key, F.posexplode(F.split(seq, "")).alias("pos", "aa")).select(
         key, F.col("pos").cast("bigint").alias("pos"), "aa")
+
+
+def charged_residues(letters: Column, chain: str, has_cb: Callable[[Column], Column], place: Callable[[Column], Sequence[Column]]) -> Column:
+    """The charged letters of a chain as an array of (chain, pos, sign, at). `has_cb` and `place` take
+    a position; `at` holds x, y and z, and is null for a residue without a CB atom."""
+    sign = lambda aa: F.when(aa.isin("K", "R"), 1).when(aa.isin("D", "E"), -1)
+    signed = F.filter(F.transform(letters, lambda aa, i: F.struct(i.cast("bigint").alias("pos"), sign(aa).alias("sign"))), lambda r: r["sign"].isNotNull())
+
+    def placed(r: Column) -> Column:
+        at = F.when(has_cb(r["pos"]), F.struct(*[c.alias(a) for c, a in zip(place(r["pos"]), "xyz", strict=True)]))
+        return F.struct(F.lit(chain).alias("chain"), r["pos"].alias("pos"), r["sign"].alias("sign"), at.alias("at"))
+
+    return F.transform(signed, placed)
+
+
+def _meeting(owner: np.ndarray, sign: np.ndarray, at: list[np.ndarray], cutoff: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of residues of opposite sign within the cutoff, each pair once. In the order of z a
+    residue is compared with the next one, the one after, and so on while they lie in reach, so the
+    work grows with the residues of one structure that are as close along that axis."""
+    order = np.lexsort((at[2], owner))
+    o, s, (x, y, z) = owner[order], sign[order], (c[order] for c in at)
+    i, step = np.arange(len(order)), 1
+    while len(i := i[i + step < len(order)]):
+        j = i + step
+        i = i[(o[i] == o[j]) & (z[j] - z[i] <= cutoff * 1.000001)]
+        j = i + step
+        dx, dy, dz = x[i] - x[j], y[i] - y[j], z[i] - z[j]
+        met = (s[i] != s[j]) & (dx * dx + dy * dy + dz * dz <= cutoff * cutoff)
+        yield order[i[met]], order[j[met]]
+        step += 1
+
+
+def packed_bridges(packed: DataFrame, keys: Sequence[str], cutoff: float = 6.0) -> DataFrame:
+    """(keys, scope, counts) from one row per structure with its `residues`, an array of different
+    residues as `charged_residues` makes it. Structures without a charged residue have no rows.
+
+    The same counts as `spatial.scoped_counts` of `spatial.opposite_pairs`, without a shuffle:
+    neither residues nor pairs leave the task that holds their structure.
+    """
+    names = ["n_cationic", "n_anionic", "n_charged", "n_opportunities", "n_bridges", "n_engaged"]
+
+    def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lists = batch["residues"]
+        sizes, flat, n = np.diff(lists.offsets.to_numpy().astype(np.int64)), lists.flatten(), len(lists)
+        owner, sign = np.repeat(np.arange(n), sizes), flat.field("sign").to_numpy(zero_copy_only=False)
+        chain = flat.field("chain").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        place = flat.field("at")
+        at = [place.field(a).to_numpy(zero_copy_only=False) for a in "xyz"]
+        stands = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+        bridges, engaged = np.zeros((2, n), np.int64), np.zeros((2, len(owner)), bool)
+        for i, j in _meeting(owner[stands], sign[stands], [c[stands] for c in at], cutoff):
+            i, j = stands[i], stands[j]
+            for scope, some in enumerate((slice(None), chain[i] != chain[j])):
+                bridges[scope] += np.bincount(owner[i[some]], minlength=n)
+                engaged[scope, i[some]] = engaged[scope, j[some]] = True
+        up, down = (np.bincount(owner[sign == s], minlength=n) for s in (1, -1))
+        some = pa.array(sizes > 0)
+        for scope, label in enumerate(("all", "cross_chain")):
+            numbers = [up, down, up + down, up * down, bridges[scope], np.bincount(owner[engaged[scope]], minlength=n)]
+            columns = [*(batch[k] for k in keys), pa.array([label] * n), *(pa.array(v.astype(np.int64)) for v in numbers)]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "scope", *names]).filter(some)
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.select(*keys).schema)
+    counts = ", ".join(f"{n} bigint" for n in names)
+    return packed.select(*keys, "residues").mapInArrow(lambda batches: (c for b in batches for c in count(b)), f"{shape}, scope string, {counts}")
