@@ -203,3 +203,25 @@ def test_ranges_do_not_change_a_median(spark, monkeypatch):
     one = O.medians(df, ["g"], ["v"]).first().median
     monkeypatch.setattr(O, "SMALL", 0)
     assert O.medians(df, ["g"], ["v"]).first().median == one
+
+
+def test_a_column_aggregate_gives_the_same_in_blocks_and_rows(spark, monkeypatch):
+    """Its draws are made from arrays as well, and never joined by slot; packs and batches of any size agree."""
+    df = spark.range(70).select((F.col("id") % 2).alias("g"), F.col("id").alias("u"), (F.col("id") * 7 % 31).cast("double").alias("v"))
+    run = lambda: B.bootstrap_interval(df, ["g"], "v", "u", n_resamples=40, statistic=F.stddev_pop)
+    monkeypatch.setattr(B, "PACKED", 16)
+    monkeypatch.setattr(B, "EMITTED", 10)
+    monkeypatch.setattr(B, "draws", None)
+    blocks = sorted(tuple(r) for r in run().collect())
+    monkeypatch.undo()
+    monkeypatch.setattr(B, "BROADCAST_UNITS", 0)
+    assert [tuple(map(pytest.approx, r)) for r in sorted(tuple(r) for r in run().collect())] == blocks
+
+
+def test_many_units_in_small_groups_are_drawn_in_blocks(spark, monkeypatch):
+    """The largest group decides, not the units of all groups together."""
+    df = spark.range(60).select((F.col("id") % 6).alias("g"), F.col("id").alias("u"), (F.col("id") * 7 % 31).cast("double").alias("v"))
+    want = sorted(tuple(r) for r in B.bootstrap_interval(df, ["g"], "v", "u", n_resamples=20).collect())
+    monkeypatch.setattr(B, "BROADCAST_UNITS", 10)
+    monkeypatch.setattr(B, "draws", None)
+    assert sorted(tuple(r) for r in B.bootstrap_interval(df, ["g"], "v", "u", n_resamples=20).collect()) == want
