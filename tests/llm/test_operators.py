@@ -256,6 +256,24 @@ def test_families_of_lines(spark, monkeypatch, chunk):
     assert got <= want and len(want - got) <= 1 and len(want) > 60
 
 
+def test_lines_on_both_sides_of_long(spark):
+    """A line that counts as short meets one that counts as long, also where the long one repeats itself."""
+    r, pairs = random.Random(21), []
+    for extra in (4, 8, 16, 30):
+        a = "".join(r.choice("abcdefghijklmnop") for _ in range(lines.LONG + lines.SHINGLE - 3))
+        pairs += [(a, a + "".join(r.choice("qrstuv") for _ in range(extra)))]
+    word = "".join(r.choice("abcdefghijklmnop") for _ in range(30))
+    pairs.append((word * 2, word * 40))
+    counts = [[len(x) - lines.SHINGLE + 1 >= lines.LONG for x in pair] for pair in pairs]
+    assert counts == [[False, True]] * len(pairs)
+    met = lines.band_keys([a for a, _ in pairs]) == lines.band_keys([b for _, b in pairs])
+    assert met.any(axis=1).filled(False).all()
+    far = "".join(r.choice("abcdefghijklmnop") for _ in range(400))
+    assert lines.band_keys([far]).count() == lines.BANDS
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(x for pair in pairs for x in pair)], "doc_id bigint, text string")
+    assert {x.id for x in lines.repeated_lines(docs).collect()} == set(range(1, 2 * len(pairs), 2))
+
+
 def test_lines_from_three_quarters_on(spark):
     r, pairs = random.Random(8), []
     shingles = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}

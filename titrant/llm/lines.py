@@ -29,7 +29,8 @@ CHUNK = 128
 _BINS = BANDS * ROWS
 #: From this many shingles on a line is long: one hash function fills its bins, and its sketch holds 4
 #: bits of each of its 64 least hashes. Below, each bin has a hash function, and the sketch is the
-#: parity of its shingles in each of 256 places.
+#: parity of its shingles in each of 256 places. Lines on both sides of this limit can be similar, so
+#: the long ones of them have the band keys of a short line besides their own.
 LONG = 128
 #: Bins of 64 that long lines must agree in, by 4 bits each, to be compared exactly. At a similarity
 #: of 0.75 that many more than 49 are expected; 32 is five standard deviations below.
@@ -78,21 +79,44 @@ def _binned(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return least
 
 
+def _hashed(values: np.ndarray, owner: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For wanted lines: the least value of each of as many hash functions as there are bins."""
+    out = np.zeros((len(counts), _BINS), np.uint64)
+    rest = values[wanted[owner]]
+    some = np.flatnonzero(wanted & (counts > 0))
+    if len(some):
+        starts = np.concatenate(([0], np.cumsum(counts[some])[:-1]))
+        for k in range(_BINS):
+            out[some, k] = np.minimum.reduceat((rest ^ _FLIP[k]) * _TIMES[k], starts)
+    return out
+
+
+def _told(least: np.ndarray) -> np.ndarray:
+    return kernels.mix(least + np.arange(_BINS, dtype=np.uint64))
+
+
 def signatures(values: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The least hashes of each line's shingles. Short lines would leave most bins empty, and bins
     that borrow from one neighbour agree together, so they get as many hash functions instead."""
-    out = np.zeros((len(counts), _BINS), np.uint64)
     long = counts >= LONG
     number = np.cumsum(long) - 1
     some = long[owner]
+    out = _hashed(values, owner, counts, ~long)
     out[long] = _binned(values[some], number[owner[some]], int(long.sum()))
-    rest = values[~some]
-    short = np.flatnonzero(~long & (counts > 0))
-    if len(short):
-        starts = np.concatenate(([0], np.cumsum(counts[short])[:-1]))
-        for k in range(_BINS):
-            out[short, k] = np.minimum.reduceat((rest ^ _FLIP[k]) * _TIMES[k], starts)
-    return kernels.mix(out + np.arange(_BINS, dtype=np.uint64))
+    return _told(out)
+
+
+def _within_reach(values: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Which long lines can be similar to a short one: those that may hold no more different shingles
+    than a short line's over the similarity. Hashed places hold no more than there are different
+    shingles, so none of them is missed."""
+    out = counts >= LONG
+    number = np.cumsum(out) - 1
+    some = out[owner]
+    held = np.zeros((int(out.sum()), 1024), bool)
+    held[number[owner[some]], (values[some] >> np.uint64(20)).astype(np.int64) & 1023] = True
+    out[out] = held.sum(axis=1) <= (LONG - 1) / SIMILARITY
+    return out
 
 
 def _keys(least: np.ndarray) -> np.ndarray:
@@ -102,9 +126,24 @@ def _keys(least: np.ndarray) -> np.ndarray:
     return kernels.mix((grouped * odd[:ROWS, None]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """The band keys of lines of at least SHINGLE characters, one row each."""
-    return _keys(signatures(*_shingled(lines)))
+def _all_keys(values: np.ndarray, owner: np.ndarray, counts: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, whether a line has them): two for each band, one from either kind of signature. Long
+    lines that can be similar to a short one have both, so lines meet wherever the limit between
+    short and long lies; others have the key of their own kind."""
+    long, both = counts >= LONG, _within_reach(values, owner, counts)
+    keys, own = np.zeros((len(counts), BANDS, 2), np.uint64), _keys(least)
+    keys[~long, :, 0], keys[long, :, 1] = own[~long], own[long]
+    if both.any():
+        keys[both, :, 0] = _keys(_told(_hashed(values, owner, counts, both)[both]))
+    held = np.repeat(np.stack([~long | both, long], axis=1)[:, None], BANDS, axis=1)
+    return keys.reshape(-1, 2 * BANDS), held.reshape(-1, 2 * BANDS)
+
+
+def band_keys(lines: list[str]) -> np.ma.MaskedArray:
+    """The band keys of lines of at least SHINGLE characters, one row each; keys that a line lacks are masked."""
+    shingled = _shingled(lines)
+    keys, held = _all_keys(*shingled, signatures(*shingled))
+    return np.ma.array(keys, mask=~held)
 
 
 def _sketches(values: np.ndarray, owner: np.ndarray, counts: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,15 +217,17 @@ def _signed(min_chars: int):
             wide = np.array([x[3] for x in part])
             values, owner, counts = _shingled([x[2] for x in part if x[3]])
             least = signatures(values, owner, counts)
-            sizes, sketch, keys = np.zeros(len(part), np.int64), np.zeros((len(part), 4), np.uint64), _keys(least)
+            sizes, sketch, (keys, held) = np.zeros(len(part), np.int64), np.zeros((len(part), 4), np.uint64), _all_keys(values, owner, counts, least)
             sizes[wide], sketch[wide] = _sketches(values, owner, counts, least)
-            ends = np.concatenate(([0], np.cumsum(wide * BANDS))).astype(np.int32)
+            of_line = np.zeros(len(part), np.int64)
+            of_line[wide] = held.sum(axis=1)
+            ends = np.concatenate(([0], np.cumsum(of_line))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["id"].take(of), batch["th"].take(of), pa.array([x[1] for x in part], pa.int32()),
                     pa.array([n[0] for n in names], pa.int64()), pa.array([n[1] for n in names], pa.int64()), pa.array(sizes.astype(np.int32)),
                     *(pa.array(np.ascontiguousarray(sketch[:, k]).view(np.int64)) for k in range(4)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64).ravel())),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[held].view(np.int64))),
                 ],
                 ["id", "th", "line", "c", "c2", "n", *_SKETCH, "keys"],
             )
@@ -368,8 +409,11 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: i
     places = written(found.select("id", "th", "line", "c"), "line-places")
     removed(found)
     wide = classes.where("one and n > 0")
+    # One key for each band, or two beside each other.
+    kinds_held = (F.size("keys") / BANDS).cast("int")
     rounds = [
-        written(_met(wide.withColumn("keys", F.slice("keys", low + 1, ROUND)), similarity), "line-buckets") for low in range(0, BANDS, ROUND)
+        written(_met(wide.withColumn("keys", F.slice("keys", kinds_held * low + 1, kinds_held * ROUND)), similarity), "line-buckets")
+        for low in range(0, BANDS, ROUND)
     ]
     met = functools.reduce(DataFrame.unionByName, rounds)
     stars = written(
