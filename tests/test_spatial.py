@@ -205,3 +205,17 @@ def test_an_account_moves_words_of_positions_and_not_positions(spark):
     accounts = TH.account(designs, places, "d")
     assert {r.d: r.status[:7] for r in accounts.collect()} == {1: "threade", 2: "refused", 3: "refused"}
     assert "count(distinct" not in accounts._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_every_point_is_copied_to_eight_cells(spark):
+    """Also where it or its partner stands on the side of a cell; each pair at the reach appears once."""
+    reach = 3.0
+    side = 2 * reach * 1.000001
+    rng = np.random.default_rng(3)
+    xs = [k * side + d for k in (-2, 0, 1) for d in (0.0, reach, -reach, reach * 1e-6)]
+    points = [(0, i, *(float(v) for v in rng.choice(xs, 3))) for i in range(80)]
+    df = spark.createDataFrame(points, "s int, i int, x double, y double, z double")
+    assert S.with_near_cells(df, reach).groupBy("i").count().where("count <> 8").isEmpty()
+    got = S.grid_join(df, df.withColumnRenamed("i", "j"), reach, ["s"]).select("i", "j").collect()
+    want = [(a[1], b[1]) for a, b in itertools.product(points, points) if sum((p - q) ** 2 for p, q in zip(a[2:], b[2:])) <= reach * reach]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > len(points)

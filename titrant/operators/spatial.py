@@ -38,20 +38,20 @@ def _cells(df: DataFrame, prefix: str, size: float) -> DataFrame:
 
 
 def with_cells(df: DataFrame, reach: float) -> DataFrame:
-    """The cell of each row. Cells are a hair wider than the reach, so that a partner exactly at
-    the reach is never two cells away through rounding."""
-    return _cells(df, "", reach * 1.000001)
+    """The cell of each row. Cells are a hair wider than twice the reach, so that a partner exactly at
+    the reach is never lost through rounding."""
+    return _cells(df, "", 2 * reach * 1.000001)
 
 
 def with_near_cells(df: DataFrame, reach: float) -> DataFrame:
-    """Each row once per cell within one step of its own, coordinates renamed to o_x, o_y, o_z."""
-    out = _cells(df, "", reach * 1.000001)
+    """Each row once per cell that its reach touches, coordinates renamed to o_x, o_y, o_z. A reach to
+    both sides is as long as one cell, so it touches two along each axis and eight in all."""
+    wide, out = reach * 1.000001, df
     for a in AXES:
-        out = out.withColumnRenamed(a, f"o_{a}")
-    out = out.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(26))))
-    steps = {"x": F.floor(F.col("_k") / 9), "y": F.floor(F.col("_k") / 3) % 3, "z": F.col("_k") % 3}
-    for a in AXES:
-        out = out.withColumn(f"_c{a}", (F.col(f"_c{a}") + steps[a] - 1).cast("int"))
+        out = out.withColumn(f"_c{a}", F.floor((F.col(a) - wide) / (2 * wide)).cast("int")).withColumnRenamed(a, f"o_{a}")
+    out = out.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    for k, a in enumerate(AXES):
+        out = out.withColumn(f"_c{a}", F.col(f"_c{a}") + F.shiftright("_k", k).bitwiseAND(F.lit(1)))
     return out.drop("_k")
 
 
@@ -62,7 +62,7 @@ def grid_join(
     """Pairs within `reach` (inclusive), each once: an equi join on (keys, cell).
 
     A structure of any size spreads over its cells; only the smaller side should be `right`, which
-    is copied to 27 cells. Columns of `right` other than keys must not clash with `left`.
+    is copied to 8 cells. Columns of `right` other than keys must not clash with `left`.
     """
     cells = [f"_c{a}" for a in AXES]
     near = squared_distance() <= reach * reach if limit is None else limit
