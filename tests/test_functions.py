@@ -105,3 +105,12 @@ def test_regions_add_up(spark):
     parts = r.charge_interface_ph7_4_emboss + r.charge_surface_ph7_4_emboss + r.charge_core_ph7_4_emboss
     whole = spark.createDataFrame([(seq,)], "s string").select(Q.net_charge_ph(F.col("s"))).first()[0]
     assert math.isclose(parts, r.charge_total_ph7_4_emboss) and math.isclose(parts, whole)
+
+
+def test_letters_are_counted_without_translate(spark):
+    from titrant.functions.charge import count_letters
+
+    rows = [("KKRDé",), ("",), (None,), ("xyzK",)]
+    df = spark.createDataFrame(rows, "s string").select("s", count_letters(F.col("s"), "KRK").alias("n"), count_letters(F.col("s"), "éK").alias("m"))
+    assert [(r.n, r.m) for r in df.collect()] == [(3, 3), (0, 0), (None, None), (1, 1)]
+    assert "translate" not in df._jdf.queryExecution().optimizedPlan().toString()

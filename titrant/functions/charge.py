@@ -11,8 +11,10 @@ from titrant.params import ChargeParams
 
 
 def count_letters(seq: Column, letters: str) -> Column:
-    """How many characters of `seq` are in `letters`; stays in generated code, no explode."""
-    return F.length(seq) - F.length(F.translate(seq, letters, ""))
+    """How many characters of `seq` are in `letters`; stays in generated code, no explode. A letter is
+    searched for as bytes, which `translate` would look up one character at a time."""
+    size = F.octet_length if letters.isascii() else F.length
+    return sum((size(seq) - size(F.replace(seq, F.lit(a), F.lit(""))) for a in dict.fromkeys(letters)), F.lit(0))
 
 
 def residue_charge_simple(aa: Column) -> Column:
