@@ -425,3 +425,22 @@ def test_toxicity(spark, docs):
     assert np.mean([got[i].predicted == (i % 4 == 0) for i in held]) >= 0.9
     assert got[1000].score == got[1001].score == 0.0
     assert all(x.score == 0 for x in toxicity.digest(texts, labels.limit(0)).collect())
+
+
+def test_collocation_scan_is_small():
+    """Arrays of a scan follow a slab of bounded size and not the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from titrant.llm import collocations
+
+    r = random.Random(1)
+    texts = [" ".join(str(r.randrange(10_000)) for _ in range(25_000)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 40), pa.array(texts)], ["lang", "text"])
+    sum(x.num_rows for x in collocations._pairs(batch))
+    tracemalloc.start()
+    total = sum(sum(x["n"].to_pylist()) for x in collocations._pairs(batch))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 40 * (25_000 - 1) and peak < 50e6

@@ -20,6 +20,8 @@ NO_LANG = "und"
 #: Bits of the filter of frequent pairs: 4 MB at any size of the corpus. A full one lets more windows
 #: through and changes no count.
 FILTER_BITS = 1 << 25
+#: Bytes of text that a task works on at once; its arrays take some 40 times as much.
+SLAB_BYTES = 1 << 20
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[ord(c) for c in ".,;:!?"] + list(range(0x0A, 0x0E))] = True
@@ -35,14 +37,14 @@ def _slabs(batch: pa.RecordBatch) -> Iterator[tuple]:
     langs = batch["lang"].fill_null(NO_LANG).dictionary_encode()
     number = langs.indices.to_numpy(zero_copy_only=False)
     data, offsets = kernels.text_bytes(batch["text"])
-    for low, high in kernels.slabs(offsets):
+    for low, high in kernels.slabs(offsets, SLAB_BYTES):
         cut = offsets[low : high + 1]
         part, cut = _LOWER[data[cut[0] : cut[-1]]], cut - cut[0]
         starts, ends, first = kernels.word_spans(part, cut, _GAPS)
         if not len(starts):
             continue
         # The number of breaks before a place: words with equal numbers stand in one piece.
-        breaks = np.concatenate(([0], np.cumsum(_BREAKS[part], dtype=np.int64)))
+        breaks = np.concatenate(([0], np.cumsum(_BREAKS[part], dtype=np.int32)), dtype=np.int32)
         goes_on = np.zeros(len(starts), bool)
         goes_on[:-1] = breaks[starts[1:]] == breaks[ends[:-1]]
         last = first[1:][first[1:] > first[:-1]] - 1
