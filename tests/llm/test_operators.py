@@ -444,3 +444,28 @@ def test_collocation_scan_is_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert total == 40 * (25_000 - 1) and peak < 50e6
+
+
+def test_suffix_buckets_are_arrow():
+    """A bucket in several parts, one of them a slice, against the strings written out."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    around = [bytes(r.choice(b"ab") for _ in range(2)) * 12 + b"x" + bytes(50) for _ in range(40)]
+    ids = [i % 9 for i in range(40)]
+    t = pa.table({
+        "id": pa.array(ids, pa.int64()), "th": pa.array([i * 7 for i in ids], pa.int64()), "place": pa.array(range(100, 140), pa.int64()),
+        "near": pa.array([0] * 40, pa.int64()), "far": pa.array([3] * 40, pa.int64()), "around": pa.array(around, pa.binary()),
+    })
+    whole = pa.concat_tables([t.slice(0, 11), t.slice(11)])
+    want, strings = {}, {}
+    for i in range(40):
+        for back in range(4):
+            strings.setdefault(around[i][25 - back : 75 - back], []).append((ids[i], 100 + i - back))
+    for found in strings.values():
+        for i, start in found:
+            if i > min(found)[0]:
+                want.setdefault(i, set()).add(start)
+    got = suffixes._bucket(whole).to_pylist()
+    assert {x["id"]: set(x["start"]) for x in got} == want and all(x["th"] == 7 * x["id"] for x in got)
+    assert suffixes._bucket(t.slice(0, 1)).num_rows == 0

@@ -7,6 +7,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from titrant.llm import kernels
@@ -19,6 +20,8 @@ WINDOW, HEAD = 50, 25
 SPREAD = WINDOW - HEAD
 #: Bytes of text in a slab, of head prints in a bucket, and suffixes in a bucket.
 SLAB_BYTES, PRINT_BYTES, SUFFIXES = 2 << 20, 4 << 20, 100_000
+#: Bytes of text that are hashed at once, so that their arrays stay in the processor's cache.
+HASHED_BYTES = 1 << 18
 #: A head with more suffixes than this is dealt over many tasks; so is one with more than a hundred
 #: thousandth of all, so that a list of such heads stays short.
 HOT_SUFFIXES, HOT_HEADS = 50_000, 100_000
@@ -54,12 +57,12 @@ def _slabbed(batch: pa.RecordBatch):
     for cut in np.split(np.arange(len(slab)), np.flatnonzero(np.diff(slab)) + 1) if len(slab) else ():
         found = []
         # A very long text is hashed in pieces that overlap by all but one byte of a string.
-        for low, high in kernels.slabs(offsets[cut[0] : cut[-1] + 2] - offsets[cut[0]], SLAB_BYTES):
+        for low, high in kernels.slabs(offsets[cut[0] : cut[-1] + 2] - offsets[cut[0]], HASHED_BYTES):
             base = offsets[cut[0] + low]
             whole, inner = data[base : offsets[cut[0] + high]], offsets[cut[0] + low : cut[0] + high + 1] - base
             for piece, edges in pieces(whole, inner):
                 heads, _, _, at = anchors(piece, edges)
-                found.append(np.unique(heads[np.unique(at)]))
+                found.append(np.unique(heads[at[_starts_of_runs(at[:, None])]] if len(at) else heads[:0]))
         prints = np.unique(np.concatenate(found))
         of = (prints >> np.uint64(40)).astype(np.int64) * buckets >> 24
         edges = np.searchsorted(of, np.arange(buckets + 1))
@@ -103,7 +106,7 @@ def suffixes_of(ids: np.ndarray, ths: np.ndarray, texts: list[bytes], known: np.
     and WINDOW from it, and from how far back strings have it as anchor."""
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
     runs, seen = [], []
-    for low, high in kernels.slabs(offsets, SLAB_BYTES):
+    for low, high in kernels.slabs(offsets, HASHED_BYTES):
         inner = offsets[low : high + 1] - offsets[low]
         done = 0
         for piece, edges in pieces(data[offsets[low] : offsets[high]], inner):
@@ -211,41 +214,66 @@ def covered(around: np.ndarray, ids: np.ndarray, near: np.ndarray, far: np.ndarr
     return np.concatenate(rows), np.concatenate(backs)
 
 
-def _rows_of(group: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(group["around"]), np.uint8).reshape(len(group), SPREAD + WINDOW)
+def _rows_of(group: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """The `around` column as rows of bytes; all of its values have one width."""
+    parts = group["around"].chunks if isinstance(group, pa.Table) else [group["around"]]
+    width, flat = SPREAD + WINDOW, []
+    for part in parts:
+        if len(part):
+            kind = np.int64 if pa.types.is_large_binary(part.type) else np.int32
+            _, places, data = part.buffers()
+            low = int(np.frombuffer(places, kind, 1, part.offset * np.dtype(kind).itemsize)[0])
+            flat.append(np.frombuffer(data, np.uint8, len(part) * width, low))
+    return np.concatenate([np.zeros(0, np.uint8), *flat]).reshape(-1, width)
 
 
-def _bucket(group: pd.DataFrame) -> pd.DataFrame:
+def _bucket(group: pa.Table) -> pa.Table:
     """The starts of covered strings in one range of suffixes, a list per text."""
-    hit, back = covered(_rows_of(group), group["id"].to_numpy(), group["near"].to_numpy(), group["far"].to_numpy())
-    found = pd.DataFrame({"id": group["id"].to_numpy()[hit], "th": group["th"].to_numpy()[hit], "start": group["place"].to_numpy()[hit] - back})
-    return found.groupby(["id", "th"], as_index=False)["start"].agg(list) if len(found) else pd.DataFrame({"id": [], "th": [], "start": []})
+    ids, ths, places, near, far = (group[c].to_numpy() for c in ("id", "th", "place", "near", "far"))
+    hit, back = covered(_rows_of(group), ids, near, far)
+    order = np.lexsort((ths[hit], ids[hit]))
+    id_, th, start = ids[hit][order], ths[hit][order], (places[hit] - back)[order]
+    first = _starts_of_runs(np.stack((id_, th), axis=1)) if len(id_) else np.zeros(0, np.int64)
+    ends = np.append(first, len(id_)).astype(np.int32)
+    return pa.table({"id": id_[first], "th": th[first], "start": pa.ListArray.from_arrays(pa.array(ends), pa.array(start))})
 
 
-def _strings(batches):
+def _strings(batch: pa.RecordBatch):
     """Hot suffixes: a row per 50-byte string."""
-    for group in batches:
-        around, n = _rows_of(group), np.arange(len(group))
-        for back in range(SPREAD + 1):
-            some = n[(group["near"].to_numpy() <= back) & (back <= group["far"].to_numpy())]
-            part = group.iloc[some]
-            yield pd.DataFrame({
-                "string": [around[i, SPREAD - back : SPREAD - back + WINDOW].tobytes() for i in some],
-                "id": part["id"].to_numpy(), "th": part["th"].to_numpy(), "start": part["place"].to_numpy() - back,
-            })
+    around = _rows_of(batch)
+    place, near, far = (batch[c].to_numpy() for c in ("place", "near", "far"))
+    for back in range(SPREAD + 1):
+        some = np.flatnonzero((near <= back) & (back <= far))
+        strings = np.ascontiguousarray(around[some, SPREAD - back : SPREAD - back + WINDOW])
+        ends = np.arange(len(some) + 1, dtype=np.int32) * np.int32(WINDOW)
+        which = pa.array(some)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(strings)]),
+                batch["id"].take(which), batch["th"].take(which), pa.array(place[some] - back),
+            ],
+            ["string", "id", "th", "start"],
+        )
 
 
 def _cut(batch: pa.RecordBatch):
     """What is left of each text without the bytes of its covered strings."""
     removed_, spans, shas, kept = [], [], [], []
-    for text, lists in zip(batch["text"].to_pylist(), batch["starts"].to_pylist(), strict=True):
-        raw = text.encode()
-        edge = np.zeros(len(raw) + 1, np.int64)
-        starts = np.unique(np.concatenate([np.array(x, np.int64) for x in lists]))
-        edge[starts] += 1
-        edge[starts + WINDOW] -= 1
-        gone = np.cumsum(edge)[:-1] > 0
-        rest = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+    data, offsets = kernels.text_bytes(batch["text"])
+    # Lists of lists of starts, as one array and where those of each text begin.
+    inner = batch["starts"].flatten()
+    flat = inner.flatten().to_numpy()
+    lists = np.concatenate(([0], np.cumsum(pc.list_value_length(batch["starts"]).to_numpy())))
+    ends = np.concatenate(([0], np.cumsum(pc.list_value_length(inner).to_numpy())))[lists]
+    for i in range(len(batch)):
+        raw = data[offsets[i] : offsets[i + 1]]
+        edge, starts = np.zeros(len(raw) + 1, np.int8), flat[ends[i] : ends[i + 1]]
+        # Sums up to WINDOW at a place, since each start counts once.
+        edge[starts] = 1
+        after = np.zeros(len(raw) + 1, np.int8)
+        after[starts + WINDOW] = 1
+        gone = np.cumsum(edge - after, dtype=np.int8)[:-1] > 0
+        rest = raw[~gone].tobytes()
         removed_.append(int(gone.sum()))
         spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
         shas.append(hashlib.sha256(rest).hexdigest())
@@ -323,8 +351,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     from pyspark.sql.types import LongType
 
     ranged = found.where("not hot").withColumn("range", F.pandas_udf(numbered, LongType())(lead))
-    plain = ranged.groupBy("range").applyInPandas(_bucket, "id bigint, th bigint, start array<bigint>")
-    strings = written(found.where("hot").mapInPandas(_strings, "string binary, id bigint, th bigint, start bigint"), "suffix-hot")
+    ranged = ranged.select("range", "id", "th", "place", "near", "far", "around")
+    plain = ranged.groupBy("range").applyInArrow(_bucket, "id bigint, th bigint, start array<bigint>")
+    strings = written(by_batch(found.where("hot"), _strings, "string binary, id bigint, th bigint, start bigint"), "suffix-hot")
     least = strings.groupBy("string").agg(F.min("id").alias("least"))
     spread = strings.join(least, "string").where("least < id").groupBy("id", "th").agg(F.collect_set("start").alias("start"))
     starts = written(plain.unionByName(spread).groupBy("id", "th").agg(F.collect_list("start").alias("starts")), "suffix-starts")
