@@ -469,3 +469,35 @@ def test_suffix_buckets_are_arrow():
     got = suffixes._bucket(whole).to_pylist()
     assert {x["id"]: set(x["start"]) for x in got} == want and all(x["th"] == 7 * x["id"] for x in got)
     assert suffixes._bucket(t.slice(0, 1)).num_rows == 0
+
+
+def test_overlaps():
+    from titrant.llm import kernels
+
+    r = random.Random(3)
+    sets = [{r.randrange(60) for _ in range(r.randrange(30))} for _ in range(17)]
+    flat = [(v, i) for i, x in enumerate(sets) for v in [*x, *list(x)[:2]]]
+    values, owner = np.array([f[0] for f in flat], np.uint64), np.array([f[1] for f in flat])
+    for columns in (4096, 7):
+        sizes, both = kernels.overlaps(values, owner, 6, 11, columns)
+        assert sizes.tolist() == [len(x) for x in sets]
+        assert both.tolist() == [[len(x & y) for y in sets[6:]] for x in sets[:6]]
+
+
+def test_main_component_is_the_largest(spark, monkeypatch):
+    """A first member that links with nothing leaves only itself outside of its group's main component."""
+    r = random.Random(8)
+    say = lambda n: ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    base, opened, written = say(100), [], bottomk.written
+
+    def seen(df, label):
+        out = written(df, label)
+        if label == "near-open":
+            opened.extend((x.a, x.m, x.k) for x in out.collect())
+        return out
+
+    monkeypatch.setattr(bottomk, "written", seen)
+    texts = [" ".join([*base, *say(4 * (i % 3 == 0) + 40 * (i < 3))]) for i in range(30)]
+    found = bottomk.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert len({x.component_id for x in found.collect()}) == 4
+    assert opened and all(2 * k < m for _, m, k in opened)

@@ -18,7 +18,7 @@ SKETCH = 96
 ESTIMATE = 0.58
 SHINGLE = 5
 #: Representatives of one side of a comparison inside one task.
-CHUNK = 256
+CHUNK = 512
 
 
 def _shingles(texts: pa.Array, size: int):
@@ -98,12 +98,9 @@ def _crossing(num: int, den: int):
             left, right = group[~group["right"]].reset_index(), group[group["right"]].reset_index()
             if not len(left) or not len(right):
                 continue
-            values, at = np.unique(np.concatenate([*left["sketch"], *right["sketch"]]), return_inverse=True)
-            sizes = np.concatenate((left["sketch"].map(len), right["sketch"].map(len)))
-            held = np.zeros((len(sizes), len(values)), np.float32)
-            held[np.repeat(np.arange(len(sizes)), sizes), at] = 1
-            n = len(left)
-            overlap = held[:n] @ held[n:].T
+            sketches, n = [*left["sketch"], *right["sketch"]], len(left)
+            owner = np.repeat(np.arange(len(sketches)), [len(x) for x in sketches])
+            sizes, overlap = kernels.overlaps(np.concatenate(sketches), owner, n, len(right))
             least = np.ceil(ESTIMATE * np.maximum(sizes[:n, None], sizes[None, n:]) - 1e-9)
             a, b = np.nonzero((overlap >= least) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None]))
             up: dict[int, int] = {}
@@ -138,10 +135,10 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
        values are listed, as many as such a pair cannot all miss; a representative with fewer
        shared values than the others has no partner. Phrases that very many texts share are thereby
        never listed for ordinary texts.
-    3. Every member of a list is compared with the list's first and last member: sketches estimate,
-       full sets verify, components join. Members of all lists with one first member are a group,
-       and a group within one component is settled.
-    4. In the other groups, the members outside the first one's component are compared with members
+    3. Every member of a list is compared with the list's first and last member and with one named
+       by a hash: sketches estimate, full sets verify, components join. Members of all lists with one
+       first member are a group, and a group within one component is settled.
+    4. In the other groups, the members outside the largest component are compared with members
        of other components, in chunks that hold the sets themselves and return no more links than
        join components, so no link between components is lost and no pairs are moved. A group of
        m members with k outside takes k * m comparisons of sketches.
@@ -181,21 +178,29 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     )
     sketches = reps.join(nodes, "id", "left_semi").select("id", "sketch")
 
-    ends = listed.groupBy("value").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
+    # A third member by a hash that differs from list to list, so the members of a family of near
+    # copies, which share many lists, are compared with many of them.
+    ends = (
+        listed.groupBy("value").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.min_by("id", F.xxhash64("id", "value")).alias("y"))
+        .where("a < z")
+    )
     led = listed.join(ends, "value")
     stars = (
         led.where("id > a").select("a", F.col("id").alias("b"))
         .unionByName(led.where("id < z").select(F.col("id").alias("a"), F.col("z").alias("b")))
+        .unionByName(led.where("id <> y").select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")))
         .distinct()
     )
     first = written(_verified(stars, sketches, sets, num, den), "near-links")
     found = components(first)
     groups = led.select("a", "id").distinct()
     groups = groups.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    main = groups.where("a = id").select("a", F.col("component").alias("main"))
-    sizes = groups.join(main, "a").groupBy("a", "main").agg(
-        F.count(F.lit(1)).alias("m"), F.count_if(F.col("component") != F.col("main")).alias("k")
-    ).where("m > 2 and k > 0")
+    sizes = (
+        groups.groupBy("a", "component").agg(F.count(F.lit(1)).alias("held"))
+        .groupBy("a").agg(F.max(F.struct("held", "component")).alias("most"), F.sum("held").alias("m"))
+        .select("a", F.col("most.component").alias("main"), "m", (F.col("m") - F.col("most.held")).alias("k"))
+        .where("m > 2 and k > 0")
+    )
     placed = written(groups.join(sizes, "a"), "near-open")
     wide = F.ceil(F.col("m") / CHUNK), F.ceil(F.col("k") / CHUNK)
     bundles = max(1, placed.count() // CHUNK)

@@ -146,3 +146,24 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
         best = np.where(values[left] < values[right], left, right)
         span += step
     return best[:n]
+
+
+def overlaps(values: np.ndarray, owner: np.ndarray, n: int, m: int, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """The number of different values of each of n + m sets, and how many each of the first n shares
+    with each of the others. Values that one side alone holds are only counted; the others pass
+    `columns` at a time, so memory does not grow with the number of values times that of sets."""
+    names, at = np.unique(values, return_inverse=True)
+    pairs = np.unique(at.reshape(-1) * (n + m) + owner)
+    at, owner = pairs // (n + m), pairs % (n + m)
+    sizes, sides = np.bincount(owner, minlength=n + m), np.zeros((2, len(names)), bool)
+    sides[(owner >= n).astype(np.int64), at] = True
+    shared = sides.all(axis=0)
+    kept = shared[at]
+    at, owner = (np.cumsum(shared) - 1)[at[kept]], owner[kept]
+    both = np.zeros((n, m), np.float32)
+    for low in range(0, int(shared.sum()), columns):
+        a, b = np.searchsorted(at, (low, low + columns))
+        held = np.zeros((n + m, int(at[b - 1]) - low + 1), np.float32)
+        held[owner[a:b], at[a:b] - low] = 1
+        both += held[:n] @ held[n:].T
+    return sizes, both
