@@ -501,3 +501,11 @@ def test_main_component_is_the_largest(spark, monkeypatch):
     found = bottomk.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
     assert len({x.component_id for x in found.collect()}) == 4
     assert opened and all(2 * k < m for _, m, k in opened)
+
+
+def test_rows_of_open_line_groups(spark):
+    """Members move once while a group fits one comparison, however many components it has."""
+    rows = [(1, c, c, 1) for c in range(1, 601)] + [(2, c, c, 2) for c in range(2, 40)]
+    members = spark.createDataFrame(rows, "a bigint, c bigint, component bigint, main bigint")
+    assert lines._chunked(members, lines.CHUNK).count() == 600 + 599 + 38 + 37
+    assert lines._chunked(members, 100).count() == 600 * 6 + 599 * 6 + 38 + 37

@@ -24,8 +24,9 @@ SIMILARITY = 0.75
 BANDS, ROWS = 16, 4
 #: Bands that are dealt out at once: the shuffled rows of one round are gone before the next.
 ROUND = 4
-#: Lines of one side of a comparison inside one task.
-CHUNK = 128
+#: Lines of one side of a comparison of sketches inside one task; of texts, half as many. Members of
+#: a larger group move once for each chunk of the other side.
+CHUNK = 1024
 _BINS = BANDS * ROWS
 #: From this many shingles on a line is long: one hash function fills its bins, and its sketch holds 4
 #: bits of each of its 64 least hashes. Below, each bin has a hash function, and the sketch is the
@@ -273,16 +274,6 @@ def _alike(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     return pd.Series([one(x, y, t) for x, y, t in zip(a, b, least, strict=True)], dtype=bool)
 
 
-def _incidence(lines: list[str]) -> np.ndarray:
-    """Which line holds which shingle, as a matrix of ones and zeros."""
-    points, first = _characters(lines)
-    places, owner = kernels.fitting(first, SHINGLE)
-    values, at = np.unique(kernels.run_hashes(kernels.mix(points + np.uint64(77)), SHINGLE)[places], return_inverse=True)
-    held = np.zeros((len(lines), len(values)), np.float32)
-    held[owner, at.reshape(-1)] = 1
-    return held
-
-
 def _crossing(similarity: float):
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         """Links between different components in one pair of chunks, no more than join them."""
@@ -291,9 +282,9 @@ def _crossing(similarity: float):
             left, right = group[~group["right"]].reset_index(), group[group["right"]].reset_index()
             if not len(left) or not len(right):
                 continue
-            held = _incidence([*left["words"], *right["words"]])
-            sizes, n = held.sum(axis=1), len(left)
-            both = held[:n] @ held[n:].T
+            n = len(left)
+            values, owner, _ = _shingled([*left["words"], *right["words"]])
+            sizes, both = kernels.overlaps(values, owner, n, len(right))
             near = both >= similarity * (sizes[:n, None] + sizes[None, n:] - both)
             up: dict[int, int] = {}
 
@@ -334,16 +325,16 @@ def _met(classes: DataFrame, similarity: float) -> DataFrame:
     )
 
 
-def _chunked(rows: DataFrame) -> DataFrame:
-    """Members (a, c, component, main) of groups, dealt into pairs of chunks: left ones hold members
-    outside the main component, right ones all, and each pair of chunks meets once. Small groups
-    share tasks."""
+def _chunked(rows: DataFrame, most: int) -> DataFrame:
+    """Members (a, c, component, main) of groups, dealt into pairs of chunks of about `most`: left ones
+    hold members outside the main component, right ones all, and each pair of chunks meets once. Small
+    groups share tasks."""
     sizes = rows.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("component") != F.col("main")).alias("k")).where("m > 1 and k > 0")
     sized = rows.join(sizes, "a")
-    bundles = max(1, rows.count() // CHUNK)
-    small = F.col("m") <= CHUNK
+    bundles = max(1, rows.count() // most)
+    small = F.col("m") <= most
     sized = sized.withColumn("g", F.when(small, F.pmod(F.xxhash64("a"), F.lit(bundles))).otherwise(F.col("a"))).withColumn("one", small)
-    across = F.ceil(F.col("m") / CHUNK), F.ceil(F.col("k") / CHUNK)
+    across = F.ceil(F.col("m") / most), F.ceil(F.col("k") / most)
     sides = [
         part.withColumn(own, F.pmod(F.xxhash64("c"), n)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), others - 1)))
         .select("one", "g", "i", "j", F.lit(right).alias("right"), "a", "c", "component")
@@ -364,7 +355,7 @@ def _candidates(similarity: float):
             right = group["right"].to_numpy()
             n, component, c = (group[x].to_numpy() for x in ("n", "component", "c"))
             x, y = n[~right, None], n[None, right]
-            apart, odd = np.zeros((len(x), y.shape[1]), np.int64), np.zeros((len(x), y.shape[1]), np.int64)
+            apart, odd = np.zeros((len(x), y.shape[1]), np.int16), np.zeros((len(x), y.shape[1]), np.int16)
             for name in _SKETCH:
                 s = group[name].to_numpy().view(np.uint64)
                 v = s[~right, None] ^ s[None, right]
@@ -439,11 +430,11 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: i
     # Sketches say which members can have a partner in another component; only their texts move.
     sketches = classes.select("c", "n", *_SKETCH)
     near = written(
-        _chunked(still).join(sketches, "c").groupBy("one", "g", "i", "j").applyInPandas(_candidates(similarity), "a bigint, c bigint").distinct(), "line-near"
+        _chunked(still, CHUNK).join(sketches, "c").groupBy("one", "g", "i", "j").applyInPandas(_candidates(similarity), "a bigint, c bigint").distinct(), "line-near"
     )
     likely = written(still.join(near, ["a", "c"]), "line-open")
     second = written(
-        _chunked(likely).join(words.select("c", "words"), "c").groupBy("one", "g", "i", "j").applyInPandas(_crossing(similarity), "a bigint, b bigint"),
+        _chunked(likely, max(1, CHUNK // 2)).join(words.select("c", "words"), "c").groupBy("one", "g", "i", "j").applyInPandas(_crossing(similarity), "a bigint, b bigint"),
         "line-links",
     )
     joined = components(first.unionByName(second))
