@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from titrant.llm import bottomk, components, decontamination, lines, mixing, personal, phrases, projections, sql, suffixes, toxicity, url_trust
@@ -427,6 +429,20 @@ def test_toxicity(spark, docs):
     assert all(x.score == 0 for x in toxicity.digest(texts, labels.limit(0)).collect())
 
 
+def test_scoring_is_small():
+    """A batch of texts is scored in parts, from Arrow's own bytes."""
+    r = random.Random(3)
+    texts = pa.array([" ".join(f"w{r.randint(0, 99_999)}" for _ in range(280)) for _ in range(3000)] + [None, ""])
+    net = toxicity.Network.new()
+    want = net.text_logits(*toxicity.kernels.text_bytes(texts))
+    tracemalloc.start()
+    found = toxicity.scores(texts, net)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6
+    assert np.allclose(found, np.where(np.isfinite(want), toxicity._sigmoid(want), 0), atol=1e-6)
+
+
 def test_collocation_scan_is_small():
     """Arrays of a scan follow a slab of bounded size and not the batch."""
     import tracemalloc

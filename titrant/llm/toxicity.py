@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,6 +21,8 @@ TRAIN_TOXIC, TRAIN_OTHER = 800, 1_600
 #: Steps of training, the same at any number of rows; texts of a step; windows of a text that a step
 #: learns from besides the highest one.
 STEPS, BATCH, OTHER_WINDOWS = 640, 32, 6
+#: Bytes of texts that a task scores at once; a single longer text is a block of its own.
+SCORED = 1 << 19
 
 _GAPS = np.ones(256, bool)
 _GAPS[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = False
@@ -302,34 +305,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     return train([x["text"] for x in rows], np.array([x["toxic"] for x in rows], np.int64)) if rows else None
 
 
+def scores(texts: pa.Array, net: Network | None) -> np.ndarray:
+    """The score of each text, SCORED bytes of them at a time."""
+    out = np.zeros(len(texts))
+    if net is not None and len(texts):
+        data, offsets = kernels.text_bytes(texts)
+        for a, b in kernels.slabs(offsets, SCORED):
+            logits = net.text_logits(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            out[a:b] = np.where(np.isfinite(logits), _sigmoid(logits.astype(float) - net.shift), 0.0)
+    return out
+
+
 def scored(docs: DataFrame, net: Network | None) -> DataFrame:
     """Adds `score` (0 to 1) behind all columns of `docs`, as (row, id, score).
 
+    Tasks read the texts as Arrow holds them, a bounded part at a time, and make no Python strings.
     A text scores as its worst window. Without words the score is 0; without a network (no labelled
     rows, or one class only) every score is 0. A null counts as an empty text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    def score(batches):
-        import pandas as pd
-
-        own = shared.value
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            out = np.zeros(len(texts))
-            if own is not None and len(texts):
-                data, offsets = kernels.text_bytes(pa.array(texts, pa.large_string(), from_pandas=True))
-                for a, b in kernels.slabs(offsets):
-                    logits = own.text_logits(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    out[a:b] = np.where(np.isfinite(logits), _sigmoid(logits.astype(float) - own.shift), 0.0)
-            yield pd.Series(out)
-
-    from collections.abc import Iterator
-
-    import pandas as pd
-    from pyspark.sql.types import DoubleType
+            yield pa.array(scores(texts, shared.value))
 
-    score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    udf = F.pandas_udf(score, DoubleType())
+    score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    udf = F.arrow_udf(score, "double")
     return docs.select(F.struct("*").alias("row"), row_id().alias("id"), F.col("text").cast("string").alias("_t")).select(
         "row", "id", udf("_t").alias("score")
     )
