@@ -525,3 +525,34 @@ def test_rows_of_open_line_groups(spark):
     members = spark.createDataFrame(rows, "a bigint, c bigint, component bigint, main bigint")
     assert lines._chunked(members, lines.CHUNK).count() == 600 + 599 + 38 + 37
     assert lines._chunked(members, 100).count() == 600 * 6 + 599 * 6 + 38 + 37
+
+
+@pytest.mark.parametrize(("meeting", "told", "batch"), [(256, 3, 400), (20, 2, 7), (20, 2, 90), (5, 1, 33)])
+def test_buckets_lose_no_pair(monkeypatch, meeting, told, batch):
+    """Every pair of a bucket that sketches allow is a pair or lies in one group, however the rows are
+    dealt into batches; rows grow with the members, and buckets of unlike lines leave none."""
+    monkeypatch.setattr(lines, "MEETING", meeting)
+    monkeypatch.setattr(lines, "TOLD", told)
+    monkeypatch.setattr(lines, "PAIRS", 50)
+    r = np.random.default_rng(meeting + batch)
+    rows, c = [], 0
+    for key, (families, size) in enumerate([(12, 1), (1, 40), (3, 9), (1, 2), (4, 1), (2, 60), (1, 1), (1, meeting), (1, meeting + 1)]):
+        for base in r.integers(0, 2**63, (families, 4)):
+            for _ in range(size):
+                c += 1
+                rows.append((key, c, 60, *(base ^ (1 << r.integers(0, 63, 4)))))
+    rows = sorted((k, int(name), n, *s) for (k, _, n, *s), name in zip(rows, r.permutation(c), strict=True))
+    names = ["key", "c", "n", *lines._SKETCH]
+    table = pa.table([pa.array([x[i] for x in rows], pa.int32() if i == 2 else pa.int64()) for i in range(7)], names)
+    out = [x for y in lines._bucketed(0.75)(iter(table.to_batches(batch))) for x in zip(*y.to_pydict().values(), strict=True)]
+    pairs, groups = {(a, b) for a, b, pair in out if pair}, {(a, b) for a, b, pair in out if not pair}
+    of = {}
+    for a, b in groups:
+        of.setdefault(b, set()).add(a)
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            if x[0] == y[0] and sum((p ^ q).bit_count() for p, q in zip(x[3:], y[3:], strict=True)) <= 120 / 7:
+                assert (x[1], y[1]) in pairs or of.get(x[1], set()) & of.get(y[1], set())
+    assert all((a, a) in groups for a, _ in groups)
+    assert len(out) == len(set(out)) <= len(rows) * (told + 1)
+    assert not {x[1] for x in rows if x[0] in (0, 4)} & {b for _, b, _ in out} or meeting < 12
