@@ -130,3 +130,16 @@ def test_table_rules(spark):
 def test_required_columns(spark):
     with pytest.raises(KeyError, match="needs column"):
         P.require_columns(spark.range(1), ["id", "beta"], "a table")
+
+
+def test_cells_are_parsed_once(spark):
+    """Rows without problems leave no row, and no filter before the explode repeats the parsing."""
+    from pyspark.sql import functions as F
+
+    from titrant.operators import validation
+
+    spec = validation.TableSpec("t", (validation.ColumnSpec("a", validation.finite_float, "", ""), validation.ColumnSpec("b", validation.strict_int(0), "", "")))
+    raw = spark.range(12).select(F.col("id").alias("line"), F.concat("id", F.when(F.col("id") > 9, "x").otherwise("")).alias("a"), (F.col("id") - 2).cast("string").alias("b"))
+    rows = validation.error_rows(validation.parse_table(raw, spec, ["line"]), "line")
+    assert sorted(map(tuple, rows.collect())) == [(0, 1, "b", "below 0"), (1, 1, "b", "below 0"), (10, 0, "a", "not a number"), (11, 0, "a", "not a number")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("not a number") == 1

@@ -137,7 +137,10 @@ def parse_table(raw: DataFrame, spec: TableSpec, keep: Sequence[str] = ()) -> Da
 
 
 def error_rows(parsed: DataFrame, line: str) -> DataFrame:
-    return parsed.select(line, F.explode("errors").alias("e")).select(line, "e.place", "e.column_name", "e.problem")
+    """A row per problem. With a plain explode Spark would test for empty arrays first, by parsing every
+    cell a second time."""
+    each = parsed.select(line, F.explode_outer("errors").alias("e")).where(F.col("e").isNotNull())
+    return each.select(line, "e.place", "e.column_name", "e.problem")
 
 
 def error_report(parsed: DataFrame, line: str, show: int = 40) -> DataFrame:
