@@ -225,3 +225,22 @@ def test_many_units_in_small_groups_are_drawn_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(B, "BROADCAST_UNITS", 10)
     monkeypatch.setattr(B, "draws", None)
     assert sorted(tuple(r) for r in B.bootstrap_interval(df, ["g"], "v", "u", n_resamples=20).collect()) == want
+
+
+def test_only_scored_documents_are_reduced_and_once(spark, tmp_path, monkeypatch):
+    from titrant.plans import views as V
+    from titrant.plans.inference_queries import merged
+
+    texts = ["KKDE", "..1 2", "", None, "gaVl\n", "bjoux", "RRRW", "k"]
+    docs = [(i, x, "en", "web", len(x or "")) for i, x in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(0, 1, 0), (1, 1, 0), (3, 0, 0), (4, 0, 0), (7, 1, 0), (7, 0, 0), (None, 1, 0), (99, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r.doc_id: r.seq for r in V.seqs(spark, str(tmp_path)).collect()} == {0: "KKDE", 4: "GAVL", 6: "RRRW", 7: "K"}
+    plan = lambda: merged(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan().count("regexp_replace") == 1 and "LeftSemi" in plan()
+    run = lambda: sorted((r.doc_id, r.folded, r.outside) for r in merged(spark, str(tmp_path)).collect())
+    found = run()
+    assert [x[:2] for x in found] == [(0, 1.0), (4, 0.0), (7, 0.0), (7, 1.0)]
+    monkeypatch.setattr(V, "SCORED_IDS", 0)
+    assert "LeftSemi" not in plan() and run() == found
