@@ -556,3 +556,33 @@ def test_buckets_lose_no_pair(monkeypatch, meeting, told, batch):
     assert all((a, a) in groups for a, _ in groups)
     assert len(out) == len(set(out)) <= len(rows) * (told + 1)
     assert not {x[1] for x in rows if x[0] in (0, 4)} & {b for _, b, _ in out} or meeting < 12
+
+
+def test_lines_leave_texts_without_python(spark):
+    """Whole texts stay in Spark where removed lines leave them; blank lines and ends keep their places."""
+    texts = ["one\ntwo\n\n three", "\nTwo\nfour\n", "one\nTHREE", "\n\none\n\n", "five", "five\n", None, "", "six\r\nsix\n\t\n six", "\n".join(["seven"] * 3000 + ["eight"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = lines.cleaned(docs)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    seen, want = set(), {}
+    for i, text in enumerate(texts):
+        out = []
+        for line in (text or "").split("\n"):
+            if not (short := lines.normal(line)) or short not in seen:
+                out.append(line)
+            seen.add(short)
+        want[i] = (text if text is None else "\n".join(out), (text or "").count("\n") + 1 - len(out))
+    assert {r.id: (r.cleaned, r.n_removed) for r in found.collect()} == want
+
+
+def test_texts_travel_in_bounded_batches(spark):
+    """Arrow batches of a written table keep to their bytes, and the setting goes with the job."""
+    from pyspark.sql import functions as F
+
+    from titrant.llm import shared
+
+    docs = spark.range(400).select(F.repeat(F.lit("x"), 10_000).alias("text")).coalesce(1)
+    sizes = shared.by_batch(docs, lambda b: iter([pa.RecordBatch.from_pydict({"n": [b.num_rows]})]), "n long")
+    before = spark.conf.get(shared._BATCH)
+    rows = [r.n for r in shared.written(sizes, "test", 100_000).collect()]
+    assert sum(rows) == 400 and max(rows) <= 12 and spark.conf.get(shared._BATCH) == before

@@ -8,7 +8,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from titrant.llm import kernels
 from titrant.llm.components import components
@@ -42,7 +42,9 @@ AGREEING = 32
 #: Characters of lines that are hashed at once, which bounds the memory of a task.
 PART_CHARS = 500_000
 #: Characters of lines whose shingles a task keeps for the next comparisons.
-KEPT_CHARS = 400_000
+KEPT_CHARS = 200_000
+#: Bytes of the Arrow batches that carry whole texts or lines into a task.
+BATCH_BYTES = 4 << 20
 _EMPTY = np.uint64(2**64 - 1)
 #: One hash function of short lines per bin.
 _FLIP = kernels.mix(np.arange(1000, 1000 + _BINS, dtype=np.uint64))
@@ -184,8 +186,8 @@ def _can_be_alike(x: np.ndarray, y: np.ndarray, apart_by, similarity: float, sha
 def _judged(texts: pa.Array, min_chars: int):
     """(text number, line number, normal form, whether shingles compare it) of every line that is
     not blank."""
-    for i, text in enumerate(texts.to_pylist()):
-        for k, line in enumerate((text or "").split("\n")):
+    for i, text in enumerate(texts):
+        for k, line in enumerate((text.as_py() or "").split("\n")):
             if short := normal(line):
                 yield i, k, short, len(short) >= min_chars
 
@@ -237,13 +239,13 @@ def _signed(min_chars: int):
 
 def _worded(min_chars: int, wanted: np.ndarray):
     def word(batch: pa.RecordBatch):
-        seen: dict[int, str] = {}
-        for _, _, line, wide in _judged(batch["text"], min_chars):
-            if wide:
-                seen.setdefault(_class(line)[0], line)
-        names = np.array(list(seen), np.int64)
-        held = pa.array(passing(wanted, names))
-        yield pa.RecordBatch.from_arrays([pa.array(names).filter(held), pa.array(list(seen.values()), pa.string()).filter(held)], ["c", "words"])
+        seen: set[int] = set()
+        for part in _parts(x for x in _judged(batch["text"], min_chars) if x[3]):
+            found = {_class(x[2])[0]: x[2] for x in part}
+            names = np.array(list(found), np.int64)
+            held = {c: found[c] for c in names[passing(wanted, names)].tolist() if c not in seen}
+            seen.update(held)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.string())], ["c", "words"])
 
     return word
 
@@ -275,7 +277,7 @@ def _alike(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
 
 def _crossing(similarity: float):
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        """Links between different components in one pair of chunks, no more than join them."""
+        """Links of components in one pair of chunks, named by these; no more than join them."""
         links = []
         for _, group in rows.groupby("a"):
             left, right = group[~group["right"]].reset_index(), group[group["right"]].reset_index()
@@ -293,10 +295,10 @@ def _crossing(similarity: float):
                 return x
 
             for i, j in zip(*np.nonzero(near & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None])), strict=True):
-                p, q = top(left["component"][i]), top(right["component"][j])
-                if p != q:
-                    up[p] = q
-                    links.append((left["c"][i], right["c"][j]))
+                p, q = left["component"][i], right["component"][j]
+                if top(p) != top(q):
+                    up[top(p)] = top(q)
+                    links.append((p, q))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return compare
@@ -435,7 +437,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: i
     texts = keyed_texts(docs)
     sketch = ", ".join(f"{s} bigint" for s in _SKETCH)
     found = written(
-        by_batch(texts, _signed(min_chars), f"id bigint, th bigint, line int, c bigint, c2 bigint, n int, {sketch}, keys array<bigint>"), "line-signatures"
+        by_batch(texts, _signed(min_chars), f"id bigint, th bigint, line int, c bigint, c2 bigint, n int, {sketch}, keys array<bigint>"), "line-signatures", BATCH_BYTES
     )
     kinds = found.groupBy("c").agg(F.min("c2").alias("low"), F.max("c2").alias("high"), F.min(F.struct("n", *_SKETCH, "keys")).alias("x"))
     classes = written(kinds.select("c", (F.col("low") == F.col("high")).alias("one"), "x.*"), "line-classes")
@@ -454,14 +456,15 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: i
     wanted = stars.select("a").union(stars.select("b")).union(large.select("c")).toDF("c").distinct()
     held = hash_filter(wanted.withColumnRenamed("c", "h"))
     words = written(
-        by_batch(texts.select("text"), _worded(min_chars, held), "c bigint, words string").join(wanted, "c", "left_semi").dropDuplicates(["c"]), "line-words"
+        by_batch(texts.select("text"), _worded(min_chars, held), "c bigint, words string").join(wanted, "c", "left_semi").dropDuplicates(["c"]), "line-words", BATCH_BYTES
     )
     x = words.select(F.col("c").alias("a"), F.col("words").alias("wa"))
     y = words.select(F.col("c").alias("b"), F.col("words").alias("wb"))
-    first = written(stars.join(x, "a").join(y, "b").where(_alike("wa", "wb", F.lit(similarity))).select("a", "b"), "line-links")
+    first = written(stars.join(x, "a").join(y, "b").where(_alike("wa", "wb", F.lit(similarity))).select("a", "b"), "line-links", BATCH_BYTES)
+    joined = components(first).withColumnRenamed("node", "c")
 
     # Groups of one least class are one; one component settles it.
-    groups = large.join(components(first).withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    groups = large.join(joined, "c", "left").withColumn("component", F.coalesce("component", "c"))
     main = groups.where("a = c").select("a", F.col("component").alias("main"))
     opened = groups.join(main, "a")
     unsettled = opened.groupBy("a").agg(F.count_if(F.col("component") != F.col("main")).alias("k")).where("k > 0").select("a")
@@ -476,33 +479,30 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: i
         _chunked(likely, max(1, CHUNK // 2)).join(words.select("c", "words"), "c").groupBy("one", "g", "i", "j").applyInPandas(_crossing(similarity), "a bigint, b bigint"),
         "line-links",
     )
-    joined = components(first.unionByName(second))
-    of_class = classes.where("one").select("c").join(joined.withColumnRenamed("node", "c"), "c", "left")
-    where = written(places.join(of_class.select("c", F.coalesce("component", "c").alias("component")), "c"), "line-components")
+    # The later links join whole components, so only they are searched again.
+    wider = components(second).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    of_class = classes.where("one").select("c").join(joined, "c", "left").select("c", F.coalesce("component", "c").alias("component")).join(wider, "component", "left")
+    where = written(places.join(of_class.select("c", F.coalesce("whole", "component").alias("component")), "c"), "line-components")
     removed(*rounds, stars, words, still, near, likely, classes, places)
     firsts = where.groupBy("component").agg(F.min(F.struct("id", "th", "line")).alias("f"))
     later = F.struct("id", "th", "line") > F.col("f")
     return where.join(firsts, "component").where(later).select("id", "th", "line")
 
 
-@F.pandas_udf(T.StringType())
-def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
-    def one(text, lines):
-        if text is None or lines is None or not len(lines):
-            return text
-        out = set(int(x) for x in lines)
-        return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in out)
-
-    return pd.Series([one(t, g) for t, g in zip(texts, gone, strict=True)], dtype=object)
+def _without(lines: Column, gone: Column) -> Column:
+    """The lines that stay, joined again. Work grows with the lines, however many of them go."""
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
 
 
 def cleaned(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:
     """(row, n_removed, cleaned) for every row of `docs`; `row` holds all its columns."""
     gone = repeated_lines(docs, similarity, min_chars).groupBy("id", "th").agg(F.collect_set("line").alias("gone"))
     whole = docs.select(F.struct("*").alias("row"), row_id().alias("id"), F.xxhash64("text").alias("th"))
-    return whole.join(gone, ["id", "th"], "left").select(
-        "id", "row", F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(_without(F.col("row.text"), F.col("gone"))).alias("cleaned"),
+    split = whole.join(gone, ["id", "th"], "left").withColumn("lines", F.when(F.col("gone").isNotNull(), F.split("row.text", "\n")))
+    return split.select(
+        "id", "row", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"),
+        F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(_without(F.col("lines"), F.col("gone"))).alias("cleaned"),
     )
 
 
