@@ -192,6 +192,27 @@ def test_disclosure_scores(spark):
         assert {tuple(x) for x in personal.disclosing_terms(personal.base_spans(keyed), keyed).collect()} == want
 
 
+def test_texts_are_read_as_often_for_many_terms(spark):
+    name = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(4))
+
+    def reads(terms):
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        rows = [(i, i, f"a{i}@x.org " + " ".join(map(name, range(i * terms, (i + 1) * terms)))) for i in range(60)]
+        texts = spark.createDataFrame(rows, "id bigint, th bigint, text string")
+        base = personal.written(personal.base_spans(texts), "test-base")
+        pairs = personal.disclosing_terms(base, texts.mapInArrow(counted, texts.schema), disclosed=0.0).distinct().count()
+        return seen.value, pairs
+
+    few, many = reads(2), reads(900)
+    assert few[1] == 120 and many[1] == 54_000 and few[0] == many[0]
+
+
 @pytest.mark.parametrize("min_chars", [20, 5])
 def test_lines(spark, min_chars):
     """Longer lines by their shingles, shorter ones where they repeat exactly; blank ones stay."""

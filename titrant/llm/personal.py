@@ -21,10 +21,6 @@ _TERM = r"\p{L}{3,}"
 #: A term discloses a value if knowing the term tells this share of the value's information, even
 #: with the least probability that so many standard errors leave open.
 DISCLOSED, ERRORS = 0.8, 1.96
-#: Relative error of the number of different lines that hold a term.
-LINES_ERROR = 0.03
-#: Terms are counted over all texts in blocks of at most this many.
-BLOCK_TERMS = 50_000
 
 
 def _luhn(digits: Column) -> Column:
@@ -100,8 +96,8 @@ def disclosing_terms(base: DataFrame, texts: DataFrame, disclosed: float = DISCL
     value in g, and both in j, the term names the value with probability j / f, or at least q, the
     lower end of that share's confidence interval. It then tells log(N q / g) of the log(N / g) that
     it would take to name the value, and discloses it where that share reaches `disclosed`. Few
-    cases widen the interval instead of being left out. f is counted by sketches that merge before
-    anything moves, the other numbers exactly.
+    cases widen the interval instead of being left out. All numbers are exact, and texts are read
+    as often for many terms as for few.
     """
     lines = (
         base.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line"))
@@ -125,26 +121,19 @@ def disclosing_terms(base: DataFrame, texts: DataFrame, disclosed: float = DISCL
         .groupBy("entity", "g", "term").agg(F.count(F.lit(1)).alias("j")),
         "personal-pairs",
     )
-    wanted = joint.select("term").distinct()
-    n = wanted.count()
-    blocks = max(1, -(-n // BLOCK_TERMS))
-    wanted = wanted.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(blocks)))
-    every = texts.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line"))
-    own = every.select(F.xxhash64("line").alias("lh"), F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(_TERM), F.lit(0))).alias("terms"))
-    counted = None
-    for block in range(blocks) if n else ():
-        part = (
-            own.select("lh", F.explode("terms").alias("term"))
-            .join(F.broadcast(wanted.where(F.col("block") == block).select("term")), "term")
-            .groupBy("term").agg(F.approx_count_distinct("lh", LINES_ERROR).alias("f"))
-        )
-        counted = part if counted is None else counted.unionByName(part)
-    if counted is None:
+    if joint.isEmpty():
         return joint.select("entity", "term")
-    total = float(every.select(F.xxhash64("line")).distinct().count())
+    every = texts.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line").alias("lh"), "line")
+    total = float(every.select("lh").distinct().count())
+    # One line of each kind is left, so a term's lines add up inside tasks to one number per term.
+    counted = (
+        every.dropDuplicates(["lh"]).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(_TERM), F.lit(0)))).alias("term"))
+        .groupBy("term").agg(F.count(F.lit(1)).alias("f"))
+    )
     f = F.greatest("f", "j").cast("double")
     tells = F.log(F.lit(total) * least_share(F.col("j"), f, errors) / F.col("g"))
-    return joint.join(counted, "term").where(F.col("g") < total).where(tells >= disclosed * F.log(F.lit(total) / F.col("g"))).select("entity", "term")
+    telling = joint.join(counted, "term").where(F.col("g") < total).where(tells >= disclosed * F.log(F.lit(total) / F.col("g")))
+    return written(telling.select("entity", "term"), "personal-telling")
 
 
 def spans(docs: DataFrame) -> DataFrame:
