@@ -196,6 +196,41 @@ def test_packed_bridges_equal_the_joined_ones(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.where("n_bridges > 0").count() > 3
 
 
+def test_texts_on_backbones_equal_the_joined_residues(spark, monkeypatch):
+    """Texts threaded as arrays are counted like residues that meet in joins, and no residue is a row."""
+    import itertools
+
+    from titrant.operators import threading as TH
+    from titrant.plans import spatial_queries as Q, views as V
+
+    rng = np.random.default_rng(5)
+    say = lambda n: "".join("KRDEkAVLx é-"[k] for k in rng.integers(0, 12, n))
+    rows = [(k, say(int(rng.integers(1, 60)))) for k in range(-12, 40)] + [(40, say(9)), (40, say(9)), (41, None), (42, "- ."), (43, "V" * 20), (None, say(30)), (45, say(400))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"source": F.lit("s"), "lang": F.lit("l")})
+    monkeypatch.setattr(V, "table", lambda *_: docs)
+    monkeypatch.setattr(TH, "THREADED_BYTES", 300)
+    accounts, counts = Q.bridges_on_backbones(spark, None, ["design", "native"])
+    old, designs = Q.on_backbones(spark, None)
+    assert sorted(map(str, accounts.collect())) == sorted(map(str, old.collect())) and accounts.where("status = 'threaded'").count() > 30
+    native = V.backbones(spark, None).join(old.where("status = 'threaded'").select("structure"), "structure", "left_semi")
+    first = TH.threaded_letters(designs, old, "structure").select("structure", F.lit("A").alias("chain"), "pos", "aa")
+    letters = {"native": native.select(*first.columns)}
+    letters["design"] = first.unionByName(letters["native"].where("chain = 'B'"))
+    for label, some in letters.items():
+        cb, signed = S.threaded(native, some)
+        want = S.scoped_counts(S.opposite_pairs(cb, 6.0), S.charged_population(signed))
+        got = counts.where(F.col("label") == label).select(want.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.where("n_bridges > 0").count() > 30
+    assert not {"posexplode", "transform"} & set(str(accounts._jdf.queryExecution().optimizedPlan()).lower().replace("(", " ").split())
+    runs = [(a, a + b) for a, b in itertools.product(range(3), range(3))]
+    twos = [*enumerate(itertools.product(runs, runs))]
+    df = spark.createDataFrame([(d, *r) for d, two in twos for r in two], "d int, low bigint, high bigint")
+    lengths = spark.createDataFrame([(d, sum(b - a + 1 for a, b in two)) for d, two in twos], "d int, n_letters bigint")
+    each = df.select("d", F.explode(F.sequence("low", "high")).alias("pos"))
+    want = TH.account(lengths.select("d", F.repeat(F.lit("A"), F.col("n_letters").cast("int")).alias("seq")), each, "d").collect()
+    assert sorted(map(tuple, TH.account_of_runs(lengths, df, "d").collect())) == sorted(map(tuple, want)) and any(r.status == "threaded" for r in want)
+
+
 def test_an_account_moves_words_of_positions_and_not_positions(spark):
     from titrant.operators import threading as TH
 
