@@ -231,6 +231,23 @@ def test_texts_on_backbones_equal_the_joined_residues(spark, monkeypatch):
     assert sorted(map(tuple, TH.account_of_runs(lengths, df, "d").collect())) == sorted(map(tuple, want)) and any(r.status == "threaded" for r in want)
 
 
+def test_threaded_bridges_read_texts_once(spark, monkeypatch):
+    from titrant.plans import spatial_queries as Q, views as V
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = spark.range(20).selectExpr("id AS doc_id", "repeat('KRDE ', int(id) + 2) AS text", "'s' AS source", "'l' AS lang")
+    monkeypatch.setattr(V, "table", lambda *_: docs.mapInArrow(counted, docs.schema))
+    rows = Q.j13(spark, None).collect()
+    assert {r.structure for r in rows} == set(range(20)) and sum(r.n_bridges or 0 for r in rows) > 100
+    assert {r.status for r in rows if r.structure % 7 == 3} == {"refused: length differs"} and seen.value == 20
+
+
 def test_an_account_moves_words_of_positions_and_not_positions(spark):
     from titrant.operators import threading as TH
 
