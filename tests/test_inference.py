@@ -244,3 +244,51 @@ def test_only_scored_documents_are_reduced_and_once(spark, tmp_path, monkeypatch
     assert [x[:2] for x in found] == [(0, 1.0), (4, 0.0), (7, 0.0), (7, 1.0)]
     monkeypatch.setattr(V, "SCORED_IDS", 0)
     assert "LeftSemi" not in plan() and run() == found
+
+
+def test_an_answer_is_drawn_only_as_far_as_it_takes(spark, monkeypatch):
+    """Groups far from 0, at its edge and without variation: the same answers as all intervals give."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for kind, scores in {"far": (-6.0, -1.0, 3.0), "edge": (-1.7, -1.8, -1.9), "over": (-2.05, -0.2), "near": (-1.0, -0.3, 0.5), "up": (2.0, 8.0), "flat": (None, -0.5)}.items():
+        for k, score in enumerate(scores):
+            v = rng.normal(size=200)
+            v = np.full(200, -1.0) if score is None else v - v.mean() + score * v.std() / np.sqrt(200)
+            rows += [(kind, k, i, float(x)) for i, x in enumerate(v)]
+    rows += [(None, 0, 1, -1.0), (None, 0, 2, None), ("none", 0, 1, None)]
+    df = spark.createDataFrame(rows, "kind string, k int, unit int, v double")
+    monkeypatch.setattr(B, "TRIED", 256)
+    drawn = []
+    blocks = B.in_blocks
+    monkeypatch.setattr(B, "in_blocks", lambda slots, groups, columns, n, seed, sizes, kernel, **kw: drawn.append(sizes[0] * (n - kw.get("first", 0))) or blocks(slots, groups, columns, n, seed, sizes, kernel, **kw))
+    every = B.bootstrap_interval(df, ["kind", "k"], "v", "unit", n_resamples=2000, seed=3)
+    want = {}
+    for r in every.collect():
+        want[r.kind] = want.get(r.kind, False) or (r.excludes_zero and r.estimate < 0)
+    all_of_them = drawn.pop()
+    got = {r.kind: r.fell for r in B.fallen(df, ["kind", "k"], ["kind"], "v", "unit", n_resamples=2000, seed=3).collect()}
+    assert got == want and {True, False} == set(want.values()) and 0 < sum(drawn) < all_of_them * 0.7
+    monkeypatch.setattr(B, "BROADCAST_UNITS", 10)
+    some = df.where("kind = 'far' AND k < 2")
+    assert [tuple(r) for r in B.fallen(some, ["kind", "k"], ["kind"], "v", "unit", n_resamples=100).collect()] == [("far", True)]
+
+
+def test_a_reading_leaves_out_draws_that_cannot_change_it(spark, monkeypatch):
+    from titrant.operators import pairing as P
+    from titrant.plans import inference_queries as Q, views as V
+
+    rng = np.random.default_rng(2)
+    rows = [(p, f, float(b), 10.0 - (b in (1, 4)) + (b == 2) + float(rng.normal()), float(20 - 6 * b * (p % 3 == 0))) for p in range(80) for f in "AN" for b in range(6) if (p + b) % 11 or not b]
+    rows += [(900, "A", 1.0, 3.0, 4.0), (901, "A", 0.0, None, 4.0), (901, "A", 1.0, 5.0, None), (None, "A", 0.0, 1.0, 1.0), (None, "A", 1.0, 1.0, 1.0)]
+    g = spark.createDataFrame(rows, "part int, flag string, beta double, score double, conf double")
+    monkeypatch.setattr(V, "grid", lambda *_: g)
+    monkeypatch.setattr(Q, "N", 1000)
+    units, blocks = [], B.in_blocks
+    monkeypatch.setattr(B, "in_blocks", lambda slots, groups, columns, n, seed, sizes, kernel, **kw: units.append(sizes[0] * (n - kw.get("first", 0))) or blocks(slots, groups, columns, n, seed, sizes, kernel, **kw))
+    got = Q.p18(spark, None).collect()
+    tagged = lambda df, name: P.paired_change(df, V.LINEAGE, "score").withColumn("subset", F.lit(name))
+    both = tagged(g, "all_returned").unionByName(tagged(P.retained(g, V.LINEAGE, "conf", 10.0), "held_up"))
+    per = both.groupBy("subset", "part", "beta").agg(F.avg("delta").alias("delta"))
+    few = sum(units)
+    want = RD.quality_reading(B.bootstrap_interval(per, ["subset", "beta"], "delta", "part", n_resamples=1000)).collect()
+    assert got == want and want[0].overall and want[0].folded and few < 0.5 * (sum(units) - few)
